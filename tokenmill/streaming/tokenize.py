@@ -33,7 +33,7 @@ def tokenize(files: DataFrame, tokenizer: Tokenizer, path: str, checkpoint: str,
     stops when what has arrived is done."""
     def write(arrived: DataFrame, batch_no: int) -> None:
         spark = arrived.sparkSession
-        todo = arrived.dropDuplicates(["file_key"])
+        todo = arrived
         if cache.exists(spark, path):
             others = spark.read.schema(_WRITTEN).parquet(path).where(F.col("arrival") != batch_no)
             todo = cache.pending(todo, others)
