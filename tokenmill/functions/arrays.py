@@ -1,9 +1,20 @@
 """Parallel token arrays: specials, masks, padding."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column that a lambda refers to is inlined into it when projections are
+    merged, and is then computed for every element. A lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def constant(value, size: Column, sql_type: str) -> Column:
     return F.array_repeat(F.lit(value).cast(sql_type), size)
 

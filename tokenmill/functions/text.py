@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tokenmill.functions.arrays import bound
+
 # The characters that count as white space when a line is stripped.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -20,9 +22,11 @@ def strip(text: Column) -> Column:
 
 def physical_lines(text: Column) -> Column:
     """Every line of a text, blanks included; a final line end opens no line."""
-    pieces = F.split(text, LINE_END, -1)
-    closed = F.element_at(pieces, -1) == ""
-    return F.when(closed, F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    def without_last(pieces):
+        closed = F.element_at(pieces, -1) == ""
+        return F.when(closed, F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+
+    return bound(F.split(text, LINE_END, -1), without_last)
 
 
 def stripped_lines(text: Column) -> Column:
@@ -42,5 +46,8 @@ def sentences(text: Column) -> Column:
 
 def grouped(pieces: Column, n: int) -> Column:
     """Runs of n consecutive pieces joined by a space; the last run may be short."""
-    starts = F.sequence(F.lit(1), F.size(pieces), F.lit(n))
-    return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, n), " "))
+    def runs(all_pieces):
+        starts = F.sequence(F.lit(1), F.size(all_pieces), F.lit(n))
+        return F.transform(starts, lambda i: F.array_join(F.slice(all_pieces, i, n), " "))
+
+    return bound(pieces, runs)

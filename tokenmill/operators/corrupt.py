@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.functions.arrays import bound
+from tokenmill.operators.rows import numbered
 from tokenmill.schema import IGNORE
 
 KEYS = ("file_key", "example_id")
@@ -11,7 +13,7 @@ KEYS = ("file_key", "example_id")
 def positions(masked: DataFrame) -> DataFrame:
     """(…keys, pos, label) of the positions that carry a label."""
     carried = [c for c in ("batch_id",) if c in masked.columns]
-    return (masked.select(*carried, *KEYS, F.posexplode("labels").alias("pos", "label"))
+    return (numbered(masked, [*carried, *KEYS], F.col("labels"), "pos", "label")
             .where(F.col("label") != IGNORE))
 
 
@@ -28,12 +30,13 @@ def attach(masked: DataFrame, samples: DataFrame) -> DataFrame:
 def corrupt(attached: DataFrame) -> DataFrame:
     """Add ``d_inputs`` (the sampled token where a label is set) and ``d_labels``
     (1 where that token differs from the original)."""
-    def sampled(position):
-        return F.try_element_at("sampled", position).cast("long")
+    def token(row, position):
+        return F.try_element_at(row.sampled, position).cast("long")
 
     labelled = F.arrays_zip("inputs", "labels")
-    d_inputs = F.transform(labelled, lambda p, i: F.when(
-        p.labels != IGNORE, F.coalesce(sampled(i), p.inputs)).otherwise(p.inputs))
-    d_labels = F.transform(labelled, lambda p, i: F.coalesce(
-        (p.labels != IGNORE) & (sampled(i) != p.labels), F.lit(False)).cast("long"))
+    samples = F.struct("sampled")
+    d_inputs = bound(samples, lambda row: F.transform(labelled, lambda p, i: F.when(
+        p.labels != IGNORE, F.coalesce(token(row, i), p.inputs)).otherwise(p.inputs)))
+    d_labels = bound(samples, lambda row: F.transform(labelled, lambda p, i: F.coalesce(
+        (p.labels != IGNORE) & (token(row, i) != p.labels), F.lit(False)).cast("long")))
     return attached.withColumns({"d_inputs": d_inputs, "d_labels": d_labels}).drop("sampled")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions import arrays as ar
 from tokenmill.operators import vocab as vc
 from tokenmill.operators.lines import texts_column
+from tokenmill.operators.rows import inlined, numbered
 from tokenmill.schema import BIG_FILE_CHARS
 
 #: texts -> piece ids of each text, without special tokens
@@ -189,23 +190,20 @@ def file_segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_sent
         .alias("segments"))
 
 
-def rows_of(segments: DataFrame, *keys: str) -> DataFrame:
-    """One row per segment. The outer form keeps Spark from testing the size of
-    the array, that is from building it twice."""
-    return segments.select(*keys, F.inline_outer("segments")).where("seg_id IS NOT NULL")
+
 
 
 def spread_segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_sentences=0,
                     use_overflow=False, texts: Column | None = None) -> DataFrame:
     """(file_key, n_chars, seg_id, ids), the texts of each file spread over all tasks."""
-    rows = (files.select("file_key", "n_chars", _texts(n_sentences, texts).alias("texts"))
-            .select("file_key", "n_chars", F.posexplode("texts").alias("text_no", "text"))
+    rows = (numbered(files, ["file_key", "n_chars"], _texts(n_sentences, texts), "text_no", "text")
             .repartition("file_key", "text_no"))
     pieces = rows.select("file_key", "n_chars", "text_no",
                          encoded(F.array("text"), tokenizer).alias("pieces"))
-    return rows_of(pieces.select("file_key", "n_chars", _of_text(
+    of_text = pieces.select("file_key", "n_chars", _of_text(
         F.element_at("pieces", 1), F.col("text_no"), max_length, use_overflow, tokenizer)
-        .alias("segments")), "file_key", "n_chars")
+        .alias("segments"))
+    return inlined(of_text, ["file_key", "n_chars"], "segments", "seg_id")
 
 
 def by_size(files: DataFrame, big_file_chars: int = BIG_FILE_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -224,6 +222,6 @@ def segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_sentences
     small, big = by_size(files, big_file_chars)
     options = dict(max_length=max_length, n_sentences=n_sentences, use_overflow=use_overflow,
                    texts=texts)
-    of_small = rows_of(file_segments(small, tokenizer, **options), "file_key")
+    of_small = inlined(file_segments(small, tokenizer, **options), ["file_key"], "segments", "seg_id")
     of_big = spread_segments(big, tokenizer, **options).drop("n_chars")
     return of_small.unionByName(of_big)

@@ -4,18 +4,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import text as tx
+from tokenmill.operators.rows import numbered
 
 
 def raw_lines(files: DataFrame) -> DataFrame:
     """(file_key, row_no, line): every physical line, blank ones too."""
-    return files.select("file_key", F.posexplode(tx.physical_lines(F.col("text")))
-                        .alias("row_no", "line"))
+    return numbered(files, ["file_key"], tx.physical_lines(F.col("text")), "row_no", "line")
 
 
 def clean_lines(files: DataFrame) -> DataFrame:
     """(file_key, line_no, line): stripped, blank lines dropped."""
-    return files.select("file_key", F.posexplode(tx.stripped_lines(F.col("text")))
-                        .alias("line_no", "line"))
+    return numbered(files, ["file_key"], tx.stripped_lines(F.col("text")), "line_no", "line")
 
 
 def file_text(files: DataFrame) -> DataFrame:
@@ -37,5 +36,4 @@ def texts_column(n_sentences: int) -> Column:
 
 def texts(files: DataFrame, n_sentences: int = 0) -> DataFrame:
     """(file_key, text_no, text): one row per text to encode."""
-    return (files.select("file_key", texts_column(n_sentences).alias("texts"))
-            .select("file_key", F.posexplode("texts").alias("text_no", "text")))
+    return numbered(files, ["file_key"], texts_column(n_sentences), "text_no", "text")

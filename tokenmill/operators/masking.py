@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import draws
+from tokenmill.functions.arrays import bound
 from tokenmill.schema import IGNORE
 
 # Of the selected positions this share becomes the mask token,
@@ -34,11 +35,12 @@ def select(examples: DataFrame, mlm_prob: float, pad_id: int, seed: int = 0, epo
     keyed = examples.withColumn("mask_key", example_key(seed, draws.MASK, epoch))
     limit = draws.threshold(mlm_prob)
 
-    def chosen(token, position):
-        eligible = ~F.get("special_tokens_mask", position) & (token != pad_id)
-        return eligible & (_draw(F.col("mask_key"), position, _SELECT) < limit)
+    def chosen(row):
+        return F.transform("ids", lambda token, position: (
+            ~F.get(row.special_tokens_mask, position) & (token != pad_id)
+            & (_draw(row.mask_key, position, _SELECT) < limit)))
 
-    return keyed.withColumn("selected", F.transform("ids", chosen))
+    return keyed.withColumn("selected", bound(F.struct("special_tokens_mask", "mask_key"), chosen))
 
 
 def with_labels(selected: DataFrame) -> DataFrame:
@@ -53,20 +55,23 @@ def replaced(selected: DataFrame, mask_id: int, vocab_size: int, rand_replace: b
     With ``rand_replace`` a selected position becomes the mask token, a uniform
     id of the whole vocabulary, or stays; otherwise always the mask token.
     """
-    key = F.col("mask_key")
     to_mask = draws.threshold(MASKED_SHARE)
     to_word = draws.threshold(MASKED_SHARE + RANDOM_SHARE)
 
-    def put(token, position):
-        hit = F.get("selected", position)
-        if not rand_replace:
-            return F.when(hit, F.lit(mask_id)).otherwise(token).cast("long")
-        word = _draw(key, position, _WORD) % vocab_size
-        fate = _draw(key, position, _REPLACE)
-        return (F.when(~hit, token.cast("long")).when(fate < to_mask, F.lit(mask_id).cast("long"))
+    if not rand_replace:
+        return selected.withColumn("inputs", F.zip_with(
+            "ids", "selected", lambda token, hit: F.when(hit, F.lit(mask_id)).otherwise(token).cast("long")))
+
+    def put(row, token, position):
+        word = _draw(row.mask_key, position, _WORD) % vocab_size
+        fate = _draw(row.mask_key, position, _REPLACE)
+        return (F.when(~F.get(row.selected, position), token.cast("long"))
+                .when(fate < to_mask, F.lit(mask_id).cast("long"))
                 .when(fate < to_word, word).otherwise(token.cast("long")))
 
-    return selected.withColumn("inputs", F.transform("ids", put))
+    return selected.withColumn("inputs", bound(
+        F.struct("selected", "mask_key"),
+        lambda row: F.transform("ids", lambda token, position: put(row, token, position))))
 
 
 def mlm(examples: DataFrame, mlm_prob: float, pad_id: int, mask_id: int, vocab_size: int,

@@ -5,16 +5,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import draws
+from tokenmill.functions.arrays import bound
 from tokenmill.operators.masking import example_key
 
 #: sampling weights are exp(logit - max) in units of 1 / WEIGHT_UNIT
 WEIGHT_UNIT = 1_000_000_000
 
 
-def _shifted_exp() -> Column:
+def _shifted_exp(logits) -> Column:
     """exp(logit - max), in double precision."""
-    top = F.array_max("logits").cast("double")
-    return F.transform("logits", lambda x: F.exp(x.cast("double") - top))
+    return bound(F.array_max(logits).cast("double"), lambda top: F.transform(
+        logits, lambda x: F.exp(x.cast("double") - top)))
 
 
 def _sum(array: Column, zero) -> Column:
@@ -23,9 +24,10 @@ def _sum(array: Column, zero) -> Column:
 
 def softmax(scores: DataFrame) -> DataFrame:
     """Add ``probs ARRAY<DOUBLE>``."""
-    rows = scores.withColumn("_exp", _shifted_exp()).withColumn("_total", _sum(F.col("_exp"), F.lit(0.0)))
-    total = F.col("_total")
-    return rows.withColumn("probs", F.transform("_exp", lambda x: x / total)).drop("_exp", "_total")
+    def shares(weights):
+        return bound(_sum(weights, F.lit(0.0)), lambda total: F.transform(weights, lambda w: w / total))
+
+    return scores.withColumn("probs", bound(_shifted_exp(F.col("logits")), shares))
 
 
 def token_at(index: Column, candidates: str | None) -> Column:
@@ -45,23 +47,25 @@ def sample(scores: DataFrame, candidates: str | None = None, seed: int = 0, epoc
     Weights are whole numbers and the draw picks the first running total above
     its share of the sum, so every engine and every retry picks the same token.
     """
-    weights = F.transform(_shifted_exp(), lambda x: F.round(x * WEIGHT_UNIT).cast("long"))
     zero = F.lit(0).cast("long")
-    pick = draws.draw(example_key(seed, draws.SAMPLE, epoch), F.col("pos"))
-    # draw * total may pass 64 bits
-    aim = F.floor(pick.cast("decimal(20,0)") * F.col("_total").cast("decimal(18,0)")
-                  / F.lit(draws.SPAN).cast("decimal(10,0)")).cast("long")
-    rows = (scores.withColumn("_weights", weights)
-            .withColumn("_total", _sum(F.col("_weights"), zero)).withColumn("_aim", aim))
-    aimed = F.col("_aim")
-    # the tokens whose running total does not pass the aim come before the pick
-    walk = F.aggregate(
-        "_weights", F.struct(zero.alias("total"), F.lit(0).alias("before")),
-        lambda s, w: F.struct((s.total + w).alias("total"),
-                              (s.before + (s.total + w <= aimed).cast("int")).alias("before")),
-        lambda s: s.before)
-    return (rows.withColumn("token_id", token_at(walk, candidates))
-            .drop("_weights", "_total", "_aim"))
+    pick = draws.draw(example_key(seed, draws.SAMPLE, epoch), F.col("pos")).cast("decimal(20,0)")
+
+    def before(weights, aim):
+        """How many tokens have a running total that does not pass the aim."""
+        return F.aggregate(
+            weights, F.struct(zero.alias("total"), F.lit(0).alias("n")),
+            lambda s, w: F.struct((s.total + w).alias("total"),
+                                  (s.n + (s.total + w <= aim).cast("int")).alias("n")),
+            lambda s: s.n)
+
+    def walk(weights):
+        # draw * total may pass 64 bits
+        aim = F.floor(pick * _sum(weights, zero).cast("decimal(18,0)")
+                      / F.lit(draws.SPAN).cast("decimal(10,0)")).cast("long")
+        return bound(aim, lambda a: before(weights, a))
+
+    weights = F.transform(_shifted_exp(F.col("logits")), lambda x: F.floor(x * WEIGHT_UNIT + 0.5))
+    return scores.withColumn("token_id", token_at(bound(weights, walk), candidates))
 
 
 def log_loss(scores: DataFrame, candidates: str | None = None, label: str = "label") -> DataFrame:
@@ -69,5 +73,5 @@ def log_loss(scores: DataFrame, candidates: str | None = None, label: str = "lab
     index = (F.array_position(candidates, F.col(label).cast("int")) - 1 if candidates
              else F.col(label)).cast("int")
     top = F.array_max("logits").cast("double")
-    total = _sum(_shifted_exp(), F.lit(0.0))
+    total = _sum(_shifted_exp(F.col("logits")), F.lit(0.0))
     return scores.withColumn("loss", F.log(total) + top - F.get("logits", index).cast("double"))

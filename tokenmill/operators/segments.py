@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions import arrays as ar
 from tokenmill.functions import draws
 from tokenmill.operators import encode
+from tokenmill.operators.rows import inlined
 from tokenmill.schema import BIG_FILE_CHARS, EXAMPLES
 
 
@@ -53,15 +54,18 @@ def pairs_in_rows(file_segments: DataFrame, seed: int) -> DataFrame:
     """(file_key, pair_no, a, b) from files held one per row."""
     keyed = file_segments.select("file_key", "segments",
                                  draws.row_key(seed, "file_key").alias("key"))
-    shuffled = keyed.select("file_key", F.array_sort(F.transform("segments", lambda s: F.struct(
-        _place(F.col("key"), s.seg_id).alias("place"), s.seg_id.alias("seg_id"),
-        s.ids.alias("ids")))).alias("s"))
-    # with one segment or none the sequence would count downwards
-    numbers = F.when(F.size("s") > 1, F.sequence(F.lit(0), F.floor(F.size("s") / 2).cast("int") - 1))
-    couples = F.transform(numbers, lambda k: F.struct(
-        k.alias("pair_no"), F.get("s", 2 * k).dropFields("place").alias("a"),
-        F.get("s", 2 * k + 1).dropFields("place").alias("b")))
-    return shuffled.select("file_key", F.inline(couples))
+    shuffled = ar.bound(F.col("key"), lambda key: F.sort_array(F.transform("segments", lambda s: F.struct(
+        _place(key, s.seg_id).alias("place"), s.seg_id.alias("seg_id"), s.ids.alias("ids")))))
+
+    def couples(s):
+        # with one segment or none the sequence would count downwards
+        numbers = F.when(F.size(s) > 1, F.sequence(F.lit(0), F.floor(F.size(s) / 2).cast("int") - 1))
+        return F.transform(numbers, lambda k: F.struct(
+            k.alias("pair_no"), F.get(s, 2 * k).dropFields("place").alias("a"),
+            F.get(s, 2 * k + 1).dropFields("place").alias("b")))
+
+    rows = keyed.select("file_key", ar.bound(shuffled, couples).alias("couples"))
+    return inlined(rows, ["file_key"], "couples", "pair_no")
 
 
 def pairs_across_rows(segments: DataFrame, seed: int, chars_per_slice: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions import draws
+from tokenmill.functions.arrays import bound
 from tokenmill.operators import batch, corrupt, encode, masking, scores, segments, vocab
+from tokenmill.operators.rows import numbered
 from tokenmill.sources import cache, files
 
 #: settings shared by the registered queries and their SQL
@@ -91,18 +93,21 @@ class Inputs:
         label = F.col("label").cast("int")
         others = F.slice(F.filter(commonest, lambda c: c != label), 1, K - 1)
         noise = draws.draw(masking.example_key(SEED, draws.SCORE), F.col("pos"))
-        logit = lambda c: ((F.col("noise") + c * 7919) % 60000) / 10000.0 + F.when(c == label, 2.0).otherwise(0.0)
+
+
+        def logits(n):
+            return F.transform("cand", lambda c: (
+                (n + c * 7919) % 60000 / 10000.0 + F.when(c == label, 2.0).otherwise(0.0)).cast("float"))
+
         return (corrupt.positions(masked)
-                .withColumns({"cand": F.array_sort(F.concat(F.array(label), others)), "noise": noise})
-                .withColumn("logits", F.transform("cand", lambda c: logit(c).cast("float")))
-                .drop("noise"))
+                .withColumn("cand", F.sort_array(F.concat(F.array(label), others)))
+                .withColumn("logits", bound(noise, logits)))
 
     def discriminator_scores(self, corrupted: DataFrame) -> DataFrame:
         """Stand-in for a discriminator's output: two logits per position."""
         noise = draws.draw(masking.example_key(SEED, draws.SCORE, 1), F.col("pos"))
-        rows = corrupted.select(
-            "batch_id", "file_key", "example_id",
-            F.posexplode(F.arrays_zip(F.col("d_labels").alias("label"), "attention_mask")).alias("pos", "p"))
+        rows = numbered(corrupted, ["batch_id", "file_key", "example_id"],
+                        F.arrays_zip(F.col("d_labels").alias("label"), "attention_mask"), "pos", "p")
         return (rows.select("batch_id", "file_key", "example_id", "pos", "p.label", "p.attention_mask",
                             noise.alias("noise"))
                 .withColumn("logits", F.array(

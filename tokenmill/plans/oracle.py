@@ -326,7 +326,7 @@ SELECT file_key, example_id, pos, label, k, cand,
 FROM candidates""")
 cte("shifted", """
 SELECT *, exp(logit - max(logit) OVER (PARTITION BY file_key, example_id, pos)) AS e FROM logits""")
-cte("weights", "SELECT *, round(e * 1000000000)::BIGINT AS w FROM shifted")
+cte("weights", "SELECT *, floor(e * 1000000000 + 0.5)::BIGINT AS w FROM shifted")
 cte("running", """
 SELECT *, sum(w) OVER (PARTITION BY file_key, example_id, pos ORDER BY cand) AS total_here,
        sum(w) OVER (PARTITION BY file_key, example_id, pos) AS total FROM weights""")
@@ -475,7 +475,7 @@ UNION ALL SELECT 1::INTEGER, * FROM ({by_example('mask_next', inputs=REPLACED, l
     "line_collate": batches_out("single_turns", "turn_batches", "mask_turns", REPLACED,
                                 "NULL::VARCHAR AS token_type_ids"),
     "softmax_scores": """
-SELECT file_key, example_id, pos::INTEGER AS pos, array_to_string(list(round(e / total * 1000000)::BIGINT ORDER BY cand), ',') AS probs
+SELECT file_key, example_id, pos::INTEGER AS pos, array_to_string(list(floor(e / total * 1000000 + 0.5)::BIGINT ORDER BY cand), ',') AS probs
 FROM (SELECT *, sum(e) OVER (PARTITION BY file_key, example_id, pos) AS total FROM shifted)
 GROUP BY file_key, example_id, pos""",
     "sample_tokens": "SELECT file_key, example_id, pos::INTEGER AS pos, token_id::INTEGER AS token_id FROM sampled",
