@@ -44,10 +44,7 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(text, "\\.", -1), lambda piece: F.concat(piece, F.lit(".")))
 
 
-def grouped(pieces: Column, n: int) -> Column:
-    """Runs of n consecutive pieces joined by a space; the last run may be short."""
-    def runs(all_pieces):
-        starts = F.sequence(F.lit(1), F.size(all_pieces), F.lit(n))
-        return F.transform(starts, lambda i: F.array_join(F.slice(all_pieces, i, n), " "))
-
-    return bound(pieces, runs)
+def sentence_groups(text: Column, n: int) -> Column:
+    """Runs of n consecutive sentences joined by a space; the last run may be short."""
+    runs = F.regexp_extract_all(F.concat(text, F.lit(".")), F.lit(f"(?:[^.]*\\.){{1,{n}}}"), F.lit(0))
+    return F.transform(runs, lambda run: F.regexp_replace(run, "(?s)\\.(?=.)", ". "))

@@ -140,8 +140,7 @@ def encoded(texts: Column, tokenizer: Tokenizer) -> Column:
                 ids = _ids_by_text(encode, flat)
             yield _lists(pc.list_value_length(batch).to_numpy(False), ids)
 
-    # a filter derived from a later explode would otherwise run the encoder a second time
-    return encode_texts.asNondeterministic()(texts)
+    return encode_texts(texts)
 
 
 def windows(pieces: Column, max_length: int, use_overflow: bool, tokenizer: Tokenizer) -> Column:

@@ -30,8 +30,8 @@ def texts_column(n_sentences: int) -> Column:
     lines = tx.stripped_lines(F.col("text"))
     if n_sentences == 0:
         return lines
-    pieces = tx.sentences(tx.joined_text(lines))
-    return pieces if n_sentences == 1 else tx.grouped(pieces, n_sentences)
+    joined = tx.joined_text(lines)
+    return tx.sentences(joined) if n_sentences == 1 else tx.sentence_groups(joined, n_sentences)
 
 
 def texts(files: DataFrame, n_sentences: int = 0) -> DataFrame:

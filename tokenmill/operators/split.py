@@ -27,21 +27,21 @@ def cuts(files: DataFrame, train: float, val: float, test: float | None, seed: i
     placed = (files.select("file_key").distinct().withColumn("place", _place(seed))
               .withColumn("bucket", draws.bucket_of(F.col("place"))))
     starts = bucket_starts(placed)
-    n = F.sum("size").cast("double")
+    everything = F.sum("size").over(Window.orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)).cast("double")
 
     def share(fraction):
-        return F.floor(n * F.lit(float(fraction)))
+        return F.floor(F.col("n") * F.lit(float(fraction)))
 
-    ends = [share(train).alias("train"), (share(train) + share(val)).alias("val")]
+    ends = [share(train), share(train) + share(val)]
     if test:
-        ends.append((share(train) + share(val) + share(test)).alias("test"))
-    marks = (starts.agg(*ends).select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("split"), F.col(name).alias("end"))
-        for name in NAMES[:len(ends)]]))))
-    # at most three rows meet at most 2**BUCKET_BITS bucket sizes
-    held = (starts.join(F.broadcast(marks),
-                        (F.col("end") >= F.col("start")) & (F.col("end") < F.col("start") + F.col("size")))
-            .select("bucket", "split", (F.col("end") - F.col("start")).alias("rank")))
+        ends.append(share(train) + share(val) + share(test))
+    marks = F.array(*[F.struct(F.lit(name).alias("split"), (end - F.col("start")).alias("rank"))
+                      for name, end in zip(NAMES, ends)])
+    # the cuts that fall into a bucket, by their rank inside it; at most three in all
+    held = (starts.withColumn("n", everything)
+            .select("bucket", "size", F.explode(marks).alias("mark")).select("bucket", "size", "mark.*")
+            .where((F.col("rank") >= 0) & (F.col("rank") < F.col("size"))).drop("size"))
     inside = Window.partitionBy("bucket", "split").orderBy("place", "file_key")
     found = (placed.join(F.broadcast(held), "bucket")
              .withColumn("at", F.row_number().over(inside) - 1).where("at = rank"))
