@@ -123,14 +123,14 @@ def _ids_by_chunk(encode: Encoder, memo: dict, texts: pa.Array) -> pa.ListArray:
     return _lists(np.diff(ends[per_text]), pieces.flatten())
 
 
-def encoded(texts: Column, tokenizer: Tokenizer) -> Column:
-    """ARRAY<STRING> of texts -> ARRAY<ARRAY<INT>> of their piece ids."""
+def encoded(texts: str, tokenizer: Tokenizer) -> Column:
+    """ARRAY<ARRAY<INT>> of the piece ids of an ARRAY<STRING> column."""
     factory, by_chunk = tokenizer.factory, tokenizer.splits_on_space
 
     @F.arrow_udf("array<array<int>>")
-    def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode_texts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         encode, memo = factory(), {}
-        for batch in batches:
+        for batch, sizes in batches:
             flat = batch.flatten()
             if by_chunk:
                 if len(memo) > MEMO_WORDS:
@@ -138,9 +138,11 @@ def encoded(texts: Column, tokenizer: Tokenizer) -> Column:
                 ids = _ids_by_chunk(encode, memo, flat)
             else:
                 ids = _ids_by_text(encode, flat)
-            yield _lists(pc.list_value_length(batch).to_numpy(False), ids)
+            yield _lists(sizes.to_numpy(False), ids)
 
-    return encode_texts(texts)
+    # naming the texts twice keeps Spark from merging the expression that made
+    # them into the call, which it cannot run when that holds nested lambdas
+    return encode_texts(F.col(texts), F.size(texts))
 
 
 def windows(pieces: Column, max_length: int, use_overflow: bool, tokenizer: Tokenizer) -> Column:
@@ -183,7 +185,8 @@ def _texts(n_sentences: int, texts: Column | None) -> Column:
 def file_segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_sentences=0,
                   use_overflow=False, texts: Column | None = None) -> DataFrame:
     """(file_key, segments ARRAY<(seg_id, ids)>), one row per file, no shuffle."""
-    pieces = files.select("file_key", encoded(_texts(n_sentences, texts), tokenizer).alias("pieces"))
+    pieces = (files.select("file_key", _texts(n_sentences, texts).alias("texts"))
+              .select("file_key", encoded("texts", tokenizer).alias("pieces")))
     return pieces.select("file_key", F.flatten(F.transform(
         "pieces", lambda p, i: _of_text(p, i, max_length, use_overflow, tokenizer)))
         .alias("segments"))
@@ -196,9 +199,9 @@ def spread_segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_se
                     use_overflow=False, texts: Column | None = None) -> DataFrame:
     """(file_key, n_chars, seg_id, ids), the texts of each file spread over all tasks."""
     rows = (numbered(files, ["file_key", "n_chars"], _texts(n_sentences, texts), "text_no", "text")
-            .repartition("file_key", "text_no"))
-    pieces = rows.select("file_key", "n_chars", "text_no",
-                         encoded(F.array("text"), tokenizer).alias("pieces"))
+            .repartition("file_key", "text_no")
+            .withColumn("texts", F.array("text")))
+    pieces = rows.select("file_key", "n_chars", "text_no", encoded("texts", tokenizer).alias("pieces"))
     of_text = pieces.select("file_key", "n_chars", _of_text(
         F.element_at("pieces", 1), F.col("text_no"), max_length, use_overflow, tokenizer)
         .alias("segments"))

@@ -1,33 +1,81 @@
 """Work on score rows: (…, logits ARRAY<FLOAT>), with ``cand ARRAY<INT>`` naming the
-token of each logit when only some of the vocabulary is scored."""
+token of each logit when only some of the vocabulary is scored.
 
+A row of logits may be as long as the vocabulary, so the arithmetic over them
+runs on whole Arrow batches; Spark's array functions would visit one logit at a
+time.
+"""
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenmill.functions import draws
-from tokenmill.functions.arrays import bound
 from tokenmill.operators.masking import example_key
 
 #: sampling weights are exp(logit - max) in units of 1 / WEIGHT_UNIT
 WEIGHT_UNIT = 1_000_000_000
 
 
-def _shifted_exp(logits) -> Column:
-    """exp(logit - max), in double precision."""
-    return bound(F.array_max(logits).cast("double"), lambda top: F.transform(
-        logits, lambda x: F.exp(x.cast("double") - top)))
+def _shifted_exp(logits: pa.ListArray):
+    """(start of each row, exp(logit - max of its row), max of each row)."""
+    sizes = pc.list_value_length(logits).to_numpy(False)
+    values = logits.flatten().to_numpy(False).astype(np.float64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+    if len(sizes) == 0:
+        return starts, values, values
+    if sizes.min() < 1:
+        raise ValueError("a score row without logits")
+    top = np.maximum.reduceat(values, starts)
+    return starts, np.exp(values - np.repeat(top, sizes)), top
+
+
+def _row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else values
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _softmax(logits: pa.Array, sizes: pa.Array) -> pa.Array:
+    starts, weights, _ = _shifted_exp(logits)
+    counts = sizes.to_numpy(False)
+    shares = weights / np.repeat(_row_sums(weights, starts), counts)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(shares))
+
+
+@F.arrow_udf(T.IntegerType())
+def _pick(logits: pa.Array, sizes: pa.Array, draw: pa.Array) -> pa.Array:
+    starts, weights, _ = _shifted_exp(logits)
+    whole = np.floor(weights * WEIGHT_UNIT + 0.5).astype(np.int64)
+    totals, draw = _row_sums(whole, starts), draw.to_numpy(False).astype(np.int64)
+    # floor(draw * total / 2**32) without leaving 64 bits
+    aims = (draw * (totals >> 16) + (draw * (totals & 0xFFFF) >> 16)) >> 16
+    running = np.cumsum(whole)
+    before = running[starts] - whole[starts] if len(starts) else running
+    return pa.array(np.searchsorted(running, before + aims, side="right") - starts, pa.int32())
 
 
-def _sum(array: Column, zero) -> Column:
-    return F.aggregate(array, zero, lambda total, x: total + x)
+@F.arrow_udf(T.DoubleType())
+def _log_loss(logits: pa.Array, sizes: pa.Array, label_at: pa.Array) -> pa.Array:
+    starts, weights, top = _shifted_exp(logits)
+    at = label_at.fill_null(0).to_numpy(False)
+    of_label = logits.flatten().to_numpy(False).astype(np.float64)[starts + at]
+    loss = np.log(_row_sums(weights, starts)) + top - of_label
+    return pc.if_else(label_at.is_valid(), pa.array(loss), None)
+
+
+def _over_logits(function, *arguments) -> Column:
+    # naming the logits twice keeps Spark from merging the expression that made
+    # them into the call, which it cannot run when that holds nested lambdas
+    return function(F.col("logits"), F.size("logits"), *arguments)
 
 
 def softmax(scores: DataFrame) -> DataFrame:
     """Add ``probs ARRAY<DOUBLE>``."""
-    def shares(weights):
-        return bound(_sum(weights, F.lit(0.0)), lambda total: F.transform(weights, lambda w: w / total))
-
-    return scores.withColumn("probs", bound(_shifted_exp(F.col("logits")), shares))
+    return scores.withColumn("probs", _over_logits(_softmax))
 
 
 def token_at(index: Column, candidates: str | None) -> Column:
@@ -45,33 +93,15 @@ def sample(scores: DataFrame, candidates: str | None = None, seed: int = 0, epoc
     """Add ``token_id`` drawn from the softmax of the logits.
 
     Weights are whole numbers and the draw picks the first running total above
-    its share of the sum, so every engine and every retry picks the same token.
+    its share of the sum, so every retry picks the same token.
     """
-    zero = F.lit(0).cast("long")
-    pick = draws.draw(example_key(seed, draws.SAMPLE, epoch), F.col("pos")).cast("decimal(20,0)")
-
-    def before(weights, aim):
-        """How many tokens have a running total that does not pass the aim."""
-        return F.aggregate(
-            weights, F.struct(zero.alias("total"), F.lit(0).alias("n")),
-            lambda s, w: F.struct((s.total + w).alias("total"),
-                                  (s.n + (s.total + w <= aim).cast("int")).alias("n")),
-            lambda s: s.n)
-
-    def walk(weights):
-        # draw * total may pass 64 bits
-        aim = F.floor(pick * _sum(weights, zero).cast("decimal(18,0)")
-                      / F.lit(draws.SPAN).cast("decimal(10,0)")).cast("long")
-        return bound(aim, lambda a: before(weights, a))
-
-    weights = F.transform(_shifted_exp(F.col("logits")), lambda x: F.floor(x * WEIGHT_UNIT + 0.5))
-    return scores.withColumn("token_id", token_at(bound(weights, walk), candidates))
+    pick = draws.draw(example_key(seed, draws.SAMPLE, epoch), F.col("pos"))
+    return scores.withColumn("token_id", token_at(_over_logits(_pick, pick), candidates))
 
 
 def log_loss(scores: DataFrame, candidates: str | None = None, label: str = "label") -> DataFrame:
-    """Add ``loss``: log-sum-exp of the logits minus the label's logit."""
-    index = (F.array_position(candidates, F.col(label).cast("int")) - 1 if candidates
-             else F.col(label)).cast("int")
-    top = F.array_max("logits").cast("double")
-    total = _sum(_shifted_exp(F.col("logits")), F.lit(0.0))
-    return scores.withColumn("loss", F.log(total) + top - F.get("logits", index).cast("double"))
+    """Add ``loss``: log-sum-exp of the logits minus the label's logit; NULL where
+    the label is not scored."""
+    index = F.nullif(F.array_position(candidates, F.col(label).cast("int")), F.lit(0).cast("long")) - 1 \
+        if candidates else F.col(label)
+    return scores.withColumn("loss", _over_logits(_log_loss, index.cast("int")))
