@@ -91,7 +91,7 @@ class Inputs:
         first_word = self.tokenizer.vocab_size - N_WORDS
         commonest = F.array(*[F.lit(first_word + i) for i in range(K)])
         label = F.col("label").cast("int")
-        others = F.slice(F.filter(commonest, lambda c: c != label), 1, K - 1)
+        others = F.slice(F.array_remove(commonest, label), 1, K - 1)
         noise = draws.draw(masking.example_key(SEED, draws.SCORE), F.col("pos"))
 
 
