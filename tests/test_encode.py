@@ -79,6 +79,19 @@ def test_both_routes_make_the_same_pairs(files, tokenizer, use_overflow):
         assert rows_set(segments.examples(texts, tokenizer, big_file_chars=big, **options)) == whole
 
 
+def test_line_tables_make_the_same_pairs(spark, files, tokenizer):
+    """One file holds most of the lines."""
+    texts = {**random_texts(8, seed=4), "hot": "\n".join(f"the cat {i}" for i in range(500))}
+    texts = {key: "\n".join(lines_of(text)) for key, text in texts.items()}
+    rows = [(key, i, f" {line} ") for key, text in texts.items() for i, line in enumerate(text.split("\n"))]
+    table = spark.createDataFrame(rows, "file_key string, line_no int, line string").repartition(5)
+    for use_overflow in (False, True):
+        options = dict(seed=3, max_length=16, use_overflow=use_overflow)
+        whole = rows_set(segments.examples(files(texts), tokenizer, **options))
+        for chars in (1 << 24, 200):
+            assert rows_set(segments.examples_of_lines(table, tokenizer, chars_per_slice=chars, **options)) == whole
+
+
 def test_partitioning_does_not_matter(files, tokenizer):
     texts = random_texts(12, seed=2)
     first = rows_set(segments.examples(files(texts, 1), tokenizer, 5, max_length=16))

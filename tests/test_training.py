@@ -102,6 +102,30 @@ def test_padding(examples):
         assert all(len(w) == 1 for w in widths.values())
 
 
+@pytest.mark.parametrize("size", [1, 16, 128, 5000])
+def test_padding_in_one_shuffle_gives_the_same(examples, size):
+    def rows(padded):
+        return sorted((r.batch_id, r.row_in_batch, r.file_key, r.example_id, tuple(r.ids), tuple(r.attention_mask))
+                      for r in padded.collect())
+
+    for epoch in (0, 1):
+        two_steps = batch.pad_batch(batch.shuffled(examples, size, 3, epoch), 9)
+        assert rows(batch.shuffled_padded(examples, size, 9, 3, epoch)) == rows(two_steps)
+
+
+def test_padding_in_one_shuffle_with_few_buckets(examples, monkeypatch):
+    from tokenmill.functions import draws
+    monkeypatch.setattr(draws, "BUCKET_BITS", 2)
+    found = batch.shuffled_padded(examples, 16, 9, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    widths = {}
+    for r in found.collect():
+        widths.setdefault(r.batch_id, []).append((len(r.ids), r.n_tokens))
+    assert all(len({w for w, _ in rows}) == 1 and rows[0][0] == max(n for _, n in rows) for rows in widths.values())
+    assert [len(widths[b]) for b in range(len(widths) - 1)] == [16] * (len(widths) - 1)
+    assert "hashpartitioning(batch_id" not in plan.split("BroadcastExchange")[0]
+
+
 def test_absent_type_ids_stay_null(examples):
     rows = examples.withColumn("token_type_ids", F.lit(None).cast("array<tinyint>"))
     assert {r.token_type_ids for r in batch.pad_batch(batch.shuffled(rows, 16)).collect()} == {None}

@@ -23,6 +23,31 @@ def shuffled(examples: DataFrame, batch_size: int = 128, seed: int = 0, epoch: i
     return _numbered(index.random_order(examples, seed, epoch), batch_size)
 
 
+def shuffled_padded(examples: DataFrame, batch_size: int = 128, pad_id: int = 0, seed: int = 0,
+                    epoch: int = 0) -> DataFrame:
+    """:func:`shuffled` then :func:`pad_batch`, moving the rows through one shuffle
+    instead of two.
+
+    Ranking leaves the rows grouped by bucket, and a batch inside one bucket is
+    padded there. Only batches that cross a bucket border, no more than there are
+    buckets, need rows of several; their widths come from a pass over the keys.
+    """
+    sizes = examples.select("file_key", "example_id", F.size("ids").alias("n_tokens"))
+    keys = index.in_buckets(sizes, seed, epoch)
+    edges = (index.bucket_starts(keys)
+             .select(F.explode(F.array("start", F.col("start") + F.col("size") - 1)).alias("global_idx"))
+             .select(F.floor(F.col("global_idx") / batch_size).alias("batch_id")).distinct())
+    crossing = (_numbered(index.ranked(keys), batch_size)
+                .join(F.broadcast(edges), "batch_id", "left_semi")
+                .groupBy("batch_id").agg(F.max("n_tokens").alias("edge_width")))
+    rows = _numbered(index.ranked(index.in_buckets(examples, seed, epoch)), batch_size)
+    inside = rows.withColumn("inside_width", F.max(F.size("ids")).over(Window.partitionBy("bucket", "batch_id")))
+    wide = (inside.join(F.broadcast(crossing), "batch_id", "left")
+            .withColumn("width", F.coalesce("edge_width", "inside_width"))
+            .drop("edge_width", "inside_width", "bucket", "place"))
+    return _fill(wide, pad_id)
+
+
 def ordered(examples: DataFrame, batch_size: int = 128, seed: int = 0) -> DataFrame:
     """Batches in file order."""
     return _numbered(index.file_order(examples, seed), batch_size)
@@ -47,11 +72,14 @@ def pad_batch(batched: DataFrame, pad_id: int = 0) -> DataFrame:
 def pad_file(examples: DataFrame, pad_id: int = 0) -> DataFrame:
     """Pad every row to the longest of its file.
 
-    The widths are pre-aggregated and joined back rather than taken in a window,
-    so the rows of one large file may be joined by many tasks.
+    Widths are aggregated per run of 2**20 rows and then per file, and joined
+    back by run, so one large file is spread over many tasks.
     """
-    widths = examples.groupBy("file_key").agg(F.max(F.size("ids")).alias("width"))
-    return _fill(examples.join(widths, "file_key"), pad_id)
+    rows = examples.withColumn("block", F.shiftright("example_id", index.BLOCK_BITS))
+    blocks = rows.groupBy("file_key", "block").agg(F.max(F.size("ids")).alias("longest"))
+    widths = blocks.select("file_key", "block",
+                           F.max("longest").over(Window.partitionBy("file_key")).alias("width"))
+    return _fill(rows.join(widths, ["file_key", "block"]).drop("block"), pad_id)
 
 
 def to_export(rows: DataFrame) -> DataFrame:
@@ -62,10 +90,9 @@ def to_export(rows: DataFrame) -> DataFrame:
         "token_type_ids": F.col("token_type_ids").cast("array<bigint>")})
 
 
-def collate(batched: DataFrame, masking: Callable[[DataFrame], DataFrame], pad_id: int = 0) -> DataFrame:
+def collate(padded: DataFrame, masking: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Padded batches with ``inputs`` and ``labels``; ``masking`` is any
     DataFrame -> DataFrame step that adds the two."""
-    filled = batched.transform(pad_batch, pad_id).transform(masking)
-    return to_export(filled).select(
+    return to_export(padded.transform(masking)).select(
         "batch_id", "row_in_batch", "file_key", "example_id", "inputs", "labels", "attention_mask",
         "token_type_ids")

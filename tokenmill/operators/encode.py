@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions import arrays as ar
+from tokenmill.functions.text import strip
 from tokenmill.operators import vocab as vc
 from tokenmill.operators.lines import texts_column
 from tokenmill.operators.rows import inlined, numbered
@@ -199,9 +200,25 @@ def spread_segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_se
                     use_overflow=False, texts: Column | None = None) -> DataFrame:
     """(file_key, n_chars, seg_id, ids), the texts of each file spread over all tasks."""
     rows = (numbered(files, ["file_key", "n_chars"], _texts(n_sentences, texts), "text_no", "text")
-            .repartition("file_key", "text_no")
-            .withColumn("texts", F.array("text")))
-    pieces = rows.select("file_key", "n_chars", "text_no", encoded("texts", tokenizer).alias("pieces"))
+            .repartition("file_key", "text_no"))
+    return text_segments(rows, tokenizer, max_length, use_overflow)
+
+
+def line_rows(lines: DataFrame) -> DataFrame:
+    """(file_key, n_chars, text_no, text) of the clean lines of a line table.
+
+    Sizes are pre-aggregated; a file that holds most lines is joined to its one
+    size row by as many tasks as Spark splits it into.
+    """
+    clean = (lines.select("file_key", F.col("line_no").alias("text_no"), strip(F.col("line")).alias("text"))
+             .where("text <> ''"))
+    sizes = clean.groupBy("file_key").agg(F.sum(F.length("text") + 1).alias("n_chars"))
+    return clean.join(sizes, "file_key")
+
+
+def text_segments(rows: DataFrame, tokenizer: Tokenizer, max_length=512, use_overflow=False) -> DataFrame:
+    """(file_key, n_chars, seg_id, ids) from (file_key, n_chars, text_no, text)."""
+    pieces = rows.withColumn("texts", F.array("text")).select("file_key", "n_chars", "text_no", encoded("texts", tokenizer).alias("pieces"))
     of_text = pieces.select("file_key", "n_chars", _of_text(
         F.element_at("pieces", 1), F.col("text_no"), max_length, use_overflow, tokenizer)
         .alias("segments"))

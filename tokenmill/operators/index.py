@@ -55,17 +55,24 @@ def file_order(examples: DataFrame, seed: int = 0, block: Column | None = None)
             .drop("block", "rank", "start"))
 
 
-def random_order(examples: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """Add ``global_idx`` in an order drawn anew for each epoch."""
+def in_buckets(examples: DataFrame, seed: int, epoch: int) -> DataFrame:
+    """Add ``place``, an order drawn anew for each epoch, and its ``bucket``."""
     place = draws.order_draw(draws.row_key(seed, "file_key"), F.lit(draws.SHUFFLE), F.lit(epoch),
                              F.col("example_id"))
-    rows = examples.withColumn("place", place).withColumn("bucket", draws.bucket_of(F.col("place")))
-    starts = bucket_starts(rows).drop("size")
+    return examples.withColumn("place", place).withColumn("bucket", draws.bucket_of(F.col("place")))
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """Add ``global_idx`` to rows in buckets; they stay grouped by bucket."""
     inside = Window.partitionBy("bucket").orderBy("place", "file_key", "example_id")
     return (rows.withColumn("rank", F.row_number().over(inside) - 1)
-            .join(F.broadcast(starts), "bucket")
-            .withColumn("global_idx", F.col("start") + F.col("rank"))
-            .drop("place", "bucket", "rank", "start"))
+            .join(F.broadcast(bucket_starts(rows).drop("size")), "bucket")
+            .withColumn("global_idx", F.col("start") + F.col("rank")).drop("rank", "start"))
+
+
+def random_order(examples: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """Add ``global_idx`` in an order drawn anew for each epoch."""
+    return ranked(in_buckets(examples, seed, epoch)).drop("place", "bucket")
 
 
 def lookup(indexed: DataFrame, positions: DataFrame) -> DataFrame:

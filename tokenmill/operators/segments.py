@@ -107,6 +107,15 @@ def pairs(files: DataFrame, tokenizer: encode.Tokenizer, seed: int, max_length=5
     return of_small.unionByName(of_big)
 
 
+def examples_of_lines(lines: DataFrame, tokenizer: encode.Tokenizer, seed: int = 0, two_segments=True,
+                      max_length=512, use_overflow=False,
+                      chars_per_slice: int = BIG_FILE_CHARS) -> DataFrame:
+    """Examples from (file_key, line_no, line), for files that do not fit one row."""
+    rows = encode.text_segments(encode.line_rows(lines), tokenizer, max_length, use_overflow)
+    made = joined(pairs_across_rows(rows, seed, chars_per_slice)) if two_segments else single(rows)
+    return made.select(*EXAMPLES.names)
+
+
 def examples(files: DataFrame, tokenizer: encode.Tokenizer, seed: int = 0, two_segments=True,
              max_length=512, n_sentences=0, use_overflow=False,
              big_file_chars: int = BIG_FILE_CHARS) -> DataFrame:

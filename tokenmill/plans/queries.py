@@ -51,10 +51,11 @@ def utf8_quarantine(t: Inputs) -> DataFrame:
     content = F.when(F.col("lang") == "de", F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
     stored = t.table("documents", "doc_id", "lang", "text").select(
         F.col("doc_id").cast("string").alias("file_key"), content.alias("content"))
+    stored = stored.withColumn("n_bytes", F.length("content").cast("long"))
     good, bad = files.decode(stored)
     return (good.select("file_key", F.lit("accepted").alias("status"), F.col("n_chars").alias("n_bytes"))
             .unionByName(bad.select("file_key", F.lit("rejected").alias("status"),
-                                    F.col("n_bytes").cast("long").alias("n_bytes"))))
+                                    "n_bytes")))
 
 
 @query

@@ -11,13 +11,15 @@ from tokenmill.operators.encode import Tokenizer
 def loader(examples: DataFrame, tokenizer: Tokenizer, batch_size=128, shuffle=True, mlm=True,
            mlm_prob=0.15, rand_replace=True, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Padded batches of one epoch with inputs, labels and masks."""
-    batched = (batch.shuffled(examples, batch_size, seed, epoch) if shuffle
-               else batch.ordered(examples, batch_size, seed))
+    if shuffle:
+        padded = batch.shuffled_padded(examples, batch_size, tokenizer.pad_id, seed, epoch)
+    else:
+        padded = batch.pad_batch(batch.ordered(examples, batch_size, seed), tokenizer.pad_id)
     if not mlm:
-        return batch.collate(batched, masking.clm, tokenizer.pad_id)
-    return batch.collate(batched, lambda rows: masking.mlm(
+        return batch.collate(padded, masking.clm)
+    return batch.collate(padded, lambda rows: masking.mlm(
         rows, mlm_prob, tokenizer.pad_id, tokenizer.mask_id, tokenizer.vocab_size, rand_replace,
-        seed, epoch), tokenizer.pad_id)
+        seed, epoch))
 
 
 def line_examples(files: DataFrame, tokenizer: Tokenizer, max_length=512) -> DataFrame:

@@ -30,7 +30,7 @@ def from_table(rows: DataFrame, key: Column, text="text", n_chars=None) -> DataF
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """Every file below a directory as undecoded bytes."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
-    return files.select(F.col("path").alias("file_key"), "content")
+    return files.select(F.col("path").alias("file_key"), "content", F.col("length").alias("n_bytes"))
 
 
 def decode(binary_files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,8 +41,8 @@ def decode(binary_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     as_string = F.col("content").cast("string")
     valid = F.is_valid_utf8(as_string)
     good = binary_files.where(valid).select(
-        "file_key", as_string.alias("text"), F.length("content").cast("long").alias("n_chars"))
-    bad = binary_files.where(~valid).select("file_key", F.length("content").alias("n_bytes"))
+        "file_key", as_string.alias("text"), F.col("n_bytes").alias("n_chars"))
+    bad = binary_files.where(~valid).select("file_key", "n_bytes")
     return good, bad
 
 
