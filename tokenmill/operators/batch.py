@@ -26,13 +26,14 @@ def shuffled(examples: DataFrame, batch_size: int = 128, seed: int = 0, epoch: i
 def shuffled_padded(examples: DataFrame, batch_size: int = 128, pad_id: int = 0, seed: int = 0,
                     epoch: int = 0) -> DataFrame:
     """:func:`shuffled` then :func:`pad_batch`, moving the rows through one shuffle
-    instead of two.
+    instead of two. ``n_tokens`` must be the length of ``ids``, as it is in the cache.
 
     Ranking leaves the rows grouped by bucket, and a batch inside one bucket is
     padded there. Only batches that cross a bucket border, no more than there are
     buckets, need rows of several; their widths come from a pass over the keys.
     """
-    sizes = examples.select("file_key", "example_id", F.size("ids").alias("n_tokens"))
+    # the stored lengths spare this pass the token arrays
+    sizes = examples.select("file_key", "example_id", "n_tokens")
     keys = index.in_buckets(sizes, seed, epoch)
     edges = (index.bucket_starts(keys)
              .select(F.explode(F.array("start", F.col("start") + F.col("size") - 1)).alias("global_idx"))
@@ -41,7 +42,7 @@ def shuffled_padded(examples: DataFrame, batch_size: int = 128, pad_id: int = 0,
                 .join(F.broadcast(edges), "batch_id", "left_semi")
                 .groupBy("batch_id").agg(F.max("n_tokens").alias("edge_width")))
     rows = _numbered(index.ranked(index.in_buckets(examples, seed, epoch)), batch_size)
-    inside = rows.withColumn("inside_width", F.max(F.size("ids")).over(Window.partitionBy("bucket", "batch_id")))
+    inside = rows.withColumn("inside_width", F.max("n_tokens").over(Window.partitionBy("bucket", "batch_id")))
     wide = (inside.join(F.broadcast(crossing), "batch_id", "left")
             .withColumn("width", F.coalesce("edge_width", "inside_width"))
             .drop("edge_width", "inside_width", "bucket", "place"))
