@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import draws
 from tokenmill.functions.arrays import bound
-from tokenmill.operators import batch, corrupt, encode, masking, scores, segments, vocab
+from tokenmill.operators import batch, corrupt, encode, masking, segments, vocab
 from tokenmill.operators.rows import numbered
+from tokenmill.plans import evaluation
 from tokenmill.sources import cache, files
 
 #: settings shared by the registered queries and their SQL
@@ -105,8 +106,9 @@ class Inputs:
 
     def discriminator_scores(self, corrupted: DataFrame) -> DataFrame:
         """Stand-in for a discriminator's output: two logits per position."""
-        noise = draws.draw(masking.example_key(SEED, draws.SCORE, 1), F.col("pos"))
-        rows = numbered(corrupted, ["batch_id", "file_key", "example_id"],
+        noise = draws.draw(F.col("key"), F.col("pos"))
+        keyed = corrupted.withColumn("key", masking.example_key(SEED, draws.SCORE, 1))
+        rows = numbered(keyed, ["batch_id", "file_key", "example_id", "key"],
                         F.arrays_zip(F.col("d_labels").alias("label"), "attention_mask"), "pos", "p")
         return (rows.select("batch_id", "file_key", "example_id", "pos", "p.label", "p.attention_mask",
                             noise.alias("noise"))
@@ -117,5 +119,4 @@ class Inputs:
 
     def corrupted(self) -> DataFrame:
         masked = self.masked_batches()
-        samples = scores.sample(self.generator_scores(masked), "cand", SEED)
-        return corrupt.corrupt(corrupt.attach(masked, samples))
+        return evaluation.corrupted(masked, self.generator_scores(masked), "cand", SEED)

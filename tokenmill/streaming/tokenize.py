@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tokenmill.operators import segments
 from tokenmill.operators.encode import Tokenizer
 from tokenmill.sources import cache
+from tokenmill.sources.files import spread
 
 
 _WRITTEN = T.StructType([T.StructField("file_key", T.StringType()),
@@ -33,7 +34,7 @@ def tokenize(files: DataFrame, tokenizer: Tokenizer, path: str, checkpoint: str,
     stops when what has arrived is done."""
     def write(arrived: DataFrame, batch_no: int) -> None:
         spark = arrived.sparkSession
-        todo = arrived
+        todo = spread(arrived, "file_key")
         if cache.exists(spark, path):
             others = spark.read.schema(_WRITTEN).parquet(path).where(F.col("arrival") != batch_no)
             todo = cache.pending(todo, others)
