@@ -48,13 +48,25 @@ def test_segments_equal_the_library(files, tokenizer, library, use_overflow, big
 
 def test_a_tokenizer_that_cannot_be_cut_at_spaces(files, tokenizer):
     def factory():
-        return lambda texts: [[len(t)] for t in texts]
+        return encode.list_encoder(lambda texts: [[len(t)] for t in texts])
 
     lengths = replace(tokenizer, factory=factory, splits_on_space=False)
     rows = encode.segments(files({"f": "a b c\nabc"}), lengths, 16).collect()
     assert sorted(r.ids[1] for r in rows) == [3, 5]
 
 
+def test_edge_texts_equal_the_library(files, tokenizer, library):
+    odd = ["a [SEP] b", "x[MASK]y", "[", "a[b", "!", "?!a", "İ", "é[", "Ⅳ", "a\u0301b", "[UNK]", "x\u200dy", "a\tb\x0bc",
+           "d\xa0e \u3000f", "“quote”—dash…", "ΣΑΣ", "a  b", "\x00c", "ß"]
+    rows = encode.segments(files({str(i): t for i, t in enumerate(odd)}), tokenizer, 64).collect()
+    assert {odd[int(r.file_key)]: r.ids for r in rows} == {t: library.encode(t).ids for t in odd}
+
+
+def test_no_text_at_all(files, tokenizer):
+    assert encode.segments(files({"a": "", "b": "\n \n"}), tokenizer).collect() == []
+    assert encode.segments(files({"a": ""}).where("false"), tokenizer).collect() == []
+
+
 def test_limits_of_a_window(files, tokenizer):
     texts = {"f": "\n".join(["a " * 14, "a " * 15, "a"])}
     kept = encode.segments(files(texts), tokenizer, 16).collect()

@@ -20,16 +20,26 @@ from tokenmill.operators.lines import texts_column
 from tokenmill.operators.rows import inlined, numbered
 from tokenmill.schema import BIG_FILE_CHARS
 
-#: texts -> piece ids of each text, without special tokens
-Encoder = Callable[[list], list]
+#: STRING array of texts -> LIST<INT32> array of their piece ids, without special tokens
+Encoder = Callable[[pa.Array], pa.ListArray]
 
-#: a task forgets its remembered words at this many
+#: a task remembers the pieces of this many words
 MEMO_WORDS = 1 << 18
 
-#: texts handed to the tokenizer at a time
+#: texts handed to the tokenizer library at a time
 SLICE = 4096
 
 
+def list_encoder(encode_texts: Callable[[list], list]) -> Encoder:
+    """An :data:`Encoder` from a function over Python lists."""
+    def encode(texts):
+        ids = []
+        for start in range(0, len(texts), SLICE):
+            ids += encode_texts(texts.slice(start, SLICE).to_pylist())
+        return pa.array(ids, pa.list_(pa.int32()))
+    return encode
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """A tokenizer the tasks can build.
@@ -50,10 +60,10 @@ class Tokenizer:
 
 #: chunks the normalizer only lower-cases: printable ASCII, and no bracket that
 #: could open a special token
-PLAIN = r"[!-Z\\-~]*"
+PLAIN = r"^[!-Z\\-~]*$"
 
-# A word of plain text is one ASCII punctuation mark or a run without.
-PLAIN_WORD = r"[!-/:-@\[-`{-~]|[^!-/:-@\[-`{-~]+"
+# The ASCII punctuation marks; each is a word of its own.
+PLAIN_MARK = r"([!-/:-@\[-`{-~])"
 
 
 def wordpiece(spark: SparkSession, vocab: dict[str, int]) -> Tokenizer:
@@ -62,34 +72,37 @@ def wordpiece(spark: SparkSession, vocab: dict[str, int]) -> Tokenizer:
 
     def factory() -> Encoder:
         import os
-        import re
         from functools import lru_cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import BertWordPieceTokenizer
-        tokenizer = BertWordPieceTokenizer(shipped.value)._tokenizer
-        plain, words = re.compile(PLAIN).fullmatch, re.compile(PLAIN_WORD).findall
+        library = BertWordPieceTokenizer(shipped.value)._tokenizer
+        normalize = library.normalizer.normalize_str
 
         @lru_cache(MEMO_WORDS)
         def pieces(word):
-            return [token.id for token in tokenizer.model.tokenize(word)]
-
-        normalize = tokenizer.normalizer.normalize_str
-
-        def encode(texts):
-            """Texts that normalize to plain ASCII word by word, others by the library."""
-            ids, rest = [], []
-            for n, text in enumerate(texts):
-                clean = text.lower() if plain(text) else "[" if "[" in text else normalize(text)
-                if plain(clean):
-                    ids.append([i for word in words(clean) for i in pieces(word)])
-                else:
-                    ids.append(None)
-                    rest.append(n)
-            if rest:
-                others = tokenizer.encode_batch_fast([texts[n] for n in rest], add_special_tokens=False)
-                for n, other in zip(rest, others):
-                    ids[n] = other.ids
-            return ids
+            return [token.id for token in library.model.tokenize(word)] if word else []
+
+        def by_word(chunks):
+            """Chunks of plain text: each distinct word once."""
+            words = pc.utf8_split_whitespace(pc.replace_substring_regex(chunks, PLAIN_MARK, r" \1 "))
+            distinct = words.flatten().dictionary_encode()
+            ids = pa.array([pieces(w) for w in distinct.dictionary.to_pylist()], pa.list_(pa.int32()))
+            return _joined(words, ids.take(distinct.indices))
+
+        whole = list_encoder(lambda texts: [
+            e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)])
+
+        def encode(chunks):
+            """Chunks that normalize to plain ASCII word by word, others by the library."""
+            plain = pc.match_substring_regex(chunks, PLAIN)
+            open_bracket = pc.match_substring(chunks, "[")
+            foreign = chunks.filter(pc.invert(plain)).to_pylist()
+            tidy = pa.array([c if "[" in c else normalize(c) for c in foreign], pa.string())
+            clean = pc.replace_with_mask(pc.ascii_lower(chunks), pc.invert(plain), tidy)
+            plain = pc.and_not(pc.match_substring_regex(clean, PLAIN), open_bracket)
+            order = pc.array_sort_indices(pc.invert(plain))
+            ids = pa.concat_arrays([by_word(clean.filter(plain)), whole(chunks.filter(pc.invert(plain)))])
+            return ids.take(pc.array_sort_indices(order))
 
         return encode
 
@@ -102,26 +115,18 @@ def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def _ids_by_text(encode: Encoder, texts: pa.Array) -> pa.ListArray:
-    encoded = []
-    for start in range(0, len(texts), SLICE):
-        encoded += encode(texts.slice(start, SLICE).to_pylist())
-    return pa.array(encoded, pa.list_(pa.int32()))
+def _joined(lists: pa.ListArray, ids: pa.ListArray) -> pa.ListArray:
+    """The id lists of the elements of each list, run together."""
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(False))])
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(False))])
+    return _lists(np.diff(ends[bounds]), ids.flatten())
 
 
-def _ids_by_chunk(encode: Encoder, memo: dict, texts: pa.Array) -> pa.ListArray:
+def _ids_by_chunk(encode: Encoder, texts: pa.Array) -> pa.ListArray:
     """Encode each distinct space-separated chunk once and put the texts together again."""
     chunks = pc.split_pattern(texts, " ")
-    words = chunks.flatten().dictionary_encode()
-    known = words.dictionary.to_pylist()
-    new = [w for w in known if w not in memo]
-    for start in range(0, len(new), SLICE):
-        part = new[start:start + SLICE]
-        memo.update(zip(part, encode(part)))
-    pieces = pa.array([memo[w] for w in known], pa.list_(pa.int32())).take(words.indices)
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(False))])
-    per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy(False))])
-    return _lists(np.diff(ends[per_text]), pieces.flatten())
+    distinct = chunks.flatten().dictionary_encode()
+    return _joined(chunks, encode(distinct.dictionary).take(distinct.indices))
 
 
 def encoded(texts: str, tokenizer: Tokenizer) -> Column:
@@ -130,15 +135,10 @@ def encoded(texts: str, tokenizer: Tokenizer) -> Column:
 
     @F.arrow_udf("array<array<int>>")
     def encode_texts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        encode, memo = factory(), {}
+        encode = factory()
         for batch, sizes in batches:
             flat = batch.flatten()
-            if by_chunk:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                ids = _ids_by_chunk(encode, memo, flat)
-            else:
-                ids = _ids_by_text(encode, flat)
+            ids = _ids_by_chunk(encode, flat) if by_chunk else encode(flat)
             yield _lists(sizes.to_numpy(False), ids)
 
     # naming the texts twice keeps Spark from merging the expression that made
