@@ -56,6 +56,11 @@ def test_texts(files, n):
     assert collected(lines.texts(files(TEXTS), n), "text_no", "text") == {k: expected(t) for k, t in TEXTS.items()}
 
 
+def test_very_long_groups(files):
+    found = lines.texts(files({"f": "ab c." * 50000}), 20000).collect()
+    assert sorted(r.text.count(".") for r in found) == [10001, 20000, 20000]
+
+
 def test_negative_grouping_is_refused(files):
     with pytest.raises(ValueError):
         lines.texts(files(TEXTS), -1)

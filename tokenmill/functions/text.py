@@ -46,5 +46,6 @@ def sentences(text: Column) -> Column:
 
 def sentence_groups(text: Column, n: int) -> Column:
     """Runs of n consecutive sentences joined by a space; the last run may be short."""
-    runs = F.regexp_extract_all(F.concat(text, F.lit(".")), F.lit(f"(?:[^.]*\\.){{1,{n}}}"), F.lit(0))
+    # possessive, as backtracking over a long run would exhaust the stack
+    runs = F.regexp_extract_all(F.concat(text, F.lit(".")), F.lit(f"(?:[^.]*+\\.){{1,{n}}}+"), F.lit(0))
     return F.transform(runs, lambda run: F.regexp_replace(run, "(?s)\\.(?=.)", ". "))

@@ -204,16 +204,17 @@ def spread_segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_se
     return text_segments(rows, tokenizer, max_length, use_overflow)
 
 
-def line_rows(lines: DataFrame) -> DataFrame:
+def line_rows(lines: DataFrame, chars_per_slice: int = BIG_FILE_CHARS) -> DataFrame:
     """(file_key, n_chars, text_no, text) of the clean lines of a line table.
 
-    Sizes are pre-aggregated; a file that holds most lines is joined to its one
-    size row by as many tasks as Spark splits it into.
+    Sizes are pre-aggregated and only those above a slice are joined, so there
+    are at most total characters / ``chars_per_slice`` of them.
     """
     clean = (lines.select("file_key", F.col("line_no").alias("text_no"), strip(F.col("line")).alias("text"))
              .where("text <> ''"))
-    sizes = clean.groupBy("file_key").agg(F.sum(F.length("text") + 1).alias("n_chars"))
-    return clean.join(sizes, "file_key")
+    sizes = (clean.groupBy("file_key").agg(F.sum(F.length("text") + 1).alias("n_chars"))
+             .where(F.col("n_chars") > chars_per_slice))
+    return clean.join(sizes, "file_key", "left").withColumn("n_chars", F.coalesce("n_chars", F.lit(1)))
 
 
 def text_segments(rows: DataFrame, tokenizer: Tokenizer, max_length=512, use_overflow=False) -> DataFrame:

@@ -111,7 +111,7 @@ def examples_of_lines(lines: DataFrame, tokenizer: encode.Tokenizer, seed: int =
                       max_length=512, use_overflow=False,
                       chars_per_slice: int = BIG_FILE_CHARS) -> DataFrame:
     """Examples from (file_key, line_no, line), for files that do not fit one row."""
-    rows = encode.text_segments(encode.line_rows(lines), tokenizer, max_length, use_overflow)
+    rows = encode.text_segments(encode.line_rows(lines, chars_per_slice), tokenizer, max_length, use_overflow)
     made = joined(pairs_across_rows(rows, seed, chars_per_slice)) if two_segments else single(rows)
     return made.select(*EXAMPLES.names)
 
