@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import near_dups, quality
+from tokenmill.llm import leaks, near_dups, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,12 +16,16 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    queries = [op1_compression_quality, op10_hyperminhash]
+    queries = [op1_compression_quality, op8_qgram_decontamination, op10_hyperminhash]
     return {query.__name__: query for query in queries}
 
 
