@@ -10,9 +10,9 @@ the hopeless ones, and the full shingle sets decide.
 Equal sets are one class and are compared once. In a band's bucket all classes are
 first compared with the smallest class; whatever that connects is settled. Only
 buckets that still hold several components are compared further, in blocks of
-bounded size, and only across components. So a large group of near copies costs
-about one comparison for each member and band, and no link that decides a
-component is left out.
+bounded size, only across components, and inside the task, which returns no more
+than the links that join components. So a large group of near copies makes about
+one row for each member and band, and no link that decides a component is left out.
 """
 
 import hashlib
@@ -35,11 +35,11 @@ SHINGLE, PERCENT = 5, 85
 #: A pair at 0.85 shares no band with probability (1 - 0.85^4)^32, about 5e-11.
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 
-#: classes of one bucket that a task compares with each other at a time
-BLOCK = 1024
+#: classes of one bucket, and shingles of these, that a task compares at a time
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 #: deviations below the threshold at which an estimate drops a pair
-SLACK = 6.0
+SLACK = 5.0
 
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 
@@ -164,26 +164,39 @@ def _estimated(percent: int):
     return run
 
 
-def _bucket_pairs(percent: int):
-    """Hopeful pairs across components inside each bucket block. The rows come sorted
-    by bucket and block pair; a block pair holds at most twice ``BLOCK`` classes."""
+def _bucket_links(percent: int):
+    """Links across components inside each bucket block, no more than join what the
+    block's earlier links have left apart. The rows come sorted by bucket and block
+    pair; a block pair holds about twice ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles."""
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        reps, comps, sizes = (rows.column(c).to_numpy() for c in ("rep", "comp", "n_shingles"))
-        sides = rows.column("side").to_numpy()
+        reps, sizes, sides = (rows.column(c).to_numpy() for c in ("rep", "n_shingles", "side"))
+        groups = np.unique(rows.column("comp").to_numpy(), return_inverse=True)[1]
         first, second = rows.column("block_a")[0].as_py(), rows.column("block_b")[0].as_py()
         registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = rows.column("hashes").combine_chunks()
+        bounds = sets.offsets.to_numpy().astype(np.int64)
+        distinct, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        bounds = bounds - bounds[0]
+        marked, found = np.zeros(len(distinct), bool), []
         left = np.flatnonzero(sides == first)
         right = left if first == second else np.flatnonzero(sides == second)
         for i in left:
             j = right[right > i] if first == second else right
-            j = j[comps[j] != comps[i]]
-            smaller, larger = np.minimum(sizes[j], sizes[i]), np.maximum(sizes[j], sizes[i])
-            j = j[100 * smaller >= percent * larger]
+            j = j[groups[j] != groups[i]]
             if len(j):
                 j = j[_hopeful(registers[j], registers[i], sizes[j], sizes[i], percent)]
-            if len(j):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(reps[j], reps[i])), pa.array(np.maximum(reps[j], reps[i]))], ["a", "b"])
+            if not len(j):
+                continue
+            own = codes[bounds[i]:bounds[i + 1]]
+            marked[own] = True
+            shared = np.array([np.count_nonzero(marked[codes[bounds[x]:bounds[x + 1]]]) for x in j])
+            marked[own] = False
+            for x in j[100 * shared >= percent * (sizes[i] + sizes[j] - shared)]:
+                if groups[x] != groups[i]:
+                    groups[groups == groups[x]] = groups[i]
+                    found.append((reps[i], reps[x]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(side) for side in zip(*found, strict=True)], ["a", "b"])
 
     def run(batches):
         held = []
@@ -204,11 +217,8 @@ def _bucket_pairs(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = scratch.table(texts.mapInArrow(_full_sets, "rep long, hashes array<long>"), "sets")
     both = (pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
             .withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long")))
     return both.where(100 * F.col("shared") >= percent * (F.size("set_a") + F.size("set_b") - F.col("shared"))) \
@@ -224,39 +234,39 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     if classes.isEmpty():
         return classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     sizes = classes.select("rep", "n_shingles", "sketch")
-    banded = classes.select("rep", "n_shingles", "sketch").mapInArrow(
-        _bands, "rep long, n_shingles long, keys array<long>")
-    members = banded.select("rep", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # rows of buckets with company only: the rest is most of them, and done with
-    members = scratch.table(members.join(buckets, "key"), "members")
+    banded = sizes.mapInArrow(_bands, "rep long, n_shingles long, keys array<long>")
+    members = banded.select("rep", "n_shingles", F.explode("keys").alias("key"))
+    # buckets with company only, which are few, and one of those with the same members
+    buckets = (members.groupBy("key").agg(
+        F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"),
+        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark")).where("n > 1")
+        .groupBy("leader", "n", "shingles", "mark").agg(F.min("key").alias("key")))
+    members = scratch.table(members.drop("n_shingles").join(buckets.drop("mark"), "key"), "members")
+
+    # candidates grow with the corpus, so their ids are never broadcast
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
+    sets = scratch.table(texts.mapInArrow(_full_sets, "rep long, hashes array<long>"), "sets")
 
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    a = sizes.toDF("a", "n_a", "sketch_a")
-    b = sizes.toDF("b", "n_b", "sketch_b")
-    tried = scratch.table(
-        stars.join(a, "a").join(b, "b").where("100 * least(n_a, n_b) >= " + str(percent) + " * greatest(n_a, n_b)")
-        .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated(percent), "a long, b long"),
-        "stars")
-    found = scratch.table(_verified(tried, docs, percent), "links")
+    tried = stars.join(sizes.toDF("a", "n_a", "sketch_a"), "a").join(sizes.toDF("b", "n_b", "sketch_b"), "b") \
+        .mapInArrow(_estimated(percent), "a long, b long")
+    found = scratch.table(_verified(tried, sets, percent), "links")
     settled = connected(found)
 
-    placed = (members.join(settled, members["rep"] == settled["node"], "left")
-              .select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+    placed = (members.where("n > 2").join(settled, members["rep"] == settled["node"], "left")
+              .withColumn("comp", F.coalesce("component", "rep")).drop("node", "component"))
     mixed = (placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
              .where("low <> high").select("key"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    rest = (placed.join(mixed, "key").where("n > 2").join(sizes, "rep")
-            .withColumn("blocks", blocks)
+    late = (placed.join(mixed, "key", "left_semi").join(sizes, "rep").join(sets, "rep")
+            .withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
             .withColumn("side", F.pmod(F.xxhash64("rep"), "blocks"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             .select("key", F.least("side", "other").alias("block_a"), F.greatest("side", "other").alias("block_b"),
-                    "side", "rep", "comp", "n_shingles", "sketch"))
-    late = (rest.repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b")
-            .mapInArrow(_bucket_pairs(percent), "a long, b long").distinct()
-            .join(tried, ["a", "b"], "left_anti"))
-    late = scratch.table(late, "late")
-    return found if late.isEmpty() else found.union(_verified(late, docs, percent))
+                    "side", "rep", "comp", "n_shingles", "sketch", "hashes"))
+    late = (late.repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b")
+            .mapInArrow(_bucket_links(percent), "a long, b long"))
+    return found.union(scratch.table(late.distinct(), "late"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
