@@ -166,9 +166,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.schema.simpleString()[len("struct<"):-1] + ",content:binary")
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded documents; the last is of
-    the bytes that their ids decode to."""
+def digests(encoded: DataFrame, path: str, pattern: str, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded documents, and ``more`` of
+    their columns; the last digest is of the bytes that the ids decode to."""
     return decode(encoded, path, pattern).select(
         "doc_id", F.expr("cast(length(ids) / 4 as long)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"))
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"), *more)
