@@ -43,14 +43,14 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
-def table(rows: DataFrame, name: str) -> DataFrame:
+def table(rows: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``rows`` computed once: written, and read back with its lineage cut."""
-    return placed(rows, name)[0]
+    return placed(rows, name, codec)[0]
 
 
-def placed(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+def placed(rows: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """As ``table``, with the path, for a caller that removes it again."""
     spark = rows.sparkSession
     path = folder(spark, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", codec).parquet(path)
     return spark.read.schema(rows.schema).parquet(path), path
