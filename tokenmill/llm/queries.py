@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import byte_bpe, leaks, near_dups, quality
+from tokenmill.llm import brown, byte_bpe, leaks, near_dups, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_brown_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_read(spark, sf_dir, "documents"))
+
+
 def op7_overlapping_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -32,7 +36,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    queries = [op1_compression_quality, op7_overlapping_bpe, op8_qgram_decontamination,
+    queries = [op1_compression_quality, op4_brown_bigrams, op7_overlapping_bpe, op8_qgram_decontamination,
                op10_hyperminhash]
     return {query.__name__: query for query in queries}
 
