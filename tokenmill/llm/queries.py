@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import brown, byte_bpe, leaks, near_dups, quality
+from tokenmill.llm import brown, byte_bpe, leaks, near_dups, quality, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,13 +31,17 @@ def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     queries = [op1_compression_quality, op4_brown_bigrams, op7_overlapping_bpe, op8_qgram_decontamination,
-               op10_hyperminhash]
+               op9_wavelet_shards, op10_hyperminhash]
     return {query.__name__: query for query in queries}
 
 
