@@ -36,7 +36,7 @@ SHINGLE, PERCENT = 5, 85
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 
 #: classes of one bucket, and shingles of these, that a task compares at a time
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 
 #: deviations below the threshold at which an estimate drops a pair
 SLACK = 5.0

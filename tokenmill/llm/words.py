@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: text bytes that a task turns into words at a time; a longer text comes alone
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
