@@ -5,7 +5,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import brown, byte_bpe, leaks, near_dups, quality, wavelet
+from tokenmill.llm import brown, byte_bpe, leaks, near_dups, quality, ring, wavelet
+
+#: shards that the documents are put into
+SHARDS = 40
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +24,10 @@ def op4_brown_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(_read(spark, sf_dir, "documents"))
 
 
+def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.sharded(_read(spark, sf_dir, "documents"), SHARDS)
+
+
 def op7_overlapping_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -40,7 +47,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    queries = [op1_compression_quality, op4_brown_bigrams, op7_overlapping_bpe, op8_qgram_decontamination,
+    queries = [op1_compression_quality, op4_brown_bigrams, op5_bounded_ring, op7_overlapping_bpe, op8_qgram_decontamination,
                op9_wavelet_shards, op10_hyperminhash]
     return {query.__name__: query for query in queries}
 
