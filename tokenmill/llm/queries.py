@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import brown, byte_bpe, leaks, near_dups, quality, ring, urls, wavelet
+from tokenmill.llm import brown, byte_bpe, hamming, leaks, near_dups, quality, ring, urls, wavelet
 
 #: shards that the documents are put into
 SHARDS = 40
@@ -24,6 +24,10 @@ def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(_read(spark, sf_dir, "pages"))
 
 
+def op3_itq_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_brown_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(_read(spark, sf_dir, "documents"))
 
@@ -51,9 +55,9 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    queries = [op1_compression_quality, op2_redirect_equivalence, op4_brown_bigrams, op5_bounded_ring,
-               op7_overlapping_bpe, op8_qgram_decontamination,
-               op9_wavelet_shards, op10_hyperminhash]
+    queries = [op1_compression_quality, op2_redirect_equivalence, op3_itq_near_dups, op4_brown_bigrams,
+               op5_bounded_ring, op7_overlapping_bpe, op8_qgram_decontamination, op9_wavelet_shards,
+               op10_hyperminhash]
     return {query.__name__: query for query in queries}
 
 
