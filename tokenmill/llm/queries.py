@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import brown, byte_bpe, hamming, leaks, near_dups, quality, ring, urls, wavelet
+from tokenmill.llm import brown, byte_bpe, hamming, leaks, near_dups, quality, ring, urls, warc, wavelet
 
 #: shards that the documents are put into
 SHARDS = 40
@@ -36,6 +36,10 @@ def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.sharded(_read(spark, sf_dir, "documents"), SHARDS)
 
 
+def op6_chained_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op7_overlapping_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -56,7 +60,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     queries = [op1_compression_quality, op2_redirect_equivalence, op3_itq_near_dups, op4_brown_bigrams,
-               op5_bounded_ring, op7_overlapping_bpe, op8_qgram_decontamination, op9_wavelet_shards,
+               op5_bounded_ring, op6_chained_warc, op7_overlapping_bpe, op8_qgram_decontamination, op9_wavelet_shards,
                op10_hyperminhash]
     return {query.__name__: query for query in queries}
 
