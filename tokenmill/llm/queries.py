@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import brown, byte_bpe, hamming, leaks, near_dups, quality, ring, urls, warc, wavelet
+from tokenmill.llm import brown, byte_bpe, hamming, leaks, near_dups, oracle, quality, ring, urls, warc, wavelet
 
 #: shards that the documents are put into
 SHARDS = 40
@@ -66,4 +66,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return oracle.statements()
