@@ -83,15 +83,13 @@ FROM keyed LEFT JOIN explicit ON key = node LEFT JOIN shared USING (root)
 
 COSINES = f"""
 WITH RECURSIVE vectors AS (
-    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-usable AS (
-    SELECT * FROM vectors
-    WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-      AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+    SELECT vec_id, label, CASE WHEN label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS v
+    FROM embeddings),
 edges AS (
-    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
-      ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id < b.vec_id
-    WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id
+    WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.98),
 {_components("edges")},
 degree AS (SELECT a AS vec_id, count(*) AS n FROM both_ways GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id,
