@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -46,6 +47,11 @@ _UNSEEN = _TOTAL - 1
 #: common words whose counts travel in one row
 _GROUP = 256
 
+#: a looked-up word is one integer: its place in the block's list above these bits, and
+#: below them its number among the common words, or _LIMIT plus its count, which for a word
+#: that is not common is a small share of all tokens
+_VALUE_BITS, _LIMIT = 40, 2 * SHARE
+
 
 def held_out(doc_id):
     """Documents that teach nothing."""
@@ -68,14 +74,15 @@ def _blocks(batches):
             "doc_ids": pa.array([batch.column("doc_id")], pa.list_(pa.int64())),
             "held": pa.array([batch.column("held")], pa.list_(pa.bool_())),
             "ends": pa.array([ends], pa.list_(pa.int64())),
-            "sequence": pa.array([sequence.tobytes()], pa.large_binary()).cast(pa.binary()),
+            "sequence": pa.array([zstandard.compress(sequence.tobytes())], pa.binary()),
             "words": pa.array([["", *distinct.to_pylist()]], pa.list_(pa.string())),
             "counts": pa.array([counts], pa.list_(pa.int64()))})
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """Documents in blocks: ids, held-out marks, token ends, the tokens as numbers of the
-    block's word list (number 0, the empty string, ends a document), training counts."""
+    block's word list (number 0, the empty string, ends a document), compressed, and
+    training counts."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
                        held_out(F.col("doc_id")).alias("held"))
     return rows.mapInArrow(_blocks, "doc_ids array<long>, held array<boolean>, ends array<long>, sequence binary, "
@@ -96,8 +103,8 @@ class Counts:
 
 
 def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
-    """The blocks with, for each word of a block's list, its training count in the whole
-    corpus (``totals``) and its number among the common words or -1 (``common``)."""
+    """The blocks with ``words``: for each word of a block's list, in order, its number
+    among the common words or its training count in the whole corpus."""
     listed = cut.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
     vocabulary = scratch.table(
         listed.where("w.counts > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("total")),
@@ -105,25 +112,26 @@ def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
     tokens, distinct, once, twice = (x or 0 for x in vocabulary.agg(
         F.sum("total"), F.count("total"), F.sum((F.col("total") == 1).cast("long")),
         F.sum((F.col("total") == 2).cast("long"))).first())
-    often = (F.col("total") * SHARE >= tokens) | (F.col("word") == "")
+    often = (F.col("total") >= tokens / SHARE) | (F.col("word") == "")
     rank = F.row_number().over(W.Window.orderBy(F.col("word") != "", F.desc("total"), "word")) - 1
     common = scratch.table(vocabulary.where(often).withColumn("number", rank), "common")  # SHARE rows at most
     numbered = vocabulary.join(F.broadcast(common.select("word", "number")), "word", "left")
+    value = F.coalesce(F.col("number").cast("long"), F.lit(_LIMIT) + F.coalesce("total", F.lit(0)))
+    placed = F.shiftleft(F.col("place").cast("long"), _VALUE_BITS).bitwiseOR(value)
     looked_up = (cut.select("block", F.posexplode("words").alias("place", "word")).join(numbered, "word", "left")
-                 .groupBy("block").agg(F.array_sort(F.collect_list(F.struct(
-                     "place", F.coalesce("total", F.lit(0)).alias("total"),
-                     F.coalesce("number", F.lit(-1)).alias("number")))).alias("w"))
-                 .select("block", F.col("w.total").alias("totals"), F.col("w.number").alias("common")))
+                 .groupBy("block").agg(F.array_sort(F.collect_list(placed)).alias("words")))
     totals = [r.total for r in common.orderBy("number").select("total").collect()]
     return (cut.drop("words", "counts").join(looked_up, "block"),
-            Counts(tokens, distinct, once, twice, np.array(totals or [0], float)))
+            Counts(tokens, distinct, once, twice, np.array(totals or [0], np.int64)))
 
 
-def _classes(batch: pa.RecordBatch, row: int, of_common: np.ndarray) -> tuple:
-    """(sequence, totals, common numbers, class) of a block, the last three by word."""
-    sequence = np.frombuffer(batch.column("sequence")[row].as_py(), np.int32)
-    totals = batch.column("totals")[row].values.to_numpy()
-    common = batch.column("common")[row].values.to_numpy()
+def _classes(batch: pa.RecordBatch, row: int, counts: np.ndarray, of_common: np.ndarray) -> tuple:
+    """(sequence, totals, common numbers or -1, class) of a block, the last three by word.
+    ``counts`` are those of the common words."""
+    sequence = np.frombuffer(zstandard.decompress(batch.column("sequence")[row].as_py()), np.int32)
+    value = batch.column("words")[row].values.to_numpy() & ((1 << _VALUE_BITS) - 1)
+    common = np.where(value < _LIMIT, value, -1)
+    totals = np.where(value < _LIMIT, counts[common], value - _LIMIT)
     by_count = CLASSES + np.frexp(totals.astype(float))[1]  # the bits of the count, from 1 on
     classes = np.where(common >= 0, of_common[common], np.where(totals > 0, np.minimum(by_count, _UNSEEN - 1), _UNSEEN))
     return sequence, totals, common, classes
@@ -134,7 +142,7 @@ def _learned(batch: pa.RecordBatch, row: int, sequence: np.ndarray) -> np.ndarra
     return sequence[np.repeat(~held, np.diff(batch.column("ends")[row].values.to_numpy(), prepend=0))]
 
 
-def _neighbours(of_common: np.ndarray):
+def _neighbours(counts: np.ndarray, of_common: np.ndarray):
     """Sums over a task's blocks: (group, counts) where the counts of a group of common words
     are two tables word by class, after and before; group -1 has class by class."""
     size = len(of_common)
@@ -144,7 +152,7 @@ def _neighbours(of_common: np.ndarray):
         pairs = np.zeros(_TOTAL * _TOTAL, np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                sequence, _, common, classes = _classes(batch, row, of_common)
+                sequence, _, common, classes = _classes(batch, row, counts, of_common)
                 sequence = _learned(batch, row, sequence)
                 follow = classes[sequence]
                 precede = np.concatenate([[0], follow[:-1]])  # every document begins after an end
@@ -175,10 +183,10 @@ def _summed(batches):
         yield _summary(group, counts)
 
 
-def _statistics(corpus: DataFrame, of_common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _statistics(corpus: DataFrame, counts: np.ndarray, of_common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class pairs, after, before) over all training tokens."""
     shape = "group long, counts binary"
-    rows = (corpus.select("held", "ends", "sequence", "totals", "common").mapInArrow(_neighbours(of_common), shape)
+    rows = (corpus.select("held", "ends", "sequence", "words").mapInArrow(_neighbours(counts, of_common), shape)
             .repartition("group").mapInArrow(_summed, shape).collect())  # SHARE * classes numbers at most
     found = {r.group: np.frombuffer(r.counts, np.int64) for r in rows}
     pairs = found.pop(-1, np.zeros(_TOTAL * _TOTAL, np.int64)).reshape(_TOTAL, _TOTAL)
@@ -218,7 +226,7 @@ def fitted(corpus: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     of_common[0] = 0
     best = None
     for turn in range(rounds + 1):
-        pairs, after, before = _statistics(corpus, of_common)
+        pairs, after, before = _statistics(corpus, counts.common, of_common)
         value = likelihood(pairs)
         if best is None or value > best[0]:
             best = value, of_common, pairs
@@ -251,7 +259,7 @@ def _scores(model: Model):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                sequence, totals, _, classes = _classes(batch, row, model.of_common)
+                sequence, totals, _, classes = _classes(batch, row, counts.common, model.of_common)
                 base = np.log10((totals + BASE) / base_total)
                 emission = np.where(totals > 0, np.log10(np.maximum(totals, 1) / np.maximum(model.sizes[classes], 1)), 0.0)
                 follow = classes[sequence]
@@ -280,7 +288,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     corpus = scratch.table(joined, "corpus", "zstd")
     scratch.remove(docs.sparkSession, path)
     model = fitted(corpus, counts, rounds)
-    rows = corpus.select("doc_ids", "held", "ends", "sequence", "totals", "common").mapInArrow(
+    rows = corpus.select("doc_ids", "held", "ends", "sequence", "words").mapInArrow(
         _scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long")
                        .alias("train_tokens"), "base_score", "score")
