@@ -34,9 +34,8 @@ SHARE = 1 << 17
 #: text bytes of a block
 BLOCK_BYTES = 4 << 20
 
-#: additive count of the unigram baseline, and weight of class frequencies in the
-#: smoothed class transitions
-BASE, PRIOR = 0.1, 20.0
+#: additive count of the unigram baseline
+BASE = 0.1
 
 #: classes by frequency: one for each number of bits of a count
 _BITS = 48
@@ -238,7 +237,8 @@ def fitted(corpus: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
 
 def _transitions(pairs: np.ndarray, counts: Counts) -> np.ndarray:
     """Smoothed P(class | class before). Unseen words, which no training text can show, get
-    the counts of words seen once, and those the share that Turing's estimate leaves them."""
+    the counts of words seen once, and those the share that Turing's estimate leaves them. Class frequencies weigh as much as there
+    are different classes after a class."""
     once = 1 + CLASSES
     moved = pairs.astype(float)
     moved[:, _UNSEEN] = moved[:, once]
@@ -247,7 +247,8 @@ def _transitions(pairs: np.ndarray, counts: Counts) -> np.ndarray:
     overall = moved[:_UNSEEN].sum(axis=0)
     overall[_UNSEEN] += 0.5
     overall = overall / overall.sum()
-    result = (moved + PRIOR * overall) / (moved.sum(axis=1, keepdims=True) + PRIOR)
+    kinds = np.maximum((moved > 0).sum(axis=1, keepdims=True), 1)
+    result = (moved + kinds * overall) / (moved.sum(axis=1, keepdims=True) + kinds)
     return np.maximum(result, 1e-300)
 
 
