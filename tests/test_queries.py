@@ -8,8 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF_DIR
+from tokenmill.plans.queries import registered
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# those of the optional subpackage have tests of their own
+QUERIES, SQL = registered(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -78,8 +78,8 @@ def pad_file(examples: DataFrame, pad_id: int = 0) -> DataFrame:
     """
     rows = examples.withColumn("block", F.shiftright("example_id", index.BLOCK_BITS))
     blocks = rows.groupBy("file_key", "block").agg(F.max(F.size("ids")).alias("longest"))
-    widths = blocks.select("file_key", "block",
-                           F.max("longest").over(Window.partitionBy("file_key")).alias("width"))
+    of_file = blocks.groupBy("file_key").agg(F.max("longest").alias("width"))
+    widths = blocks.join(of_file, "file_key").select("file_key", "block", "width")
     return _fill(rows.join(widths, ["file_key", "block"]).drop("block"), pad_id)
 
 

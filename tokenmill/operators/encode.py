@@ -55,7 +55,7 @@ class Tokenizer:
     cls_id: int = vc.CLS
     sep_id: int = vc.SEP
     mask_id: int = vc.MASK
-    splits_on_space: bool = True
+    splits_on_space: bool = False
 
 
 #: chunks the normalizer only lower-cases: printable ASCII, and no bracket that
@@ -106,7 +106,8 @@ def wordpiece(spark: SparkSession, vocab: dict[str, int]) -> Tokenizer:
 
         return encode
 
-    return Tokenizer(factory, len(vocab), *(vocab[vc.SPECIALS[i]] for i in (vc.PAD, vc.CLS, vc.SEP, vc.MASK)))
+    return Tokenizer(factory, len(vocab), *(vocab[vc.SPECIALS[i]] for i in (vc.PAD, vc.CLS, vc.SEP, vc.MASK)),
+                     splits_on_space=True)
 
 
 def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -194,8 +195,6 @@ def file_segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_sent
 
 
 
-
-
 def spread_segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_sentences=0,
                     use_overflow=False, texts: Column | None = None) -> DataFrame:
     """(file_key, n_chars, seg_id, ids), the texts of each file spread over all tasks."""
@@ -219,7 +218,8 @@ def line_rows(lines: DataFrame, chars_per_slice: int = BIG_FILE_CHARS) -> DataFr
 
 def text_segments(rows: DataFrame, tokenizer: Tokenizer, max_length=512, use_overflow=False) -> DataFrame:
     """(file_key, n_chars, seg_id, ids) from (file_key, n_chars, text_no, text)."""
-    pieces = rows.withColumn("texts", F.array("text")).select("file_key", "n_chars", "text_no", encoded("texts", tokenizer).alias("pieces"))
+    pieces = rows.withColumn("texts", F.array("text")).select(
+        "file_key", "n_chars", "text_no", encoded("texts", tokenizer).alias("pieces"))
     of_text = pieces.select("file_key", "n_chars", _of_text(
         F.element_at("pieces", 1), F.col("text_no"), max_length, use_overflow, tokenizer)
         .alias("segments"))
@@ -227,8 +227,10 @@ def text_segments(rows: DataFrame, tokenizer: Tokenizer, max_length=512, use_ove
 
 
 def by_size(files: DataFrame, big_file_chars: int = BIG_FILE_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Files handled as one row each, and files whose rows are spread."""
-    return files.where(F.col("n_chars") <= big_file_chars), files.where(F.col("n_chars") > big_file_chars)
+    """Files handled as one row each, and files whose rows are spread. Every file is in
+    one of the two; one whose size is not known is handled as one row."""
+    size = F.col("n_chars")
+    return files.where(size.isNull() | (size <= big_file_chars)), files.where(size > big_file_chars)
 
 
 def segments(files: DataFrame, tokenizer: Tokenizer, max_length=512, n_sentences=0,

@@ -12,6 +12,9 @@ from tokenmill.functions import draws
 #: by default a group is this many consecutive example numbers of a file
 BLOCK_BITS = 20
 
+#: blocks of a file are added up in groups of this many block numbers first
+GROUP_BITS = 16
+
 
 def bucket_starts(rows: DataFrame) -> DataFrame:
     """(bucket, start, size) of rows carrying an order-draw ``bucket``.
@@ -24,8 +27,8 @@ def bucket_starts(rows: DataFrame) -> DataFrame:
     return sizes.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), "size")
 
 
-def _running(column: str, partition: str, *order: str) -> Column:
-    before = (Window.partitionBy(partition).orderBy(*order)
+def _running(column: str, partition: list[str], *order: str) -> Column:
+    before = (Window.partitionBy(*partition).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     return F.coalesce(F.sum(column).over(before), F.lit(0))
 
@@ -45,8 +48,14 @@ def file_order(examples: DataFrame, seed: int = 0, block: Column | None = None)
     # one row per order-draw range: bounded, see bucket_starts
     bucket_start = buckets.select("bucket", F.coalesce(F.sum("n").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    starts = (placed.join(F.broadcast(bucket_start), "bucket")
-              .withColumn("start", F.col("base") + _running("n", "bucket", "place", "file_key", "block"))
+    # blocks are added up in groups first, so that no window holds all blocks of a file
+    placed = placed.withColumn("group", F.shiftright("block", GROUP_BITS))
+    groups = placed.groupBy("bucket", "place", "file_key", "group").agg(F.sum("n").alias("n"))
+    group_starts = (groups.join(F.broadcast(bucket_start), "bucket")
+                    .withColumn("first", F.col("base") + _running("n", ["bucket"], "place", "file_key", "group"))
+                    .select("file_key", "group", "first"))
+    starts = (placed.join(group_starts, ["file_key", "group"])
+              .withColumn("start", F.col("first") + _running("n", ["file_key", "group"], "block"))
               .select("file_key", "block", "start"))
     inside = Window.partitionBy("file_key", "block").orderBy("example_id")
     return (rows.withColumn("rank", F.row_number().over(inside) - 1)
@@ -75,6 +84,13 @@ def random_order(examples: DataFrame, seed: int = 0, epoch: int = 0) -> DataFram
     return ranked(in_buckets(examples, seed, epoch)).drop("place", "bucket")
 
 
+def rows_at(examples: DataFrame, positions: DataFrame, seed: int = 0) -> DataFrame:
+    """The examples at the given ``global_idx`` values of the file order. Only keys are
+    ordered; the found ones fetch their rows."""
+    keys = lookup(file_order(examples.select("file_key", "example_id"), seed), positions)
+    return examples.join(keys, ["file_key", "example_id"])
+
+
 def lookup(indexed: DataFrame, positions: DataFrame) -> DataFrame:
     """The rows at the given ``global_idx`` values."""
     return indexed.join(positions.select("global_idx").distinct(), "global_idx", "left_semi")

@@ -7,19 +7,24 @@ from tokenmill.functions import text as tx
 from tokenmill.operators.rows import numbered
 
 
+def whole_text() -> Column:
+    """The text of a file; a NULL text is an empty file."""
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
 def raw_lines(files: DataFrame) -> DataFrame:
     """(file_key, row_no, line): every physical line, blank ones too."""
-    return numbered(files, ["file_key"], tx.physical_lines(F.col("text")), "row_no", "line")
+    return numbered(files, ["file_key"], tx.physical_lines(whole_text()), "row_no", "line")
 
 
 def clean_lines(files: DataFrame) -> DataFrame:
     """(file_key, line_no, line): stripped, blank lines dropped."""
-    return numbered(files, ["file_key"], tx.stripped_lines(F.col("text")), "line_no", "line")
+    return numbered(files, ["file_key"], tx.stripped_lines(whole_text()), "line_no", "line")
 
 
 def file_text(files: DataFrame) -> DataFrame:
     """(file_key, text): the clean lines of a file joined by a space."""
-    joined = tx.joined_text(tx.stripped_lines(F.col("text")))
+    joined = tx.joined_text(tx.stripped_lines(whole_text()))
     return files.select("file_key", joined.alias("text"))
 
 
@@ -27,7 +32,7 @@ def texts_column(n_sentences: int) -> Column:
     """What of a file gets encoded: clean lines, or groups of n sentences."""
     if n_sentences < 0:
         raise ValueError("n_sentences must not be negative")
-    lines = tx.stripped_lines(F.col("text"))
+    lines = tx.stripped_lines(whole_text())
     if n_sentences == 0:
         return lines
     joined = tx.joined_text(lines)

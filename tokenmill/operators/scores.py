@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from tokenmill.functions import draws
 from tokenmill.operators.masking import example_key
 
-#: sampling weights are exp(logit - max) in units of 1 / WEIGHT_UNIT
-WEIGHT_UNIT = 1_000_000_000
+#: the sampling weights of a row add up to less than 2**WEIGHT_BITS
+WEIGHT_BITS = 62
 
 
 def _shifted_exp(logits: pa.ListArray):
@@ -49,13 +49,18 @@ def _softmax(logits: pa.Array, sizes: pa.Array) -> pa.Array:
 @F.arrow_udf(T.IntegerType())
 def _pick(logits: pa.Array, sizes: pa.Array, draw: pa.Array) -> pa.Array:
     starts, weights, _ = _shifted_exp(logits)
-    whole = np.floor(weights * WEIGHT_UNIT + 0.5).astype(np.int64)
-    totals, draw = _row_sums(whole, starts), draw.to_numpy(False).astype(np.int64)
-    # floor(draw * total / 2**32) without leaving 64 bits
-    aims = (draw * (totals >> 16) + (draw * (totals & 0xFFFF) >> 16)) >> 16
-    running = np.cumsum(whole)
-    before = running[starts] - whole[starts] if len(starts) else running
-    return pa.array(np.searchsorted(running, before + aims, side="right") - starts, pa.int32())
+    counts, draw = sizes.to_numpy(False), draw.to_numpy(False).astype(np.uint64)
+    picked = np.zeros(len(starts), np.int32)
+    for count in np.unique(counts):  # rows of one length at a time, as a table
+        rows = np.flatnonzero(counts == count)
+        unit = 2.0 ** (WEIGHT_BITS - int(count).bit_length())
+        whole = np.floor(weights[starts[rows][:, None] + np.arange(count)] * unit).astype(np.int64)
+        running = np.cumsum(whole, axis=1)
+        total, pick = running[:, -1].astype(np.uint64), draw[rows]
+        # floor(draw * total / 2**32) of 32-bit halves, so nothing leaves 64 bits
+        aim = pick * (total >> np.uint64(32)) + ((pick * (total & np.uint64(0xFFFFFFFF))) >> np.uint64(32))
+        picked[rows] = (running <= aim.astype(np.int64)[:, None]).sum(axis=1)
+    return pa.array(picked, pa.int32())
 
 
 @F.arrow_udf(T.DoubleType())
@@ -92,8 +97,9 @@ def argmax(scores: DataFrame, candidates: str | None = None) -> DataFrame:
 def sample(scores: DataFrame, candidates: str | None = None, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Add ``token_id`` drawn from the softmax of the logits.
 
-    Weights are whole numbers and the draw picks the first running total above
-    its share of the sum, so every retry picks the same token.
+    Weights are whole numbers, in a unit as fine as the number of logits lets their sum
+    stay within 64 bits, and the draw picks the first running total above its share of the
+    sum, so every retry picks the same token.
     """
     pick = draws.draw(example_key(seed, draws.SAMPLE, epoch), F.col("pos"))
     return scores.withColumn("token_id", token_at(_over_logits(_pick, pick), candidates))

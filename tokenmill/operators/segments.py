@@ -14,14 +14,15 @@ from tokenmill.functions import draws
 from tokenmill.operators import encode
 from tokenmill.operators.rows import inlined
 from tokenmill.schema import BIG_FILE_CHARS, EXAMPLES
+from tokenmill.sources import scratch
 
 
-def single(segments: DataFrame) -> DataFrame:
-    """One example per segment, all of type 0."""
+def single(segments: DataFrame, *carried: str) -> DataFrame:
+    """One example per segment, all of type 0; ``carried`` columns stay."""
     ids = F.col("ids")
     size = F.size(ids)
     return segments.select(
-        "file_key", F.col("seg_id").alias("example_id"), F.col("seg_id").alias("seg_a_id"),
+        *carried, "file_key", F.col("seg_id").alias("example_id"), F.col("seg_id").alias("seg_a_id"),
         F.lit(None).cast("long").alias("seg_b_id"), ids,
         ar.constant(True, size, "boolean").alias("attention_mask"),
         ar.frame_mask(size).alias("special_tokens_mask"),
@@ -71,10 +72,12 @@ def pairs_in_rows(file_segments: DataFrame, seed: int) -> DataFrame:
 def pairs_across_rows(segments: DataFrame, seed: int, chars_per_slice: int) -> DataFrame:
     """(file_key, pair_no, a, b) from (file_key, n_chars, seg_id, ids).
 
-    The random order of a file is cut into ``n_chars / chars_per_slice`` equal
+    The segments are written first, because the sizes of the slices and the rows both come
+    from them and the encoder would run for each. The random order of a file is cut into ``n_chars / chars_per_slice`` equal
     ranges. Rows are ranked inside their range, and the sizes of the ranges
     before it complete the rank.
     """
+    segments = scratch.table(segments, "segments")
     place = _place(draws.row_key(seed, "file_key"), F.col("seg_id"))
     slices = F.ceil(F.col("n_chars") / chars_per_slice)
     # the upper 31 bits of the place, scaled to the number of slices
@@ -91,7 +94,7 @@ def pairs_across_rows(segments: DataFrame, seed: int, chars_per_slice: int) -> D
               .join(starts, ["file_key", "slice"])
               .select("file_key", (F.col("start") + F.col("rank")).alias("rank"),
                       F.struct("seg_id", "ids").alias("segment")))
-    couples = ranked.groupBy("file_key", F.floor(F.col("rank") / 2).cast("int").alias("pair_no")).agg(
+    couples = ranked.groupBy("file_key", F.floor(F.col("rank") / 2).alias("pair_no")).agg(
         F.min_by("segment", "rank").alias("a"), F.max_by("segment", "rank").alias("b"),
         F.count("*").alias("n"))
     return couples.where("n = 2").drop("n")
@@ -103,6 +106,8 @@ def pairs(files: DataFrame, tokenizer: encode.Tokenizer, seed: int, max_length=5
     small, big = encode.by_size(files, big_file_chars)
     options = dict(max_length=max_length, n_sentences=n_sentences, use_overflow=use_overflow)
     of_small = pairs_in_rows(encode.file_segments(small, tokenizer, **options), seed)
+    if big.isEmpty():  # decided by the sizes in the scan's statistics where these are kept
+        return of_small.withColumn("pair_no", F.col("pair_no").cast("long"))
     of_big = pairs_across_rows(encode.spread_segments(big, tokenizer, **options), seed, big_file_chars)
     return of_small.unionByName(of_big)
 

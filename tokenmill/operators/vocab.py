@@ -32,7 +32,7 @@ def word_counts(files: DataFrame) -> DataFrame:
     Space-separated chunks are counted as they stand first, so only distinct
     chunks are normalized and cut into words.
     """
-    chunks = (files.select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("chunk"))
+    chunks = (files.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n]+")).alias("chunk"))
               .groupBy("chunk").agg(F.count("*").alias("n")))
     words = chunks.select(
         F.explode(F.regexp_extract_all(_normalized("chunk"), F.lit(WORD), F.lit(0))).alias("word"),

@@ -10,11 +10,15 @@ from tokenmill.functions.arrays import bound
 from tokenmill.operators import batch, corrupt, encode, masking, segments, vocab
 from tokenmill.operators.rows import numbered
 from tokenmill.plans import evaluation
-from tokenmill.sources import cache, files
+from tokenmill.schema import IGNORE
+from tokenmill.sources import cache, files, scratch
 
 #: settings shared by the registered queries and their SQL
 SEED, MAX_LENGTH, N_WORDS, BATCH_SIZE, MLM_PROB = 7, 64, 2000, 128, 0.15
 
+#: length of raw-line examples, which have no overflow: longer than any line
+LINE_LENGTH = 4096
+
 #: candidates per scored position
 K = 32
 
@@ -65,10 +69,12 @@ class Inputs:
         return encode.segments(self.files, self.tokenizer, max_length, **options)
 
     def singles(self) -> DataFrame:
-        return segments.examples(self.files, self.tokenizer, two_segments=False, max_length=MAX_LENGTH)
+        return segments.examples(self.files, self.tokenizer, two_segments=False, max_length=MAX_LENGTH,
+                                 use_overflow=True)
 
-    def pairs(self, **options) -> DataFrame:
-        return segments.examples(self.files, self.tokenizer, SEED, max_length=MAX_LENGTH, **options)
+    def pairs(self, use_overflow: bool = True) -> DataFrame:
+        """Pairs of the whole text; without overflow what is beyond the first window is cut."""
+        return segments.examples(self.files, self.tokenizer, SEED, max_length=MAX_LENGTH, use_overflow=use_overflow)
 
     @cached_property
     def _cache(self) -> str:
@@ -86,6 +92,11 @@ class Inputs:
         """Mask-only examples in shuffled batches, as the discriminative run trains on."""
         return self.mlm(batch.shuffled(self.cached(), BATCH_SIZE, SEED), rand_replace=False)
 
+    @cached_property
+    def _masked_batches_kept(self) -> DataFrame:
+        """The same, written once, because generator, samples and discriminator all read it."""
+        return scratch.table(self.masked_batches(), "masked")
+
     def generator_scores(self, masked: DataFrame) -> DataFrame:
         """Stand-in for a generator's output: K candidates per labelled position,
         the label and the commonest words, the label's logit raised."""
@@ -117,6 +128,21 @@ class Inputs:
                     (F.col("noise") % 40000 / 10000.0 - 1.0).cast("float")))
                 .drop("noise"))
 
-    def corrupted(self) -> DataFrame:
-        masked = self.masked_batches()
+    def corrupted(self, batches: bool = True) -> DataFrame:
+        """The corrupted examples, with the number of their batch if ``batches``."""
+        masked = self._masked_batches_kept if batches else self.mlm(self.cached(), rand_replace=False)
         return evaluation.corrupted(masked, self.generator_scores(masked), "cand", SEED)
+
+    def dense_scores(self) -> DataFrame:
+        """A stand-in score of every token of the vocabulary for the first labelled position of
+        each example: small noise by token, and the label's logit raised."""
+        masked = self.mlm(self.cached(), rand_replace=False)
+        first = F.array_position(F.transform("labels", lambda x: x != IGNORE), True)
+        rows = (masked.select("file_key", "example_id", (first - 1).cast("int").alias("pos"), "labels")
+                .where("pos >= 0")
+                .withColumn("label", F.element_at("labels", F.col("pos") + 1).cast("int")).drop("labels"))
+        noise = draws.draw(masking.example_key(SEED, draws.SCORE), F.col("pos"))
+        tokens = F.sequence(F.lit(0), F.lit(self.tokenizer.vocab_size - 1))
+        raised = F.struct(noise.alias("noise"), F.col("label"))
+        return rows.withColumn("logits", bound(raised, lambda r: F.transform(tokens, lambda c: (
+            (r.noise + c * 7919) % 60000 / 10000.0 + F.when(c == r.label, 2.0).otherwise(0.0)).cast("float"))))

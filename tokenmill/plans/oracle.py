@@ -8,9 +8,7 @@ the same XXH64 and MD5 hashes, spelled out in 128-bit arithmetic.
 import re
 
 from tokenmill.functions import draws
-from tokenmill.functions.text import WHITESPACE
-from tokenmill.operators.encode import CHUNK_BITS
-from tokenmill.plans.inputs import BATCH_SIZE, K, MAX_LENGTH, MLM_PROB, N_WORDS, SEED
+from tokenmill.plans.inputs import BATCH_SIZE, K, LINE_LENGTH, MAX_LENGTH, N_WORDS, SEED
 
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -19,7 +17,13 @@ P1, P2, P3, P4, P5 = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 START = 42
 LOW = "18446744073709551615::UHUGEINT"
 
-STRIP_SET = "concat(" + ",".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+# The code points that are white space at the ends of a line.
+SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+STRIP_SET = "concat(" + ",".join(f"chr({c})" for c in SPACES) + ")"
+#: an overflow segment's number is that of its text times this, plus its window's
+WINDOWS = 67108864
+#: 32-bit draws below these are the shares 0.15, 0.8 and 0.9
+BELOW_15, BELOW_80, BELOW_90 = 644245094, 3435973836, 3865470566
 PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
 
 
@@ -158,15 +162,19 @@ def first_window(pieces: str, max_length: int) -> str:
 SELECT file_key, text_no AS seg_id, [2] || pieces[1:{max_length - 2}] || [3] AS ids FROM {pieces}"""
 
 
+def all_windows(pieces: str, max_length: int) -> str:
+    room = max_length - 2
+    return f"""
+SELECT file_key, text_no * {WINDOWS} + chunk AS seg_id,
+       [2] || pieces[chunk * {room} + 1 : chunk * {room} + {room}] || [3] AS ids
+FROM (SELECT *, unnest(range(greatest((len(pieces) + {room - 1}) // {room}, 1))) AS chunk FROM {pieces})"""
+
+
 cte("segs", first_window("pieces", MAX_LENGTH))
-cte("segs_512", first_window("pieces", 512))
-cte("segs_sentences", first_window("two_pieces", MAX_LENGTH))
-cte("segs_turns", first_window("turn_pieces", MAX_LENGTH))
-ROOM = MAX_LENGTH - 2
-cte("segs_overflow", f"""
-SELECT file_key, text_no * {1 << CHUNK_BITS} + chunk AS seg_id,
-       [2] || pieces[chunk * {ROOM} + 1 : chunk * {ROOM} + {ROOM}] || [3] AS ids
-FROM (SELECT *, unnest(range(greatest((len(pieces) + {ROOM - 1}) // {ROOM}, 1))) AS chunk FROM pieces)""")
+cte("segs_512", all_windows("pieces", 512))
+cte("segs_sentences", all_windows("two_pieces", MAX_LENGTH))
+cte("segs_turns", first_window("turn_pieces", LINE_LENGTH))
+cte("segs_overflow", all_windows("pieces", MAX_LENGTH))
 
 # pairs
 
@@ -195,11 +203,16 @@ def frame(n: str) -> str:
     return f"([1] || {repeat('0', f'{n} - 2')} || [1])"
 
 
-cte("examples", f"""
+def framed_pairs(pairs: str) -> str:
+    return f"""
 SELECT file_key, example_id, seg_a_id, seg_b_id, ids, {repeat('1', 'size_a + size_b')} AS attention_mask,
        {frame('size_a')} || ({frame('(size_b + 1)')})[2:] AS special_tokens_mask,
        {repeat('0', 'size_a')} || {repeat('1', 'size_b')} AS token_type_ids, size_a + size_b AS n_tokens
-FROM pairs""")
+FROM {pairs}"""
+
+
+cte("examples", framed_pairs("pairs_overflow"))
+cte("cut_examples", framed_pairs("pairs"))
 
 
 def singles(segs: str) -> str:
@@ -210,7 +223,7 @@ SELECT file_key, seg_id AS example_id, seg_id AS seg_a_id, NULL::BIGINT AS seg_b
 FROM {segs}"""
 
 
-cte("single", singles("segs"))
+cte("single", singles("segs_overflow"))
 cte("single_turns", singles("segs_turns"))
 
 
@@ -287,7 +300,7 @@ SELECT file_key, example_id, mask_key, unnest(ids) AS id, unnest(special_tokens_
        unnest(range(len(ids))) AS pos FROM {name}_keys""")
     select = xxh64(f"{name}_positions", ["mask_key", "pos * 4"])
     cte(f"{name}_selected", f"""
-SELECT * EXCLUDE (hash), special = 0 AND id <> 0 AND {DRAW} < {draws.threshold(MLM_PROB)} AS selected FROM ({select})""")
+SELECT * EXCLUDE (hash), special = 0 AND id <> 0 AND {DRAW} < {BELOW_15} AS selected FROM ({select})""")
     fate = xxh64(f"{name}_selected", ["mask_key", "pos * 4 + 1"], "fate_hash")
     word = xxh64(f"({fate})", ["mask_key", "pos * 4 + 2"], "word_hash")
     cte(name, f"SELECT *, (fate_hash >> 32)::BIGINT AS fate, (word_hash >> 32)::BIGINT AS word FROM ({word})")
@@ -299,8 +312,8 @@ masking("mask_turns", "single_turns")
 
 LABEL = "CASE WHEN selected THEN id ELSE -100 END"
 MASKED = "CASE WHEN selected THEN 4 ELSE id END"
-REPLACED = f"""CASE WHEN NOT selected THEN id WHEN fate < {draws.threshold(0.8)} THEN 4
-  WHEN fate < {draws.threshold(0.8 + 0.1)} THEN word % (SELECT count(*) FROM vocab) ELSE id END"""
+REPLACED = f"""CASE WHEN NOT selected THEN id WHEN fate < {BELOW_80} THEN 4
+  WHEN fate < {BELOW_90} THEN word % (SELECT count(*) FROM vocab) ELSE id END"""
 
 
 def by_example(rows: str, **columns: str) -> str:
@@ -326,7 +339,7 @@ SELECT file_key, example_id, pos, label, k, cand,
 FROM candidates""")
 cte("shifted", """
 SELECT *, exp(logit - max(logit) OVER (PARTITION BY file_key, example_id, pos)) AS e FROM logits""")
-cte("weights", "SELECT *, floor(e * 1000000000 + 0.5)::BIGINT AS w FROM shifted")
+cte("weights", f"SELECT *, floor(e * {2.0 ** (62 - K.bit_length())!r}::DOUBLE)::BIGINT AS w FROM shifted")
 cte("running", """
 SELECT *, sum(w) OVER (PARTITION BY file_key, example_id, pos ORDER BY cand) AS total_here,
        sum(w) OVER (PARTITION BY file_key, example_id, pos) AS total FROM weights""")
@@ -339,7 +352,7 @@ SELECT file_key, example_id, pos, label, {DRAW} AS pick FROM ({xxh64(
 cte("sampled", f"""
 SELECT r.file_key, r.example_id, r.pos, any_value(r.label) AS label, min(r.cand) AS token_id
 FROM running r JOIN picks p USING (file_key, example_id, pos)
-WHERE r.total_here::HUGEINT * {draws.SPAN} > p.pick::HUGEINT * r.total::HUGEINT
+WHERE r.total_here::HUGEINT > (p.pick::HUGEINT * r.total::HUGEINT) // 4294967296
 GROUP BY r.file_key, r.example_id, r.pos""")
 cte("best", """
 SELECT file_key, example_id, pos, any_value(label) AS label, arg_max(cand, (logit, -cand)) AS token_id
@@ -348,6 +361,21 @@ cte("corrupted", f"""
 SELECT m.file_key, m.example_id, m.pos, CASE WHEN m.selected THEN s.token_id ELSE {MASKED} END AS d_input,
        CASE WHEN m.selected AND s.token_id <> m.id THEN 1 ELSE 0 END AS d_label
 FROM mask m LEFT JOIN sampled s USING (file_key, example_id, pos)""")
+cte("dense_rows", """
+SELECT file_key, example_id, pos, label, k, noise FROM noisy
+QUALIFY row_number() OVER (PARTITION BY file_key, example_id ORDER BY pos) = 1""")
+cte("dense_logits", """
+SELECT file_key, example_id, pos, label, k, cand,
+       ((((noise + cand * 7919) % 60000)::DOUBLE / 10000.0::DOUBLE
+         + CASE WHEN cand = label THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END)::FLOAT)::DOUBLE AS logit
+FROM dense_rows, (SELECT token_id AS cand FROM vocab)""")
+cte("dense_shifted", """
+SELECT *, exp(logit - max(logit) OVER (PARTITION BY file_key, example_id, pos)) AS e FROM dense_logits""")
+cte("dense_size", "SELECT 62 - (floor(log2(count(*)))::BIGINT + 1) AS unit_bits FROM vocab")
+cte("dense_running", """
+SELECT *, sum(w) OVER (PARTITION BY file_key, example_id, pos ORDER BY cand) AS total_here,
+       sum(w) OVER (PARTITION BY file_key, example_id, pos) AS total
+FROM (SELECT *, floor(e * pow(2.0::DOUBLE, unit_bits))::BIGINT AS w FROM dense_shifted, dense_size)""")
 cte("d_keys", xxh64(f"(SELECT DISTINCT file_key, example_id, {row_key('file_key')} AS k FROM examples)",
                     ["k", str(draws.SCORE), "1", "example_id"], "d_key"))
 cte("d_logits", f"""
@@ -383,8 +411,7 @@ SELECT f.file_key, count(s.seg_id) AS num_examples, coalesce(sum(len(s.ids)), 0)
 FROM files f LEFT JOIN {segs} s ON s.file_key = f.file_key GROUP BY f.file_key"""
 
 
-cte("stats", per_file("segs"))
-cte("stats_overflow", per_file("segs_overflow"))
+cte("stats", per_file("segs_overflow"))
 
 
 def segs_out(segs: str) -> str:
@@ -432,7 +459,7 @@ SELECT * FROM (SELECT file_key, example_id, n_tokens::INTEGER AS n_tokens, {spli
     "sentence_group": "SELECT file_key, text_no::INTEGER AS text_no, text FROM threes",
     "build_vocab": "SELECT token, token_id::INTEGER AS token_id FROM vocab",
     "decode_tokens": """
-SELECT token_id::INTEGER AS token_id, token, n FROM (SELECT id AS token_id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM segs) GROUP BY id)
+SELECT token_id::INTEGER AS token_id, token, n FROM (SELECT id AS token_id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM segs_overflow) GROUP BY id)
 JOIN vocab USING (token_id)""",
     "wordpiece_encode": segs_out("segs_512"),
     "truncate_encode": segs_out("segs"),
@@ -443,7 +470,7 @@ JOIN vocab USING (token_id)""",
     "pair_segments": "SELECT file_key, example_id, seg_a_id, seg_b_id FROM examples",
     "pair_overflow": """
 SELECT file_key, example_id, seg_a_id, seg_b_id, (size_a + size_b)::INTEGER AS n_tokens FROM pairs_overflow""",
-    "concat_segments": f"SELECT {EXPORT} FROM examples",
+    "concat_segments": f"SELECT {EXPORT} FROM cut_examples",
     "global_index": "SELECT global_idx, file_key, example_id FROM in_order",
     "global_index_lookup": f"""
 SELECT global_idx, file_key, example_id, {text('ids', 'ids')} FROM in_order JOIN examples USING (file_key, example_id)
@@ -480,12 +507,24 @@ FROM (SELECT *, sum(e) OVER (PARTITION BY file_key, example_id, pos) AS total FR
 GROUP BY file_key, example_id, pos""",
     "sample_tokens": "SELECT file_key, example_id, pos::INTEGER AS pos, token_id::INTEGER AS token_id FROM sampled",
     "argmax_tokens": "SELECT file_key, example_id, pos::INTEGER AS pos, token_id::INTEGER AS token_id FROM best",
+    "softmax_dense": """
+SELECT file_key, example_id, pos::INTEGER AS pos,
+       floor(max(CASE WHEN cand = label THEN e END) / sum(e) * 1000000 + 0.5)::BIGINT AS prob
+FROM dense_shifted GROUP BY file_key, example_id, pos""",
+    "sample_dense": f"""
+SELECT r.file_key, r.example_id, r.pos::INTEGER AS pos, min(r.cand)::INTEGER AS token_id
+FROM dense_running r JOIN picks p USING (file_key, example_id, pos)
+WHERE r.total_here::HUGEINT > (p.pick::HUGEINT * r.total::HUGEINT) // 4294967296
+GROUP BY r.file_key, r.example_id, r.pos""",
+    "argmax_dense": """
+SELECT file_key, example_id, pos::INTEGER AS pos, arg_max(cand, (logit, -cand))::INTEGER AS token_id
+FROM dense_logits GROUP BY file_key, example_id, pos""",
     "rtd_corrupt": by_example("corrupted", d_inputs="d_input"),
     "rtd_labels": by_example("corrupted", d_labels="d_label"),
     "corpus_stats": "SELECT * FROM stats",
     "corpus_totals": """
 SELECT count(*) AS num_files, sum(num_examples)::BIGINT AS num_examples, sum(num_tokens)::BIGINT AS num_tokens
-FROM stats_overflow""",
+FROM stats""",
     "cache_stats": """
 SELECT file_key, count(*) AS num_examples, sum(n_tokens)::BIGINT AS num_tokens FROM examples GROUP BY file_key""",
     "masked_accuracy": "SELECT batch_id, n_active, round(accuracy, 6) AS accuracy FROM g_batches",
@@ -501,6 +540,10 @@ SELECT count(*) AS n_batches, round(avg(g.loss + 50.0 * d.loss), 6) AS loss, rou
        round(avg(d.loss), 6) AS d_loss, round(avg(g.accuracy), 6) AS g_acc, round(avg(d.accuracy), 6) AS d_acc,
        round(exp(avg(g.loss)), 6) AS perplexity
 FROM g_batches g FULL JOIN d_batches d USING (batch_id)""",
+    "lm_epoch_metrics": """
+SELECT count(*) AS n_batches, round(avg(loss), 6) AS val_loss, round(avg(accuracy), 6) AS val_acc,
+       round(exp(avg(loss)), 6) AS perplexity
+FROM g_batches""",
 }
 
 

@@ -9,7 +9,7 @@ from tokenmill.functions.arrays import as_text, bits
 from tokenmill.operators import (batch, index, lines, masking, metrics, scores, split,
                                  stats, vocab)
 from tokenmill.plans import corpus, evaluation, training
-from tokenmill.plans.inputs import BATCH_SIZE, MAX_LENGTH, MLM_PROB, N_WORDS, SEED, Inputs
+from tokenmill.plans.inputs import BATCH_SIZE, LINE_LENGTH, MAX_LENGTH, MLM_PROB, N_WORDS, SEED, Inputs
 from tokenmill.sources import cache, files
 from tokenmill.streaming import tokenize as stream
 
@@ -85,14 +85,14 @@ def pretokenized_scan(t: Inputs) -> DataFrame:
 def cache_roundtrip(t: Inputs) -> DataFrame:
     path = cache.shared_dir(t.spark, "roundtrip")
     return _exported(corpus.tokenize_and_cache(t.files, t.tokenizer, path, delete_existing=True,
-                                               max_length=MAX_LENGTH, seed=SEED))
+                                               max_length=MAX_LENGTH, seed=SEED, use_overflow=True))
 
 
 @query
 def resume_antijoin(t: Inputs) -> DataFrame:
     """The labelled documents count as tokenized already."""
     done = t.table("labels", "doc_id").select(F.col("doc_id").cast("string").alias("file_key"))
-    return stats.corpus(cache.pending(t.files, done), t.tokenizer, MAX_LENGTH)
+    return stats.corpus(cache.pending(t.files, done), t.tokenizer, MAX_LENGTH, use_overflow=True)
 
 
 @query
@@ -112,7 +112,7 @@ def stream_tokenize(t: Inputs) -> DataFrame:
     arriving = (t.spark.readStream.schema("doc_id long, text string, n_chars long")
                 .option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir))
     query = stream.tokenize(files.from_table(arriving, F.col("doc_id"), n_chars="n_chars"), t.tokenizer,
-                            f"{root}/out", f"{root}/checkpoint", seed=SEED, max_length=MAX_LENGTH)
+                            f"{root}/out", f"{root}/checkpoint", seed=SEED, max_length=MAX_LENGTH, use_overflow=True)
     query.awaitTermination()
     return _exported(cache.read(t.spark, f"{root}/out"))
 
@@ -149,7 +149,7 @@ def build_vocab(t: Inputs) -> DataFrame:
 @query
 def decode_tokens(t: Inputs) -> DataFrame:
     """How often each token occurs in the corpus, by name."""
-    used = (t.segments().select(F.explode("ids").alias("token_id"))
+    used = (t.segments(use_overflow=True).select(F.explode("ids").alias("token_id"))
             .groupBy("token_id").agg(F.count("*").alias("n")))
     return vocab.decode(used, t.vocab_table()).select("token_id", "token", "n")
 
@@ -160,7 +160,7 @@ def _segments(rows: DataFrame) -> DataFrame:
 
 @query
 def wordpiece_encode(t: Inputs) -> DataFrame:
-    return _segments(t.segments(512))
+    return _segments(t.segments(512, use_overflow=True))
 
 
 @query
@@ -175,7 +175,7 @@ def overflow_encode(t: Inputs) -> DataFrame:
 
 @query
 def sentence_encode(t: Inputs) -> DataFrame:
-    return _segments(t.segments(n_sentences=2))
+    return _segments(t.segments(n_sentences=2, use_overflow=True))
 
 
 @query
@@ -195,26 +195,27 @@ def pair_segments(t: Inputs) -> DataFrame:
 
 @query
 def pair_overflow(t: Inputs) -> DataFrame:
-    return t.pairs(use_overflow=True).select(*KEYS, "seg_a_id", "seg_b_id", "n_tokens")
+    return t.pairs().select(*KEYS, "seg_a_id", "seg_b_id", "n_tokens")
 
 
 @query
 def concat_segments(t: Inputs) -> DataFrame:
-    return _exported(t.pairs())
+    """As the reference recipe makes them: lines cut to one window."""
+    return _exported(t.pairs(use_overflow=False))
 
 
 # order, batches, padding
 
 @query
 def global_index(t: Inputs) -> DataFrame:
-    return index.file_order(t.cached(), SEED).select("global_idx", *KEYS)
+    return index.file_order(t.cached().select(*KEYS), SEED).select("global_idx", *KEYS)
 
 
 @query
 def global_index_lookup(t: Inputs) -> DataFrame:
     """The examples at the positions the labels table names."""
     wanted = t.table("labels", "doc_id").select(F.col("doc_id").alias("global_idx"))
-    return index.lookup(index.file_order(t.cached(), SEED), wanted).select("global_idx", *KEYS, _text("ids"))
+    return index.rows_at(t.cached(), wanted, SEED).select("global_idx", *KEYS, _text("ids"))
 
 
 @query
@@ -239,7 +240,7 @@ def shuffle_batches(t: Inputs) -> DataFrame:
 
 @query
 def ordered_batches(t: Inputs) -> DataFrame:
-    return batch.ordered(t.cached(), BATCH_SIZE, SEED).select(*BATCH, *KEYS)
+    return batch.ordered(t.cached().select(*KEYS), BATCH_SIZE, SEED).select(*BATCH, *KEYS)
 
 
 @query
@@ -249,8 +250,8 @@ def pad_file(t: Inputs) -> DataFrame:
 
 @query
 def pad_batch(t: Inputs) -> DataFrame:
-    batched = batch.shuffled(t.cached(), BATCH_SIZE, SEED)
-    return _exported(batch.pad_batch(batched, t.tokenizer.pad_id), *BATCH)
+    padded = batch.shuffled_padded(t.cached(), BATCH_SIZE, t.tokenizer.pad_id, SEED)
+    return _exported(padded, *BATCH)
 
 
 # masking
@@ -301,7 +302,7 @@ def batch_collate(t: Inputs) -> DataFrame:
 
 @query
 def line_collate(t: Inputs) -> DataFrame:
-    return _batches(training.line_loader(t.conversations, t.tokenizer, MAX_LENGTH,
+    return _batches(training.line_loader(t.conversations, t.tokenizer, LINE_LENGTH,
                                          batch_size=BATCH_SIZE, shuffle=False, mlm_prob=MLM_PROB, seed=SEED))
 
 
@@ -331,21 +332,38 @@ def argmax_tokens(t: Inputs) -> DataFrame:
     return scores.argmax(_scores(t), "cand").select(*POSITION, "token_id")
 
 
+@query
+def softmax_dense(t: Inputs) -> DataFrame:
+    """The label's probability among the whole vocabulary, in millionths."""
+    own = F.get("probs", F.col("label"))
+    return scores.softmax(t.dense_scores()).select(*POSITION, F.floor(own * 1_000_000 + 0.5).alias("prob"))
+
+
+@query
+def sample_dense(t: Inputs) -> DataFrame:
+    return scores.sample(t.dense_scores(), seed=SEED).select(*POSITION, "token_id")
+
+
+@query
+def argmax_dense(t: Inputs) -> DataFrame:
+    return scores.argmax(t.dense_scores()).select(*POSITION, "token_id")
+
+
 @query
 def rtd_corrupt(t: Inputs) -> DataFrame:
-    return t.corrupted().select(*KEYS, _text("d_inputs"))
+    return t.corrupted(batches=False).select(*KEYS, _text("d_inputs"))
 
 
 @query
 def rtd_labels(t: Inputs) -> DataFrame:
-    return t.corrupted().select(*KEYS, _text("d_labels"))
+    return t.corrupted(batches=False).select(*KEYS, _text("d_labels"))
 
 
 # counts and metrics
 
 @query
 def corpus_stats(t: Inputs) -> DataFrame:
-    return stats.corpus(t.files, t.tokenizer, MAX_LENGTH)
+    return stats.corpus(t.files, t.tokenizer, MAX_LENGTH, use_overflow=True)
 
 
 @query
@@ -359,7 +377,7 @@ def cache_stats(t: Inputs) -> DataFrame:
 
 
 def _g_scores(t: Inputs) -> DataFrame:
-    return t.generator_scores(t.masked_batches())
+    return t.generator_scores(t._masked_batches_kept)
 
 
 def _d_scores(t: Inputs) -> DataFrame:
@@ -405,6 +423,15 @@ def epoch_metrics(t: Inputs) -> DataFrame:
     return _rounded(row, "loss", "g_loss", "d_loss", "g_acc", "d_acc", "perplexity")
 
 
+@query
+def lm_epoch_metrics(t: Inputs) -> DataFrame:
+    """Loss, accuracy and perplexity of the mean loss of the plain language model's epoch."""
+    batches = evaluation.generator_metrics(_g_scores(t), "cand")
+    row = batches.agg(F.count(F.lit(1)).alias("n_batches"), F.avg("loss").alias("val_loss"),
+                      F.avg("accuracy").alias("val_acc"))
+    return _rounded(row.withColumn("perplexity", F.exp("val_loss")), "val_loss", "val_acc", "perplexity")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(build):
         return lambda spark, sf_dir: build(Inputs.of(spark, sf_dir))

@@ -1,24 +1,17 @@
 """The tokenized cache: Parquet with ragged arrays, a few large files."""
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.schema import EXAMPLES
+from tokenmill.sources import scratch
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the cluster names for intermediate tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tokenmill-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder below the one the cluster names for intermediate tables, removed
+    when the session's process ends."""
+    return scratch.folder(spark, name)
 
 
 def write(examples: DataFrame, path: str, mode: str = "overwrite", by: tuple = ()) -> str:
@@ -45,4 +38,4 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 def pending(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files whose key the cache does not hold yet."""
-    return files.join(done.select("file_key").distinct(), "file_key", "left_anti")
+    return files.join(done.select("file_key"), "file_key", "left_anti")
