@@ -8,6 +8,7 @@ the planes with rank and select and decode nothing else. The files are the rows
 Parquet table, which Spark's committer makes safe against lost tasks on any store.
 """
 
+import itertools
 import os
 import struct
 import zlib
@@ -15,6 +16,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -28,6 +30,9 @@ SHARD_TOKENS = 1 << 20
 #: id put after each document
 END = 2
 
+#: chunks of text, and pieces of them, whose ids a task remembers
+MEMO = 1 << 17
+
 #: bits between two stored counts
 _BLOCK = 512
 _MAGIC = b"WVM1"
@@ -35,15 +40,16 @@ _MAGIC = b"WVM1"
 
 def build(ids: np.ndarray) -> bytes:
     """The file of a sequence of ids below 2^32."""
-    order = np.asarray(ids, np.uint32)
-    planes = max(1, int(order.max(initial=0)).bit_length())
+    highest = int(np.max(ids, initial=0))
+    order = np.asarray(ids, np.uint16 if highest < 1 << 16 else np.uint32)
+    planes = max(1, highest.bit_length())
     parts = [struct.pack("<4sQII", _MAGIC, len(order), planes, _BLOCK)]
     for plane in range(planes - 1, -1, -1):
-        bits = ((order >> np.uint32(plane)) & 1).astype(bool)
-        padded = np.zeros(-(-len(bits) // _BLOCK) * _BLOCK, bool)
-        padded[:len(bits)] = bits
-        ones = padded.reshape(-1, _BLOCK).sum(axis=1)
-        parts += [np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes(), np.packbits(padded).tobytes()]
+        bits = (order & order.dtype.type(1 << plane)) != 0
+        packed = np.zeros(-(-len(bits) // _BLOCK) * (_BLOCK // 8), np.uint8)
+        packed[:-(-len(bits) // 8)] = np.packbits(bits)
+        ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.int64)
+        parts += [np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes(), packed.tobytes()]
         order = np.concatenate([order[~bits], order[bits]])
     return b"".join(parts)
 
@@ -129,58 +135,107 @@ class Matrix:
         return block * self.block + int(np.flatnonzero(piece == bit)[n - int(before[block])])
 
     def all(self) -> np.ndarray:
-        """Every id in order, from the last plane back to the first."""
-        values, positions = np.zeros(self.size, np.uint32), np.arange(self.size)
-        for plane in range(self.planes):
+        """Every id in order: the last plane's order is undone plane by plane."""
+        order = np.zeros(self.size, np.uint16 if self.planes <= 16 else np.uint32)
+        for plane in range(self.planes - 1, -1, -1):
             bits = np.unpackbits(self.bits[plane], count=self.size).astype(bool)
-            ones = np.cumsum(bits) - bits
-            taken = bits[positions]
-            values = values << np.uint32(1) | taken
-            positions = np.where(taken, self._zeros(plane) + ones[positions], positions - ones[positions])
-        return values
+            zeros = self._zeros(plane)
+            before = np.empty_like(order)
+            before[~bits] = order[:zeros]
+            before[bits] = order[zeros:] | order.dtype.type(1 << (self.planes - 1 - plane))
+            order = before
+        return order
 
 
-def _tokenized(path: str, end: int):
-    def run(batches):
+class WordEncoder:
+    """Ids of a chunk of text without white space, as the library gives them.
+
+    The library drops white space and joins nothing across it. A chunk of plain words and
+    marks is cut into the pieces the library would cut it into, and each goes to its merge
+    model directly; everything else goes through the library as it is.
+    """
+
+    #: fixed value: what the tokenizer file's pre-tokenizer keeps
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.model, self.normalize = self.library.model, self.library.normalizer.normalize_str
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = dict(zip(shown + hidden, map(chr, [*shown, *range(256, 256 + len(hidden))]), strict=True))
+        self.memo: dict[str, list[int]] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        known = self.memo.get(piece)
+        if known is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            as_bytes = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.letters)
+            known = self.memo[piece] = [token.id for token in self.model.tokenize(as_bytes)]
+        return known
+
+    def __call__(self, chunk: str) -> list[int]:
+        if chunk.isascii():
+            if not chunk.isprintable():
+                return self.library.encode(chunk, add_special_tokens=False).ids
+            text = chunk.lower()
+        else:
+            text = self.normalize(chunk)
+            if not text.rstrip(".,;:!?\")").isalpha():
+                return self.library.encode(chunk, add_special_tokens=False).ids
+        if text.isalpha():
+            return self._piece(text)
+        return [i for piece in self.PIECES.findall(text) for i in self._piece(piece)]
+
+
+def _tokenized(path: str, end: int, width: int):
+    def run(batches):
+        encode, memo = WordEncoder(path), {}
         for batch in slices(batches):
-            # white space is dropped and joins nothing, so each distinct chunk between it is encoded once
             chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
             coded = chunks.flatten().dictionary_encode()
             bounds = chunks.offsets.to_numpy().astype(np.int64)
             bounds = bounds - bounds[0]
-            ids = [e.ids for e in library.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-            lengths = np.array([len(x) for x in ids] or [0], np.int64)
+            if len(memo) >= MEMO:
+                memo.clear()
+            ids = []
+            for chunk in coded.dictionary.to_pylist():
+                known = memo.get(chunk)
+                if known is None:
+                    known = memo[chunk] = encode(chunk)
+                ids.append(known)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             starts = np.cumsum(lengths) - lengths
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
             numbers = coded.indices.to_numpy(zero_copy_only=False)
             size = lengths[numbers]
             ends = np.concatenate([[0], np.cumsum(size)])
-            tokens = flat[np.repeat(starts[numbers] - ends[:-1], size) + np.arange(ends[-1])]
-            rows = [np.append(tokens[ends[a]:ends[b]], np.uint32(end)).astype("<u4").tobytes()
-                    for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            tokens = flat[np.repeat(starts[numbers] - ends[:-1], size) + np.arange(ends[-1])].astype(f"<u{width}")
+            last = np.array([end], f"<u{width}").tobytes()
+            rows = [tokens[ends[a]:ends[b]].tobytes() + last for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "ids"])
     return run
 
 
-def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end: int = END, width: int = 4) -> DataFrame:
     """(doc_id, ids): the ids of each row's text and the end id, as little-endian unsigned
-    32-bit integers. NULL and empty texts have the end id alone."""
+    integers of ``width`` bytes. NULL and empty texts have the end id alone."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _tokenized(path, end), "doc_id long, ids binary")
+        _tokenized(path, end, width), "doc_id long, ids binary")
 
 
-def _packed(shard_tokens: int):
+def _packed(shard_tokens: int, width: int):
     def file_of(shard: int, number: int, docs: list, parts: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({
             "part": pa.array([shard], pa.int32()), "number": pa.array([number], pa.int32()),
             "doc_ids": pa.array([docs], pa.list_(pa.int64())),
-            "lengths": pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())),
-            "n_tokens": pa.array([sum(map(len, parts)) // 4], pa.int64()),
-            "matrix": [build(np.frombuffer(b"".join(parts), "<u4"))]})
+            "lengths": pa.array([[len(p) // width for p in parts]], pa.list_(pa.int64())),
+            "n_tokens": pa.array([sum(map(len, parts)) // width], pa.int64()),
+            "matrix": [build(np.frombuffer(b"".join(parts), f"<u{width}"))]})
 
     def run(batches):
         shard, number, docs, parts, held = None, 0, [], [], 0
@@ -189,7 +244,7 @@ def _packed(shard_tokens: int):
                 if docs and (part != shard or held >= shard_tokens):
                     yield file_of(shard, number, docs, parts)
                     number, docs, parts, held = (number + 1 if part == shard else 0), [], [], 0
-                shard, held = part, held + len(ids) // 4
+                shard, held = part, held + len(ids) // width
                 docs.append(doc_id)
                 parts.append(ids)
         if docs:
@@ -197,7 +252,7 @@ def _packed(shard_tokens: int):
     return run
 
 
-def shards(tokens: DataFrame, parts: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def shards(tokens: DataFrame, parts: int | None = None, shard_tokens: int = SHARD_TOKENS, width: int = 4) -> DataFrame:
     """The shard files of (doc_id, ids): documents in ascending doc_id order, NULL first and
     repeated rows by their ids; a document is never divided. One row (part, number,
     doc_ids, lengths, n_tokens, matrix) for each file, in the order of part and number.
@@ -207,7 +262,7 @@ def shards(tokens: DataFrame, parts: int | None = None, shard_tokens: int = SHAR
     parts = parts or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
             .select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-            .mapInArrow(_packed(shard_tokens), "part int, number int, doc_ids array<long>, lengths array<long>, "
+            .mapInArrow(_packed(shard_tokens, width), "part int, number int, doc_ids array<long>, lengths array<long>, "
                                                "n_tokens long, matrix binary"))
 
 
@@ -265,9 +320,10 @@ def occurrences(files: DataFrame, token: int) -> DataFrame:
             .select(F.col("found").alias("position")))
 
 
-def write(tokens: DataFrame, path: str, parts: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write(tokens: DataFrame, path: str, parts: int | None = None, shard_tokens: int = SHARD_TOKENS,
+          width: int = 4) -> DataFrame:
     """Write the shard files of ``tokens`` and read them back."""
-    files = shards(tokens, parts, shard_tokens)
+    files = shards(tokens, parts, shard_tokens, width)
     files.write.option("compression", "zstd").parquet(path)
     return tokens.sparkSession.read.schema(files.schema).parquet(path)
 
@@ -275,7 +331,8 @@ def write(tokens: DataFrame, path: str, parts: int | None = None, shard_tokens:
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Tokenize, write and read back: (doc_id, start, n_tokens, ids_crc32). Repeated rows
     are documents of their own; no documents give no rows."""
-    tokens, path = scratch.placed(tokenize(docs, tokenizer), "tokens", "zstd")
-    files = write(tokens, scratch.folder(docs.sparkSession, "shards"))
+    width = 2 if WordEncoder(tokenizer).library.get_vocab_size() <= 1 << 16 else 4
+    tokens, path = scratch.placed(tokenize(docs, tokenizer, width=width), "tokens", "zstd")
+    files = write(tokens, scratch.folder(docs.sparkSession, "shards"), width=width)
     scratch.remove(docs.sparkSession, path)
     return contents(files)
