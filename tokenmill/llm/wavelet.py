@@ -31,7 +31,7 @@ SHARD_TOKENS = 1 << 20
 END = 2
 
 #: chunks of text, and pieces of them, whose ids a task remembers
-MEMO = 1 << 17
+MEMO = 1 << 18
 
 #: bits between two stored counts
 _BLOCK = 512
@@ -167,15 +167,18 @@ class WordEncoder:
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = dict(zip(shown + hidden, map(chr, [*shown, *range(256, 256 + len(hidden))]), strict=True))
-        self.memo: dict[str, list[int]] = {}
+        self.memo, self.before = {}, {}  # pieces seen lately, and those seen before these
 
     def _piece(self, piece: str) -> list[int]:
         known = self.memo.get(piece)
         if known is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            as_bytes = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.letters)
-            known = self.memo[piece] = [token.id for token in self.model.tokenize(as_bytes)]
+            if len(self.memo) >= MEMO // 2:
+                self.memo, self.before = {}, self.memo
+            known = self.before.get(piece)
+            if known is None:
+                as_bytes = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.letters)
+                known = [token.id for token in self.model.tokenize(as_bytes)]
+            self.memo[piece] = known
         return known
 
     def __call__(self, chunk: str) -> list[int]:
@@ -200,14 +203,11 @@ def _tokenized(path: str, end: int, width: int):
             coded = chunks.flatten().dictionary_encode()
             bounds = chunks.offsets.to_numpy().astype(np.int64)
             bounds = bounds - bounds[0]
+            distinct = coded.dictionary.to_pylist()
+            ids = [known if (known := memo.get(chunk)) is not None else encode(chunk) for chunk in distinct]
             if len(memo) >= MEMO:
-                memo.clear()
-            ids = []
-            for chunk in coded.dictionary.to_pylist():
-                known = memo.get(chunk)
-                if known is None:
-                    known = memo[chunk] = encode(chunk)
-                ids.append(known)
+                memo = {}  # the words of this slice stay
+            memo.update(zip(distinct, ids, strict=True))
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             starts = np.cumsum(lengths) - lengths
             flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
