@@ -1,23 +1,26 @@
 """Text files to a tokenized, split cache."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from tokenmill.operators import segments, split
 from tokenmill.operators.encode import Tokenizer
-from tokenmill.sources import cache
+from tokenmill.sources import cache, scratch
 
 
 def tokenize_and_cache(files: DataFrame, tokenizer: Tokenizer, path: str, n_sentences=0,
                        use_overflow=False, two_segments=True, delete_existing=False,
                        max_length=512, seed: int = 0) -> DataFrame:
-    """Tokenize the files the cache lacks (all of them with ``delete_existing``),
-    append them, and return the whole cache."""
+    """Tokenize the files the cache's manifest lacks (all of them with
+    ``delete_existing``), add them as a batch, and return the whole cache."""
     spark = files.sparkSession
-    if not delete_existing:
-        files = cache.pending(files, cache.read(spark, path)) if cache.exists(spark, path) else files
-    made = segments.examples(files, tokenizer, seed, two_segments, max_length, n_sentences,
-                             use_overflow)
-    cache.write(made, path, "overwrite" if delete_existing else "append")
+    if delete_existing:
+        scratch.remove(spark, path)
+    cache.tidy(spark, path)
+    todo = cache.pending(files, cache.manifest(spark, path))
+    made = segments.examples(todo, tokenizer, seed, two_segments, max_length, n_sentences, use_overflow)
+    cache.add(todo, made, path, uuid.uuid4().hex)
     return cache.read(spark, path)
 
 

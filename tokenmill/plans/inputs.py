@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions import draws
 from tokenmill.functions.arrays import bound
 from tokenmill.operators import batch, corrupt, encode, masking, segments, vocab
+from tokenmill.operators.encode import list_encoder
 from tokenmill.operators.rows import numbered
 from tokenmill.plans import evaluation
 from tokenmill.schema import IGNORE
@@ -19,6 +20,15 @@ SEED, MAX_LENGTH, N_WORDS, BATCH_SIZE, MLM_PROB = 7, 64, 2000, 128, 0.15
 #: length of raw-line examples, which have no overflow: longer than any line
 LINE_LENGTH = 4096
 
+
+
+def _word_lengths() -> encode.Encoder:
+    return list_encoder(lambda texts: [[5 + min(len(w), 99) for w in t.split(" ")] for t in texts])
+
+
+#: a tokenizer of a user's own: a word's length, up to 99, behind five special ids
+WORD_LENGTHS = encode.Tokenizer(_word_lengths, vocab_size=105)
+
 #: candidates per scored position
 K = 32
 

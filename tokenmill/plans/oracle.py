@@ -176,6 +176,11 @@ cte("segs_sentences", all_windows("two_pieces", MAX_LENGTH))
 cte("segs_turns", first_window("turn_pieces", LINE_LENGTH))
 cte("segs_overflow", all_windows("pieces", MAX_LENGTH))
 
+cte("own_pieces", """
+SELECT file_key, text_no, list_transform(string_split(text, ' '), lambda w: 5 + least(length(w), 99)) AS pieces
+FROM line_texts""")
+cte("segs_own", all_windows("own_pieces", MAX_LENGTH))
+
 # pairs
 
 
@@ -438,8 +443,9 @@ SELECT file_key, example_id, global_idx // {BATCH_SIZE} AS batch_id,
 FINAL: dict[str, str] = {
     "scan_lines": "SELECT file_key, row_no::INTEGER AS line_no, line FROM raw",
     "utf8_quarantine": """
-SELECT doc_id::VARCHAR AS file_key, CASE WHEN lang = 'de' THEN 'rejected' ELSE 'accepted' END AS status,
-       CASE WHEN lang = 'de' THEN 2 + 2 * length(text) ELSE octet_length(encode(text)) END::BIGINT AS n_bytes
+SELECT doc_id::VARCHAR AS file_key, CASE WHEN lang IN ('de', 'es') THEN 'rejected' ELSE 'accepted' END AS status,
+       CASE WHEN lang = 'de' THEN 2 + 2 * length(text) WHEN lang = 'es' THEN 2 + octet_length(encode(text))
+            ELSE octet_length(encode(text)) END::BIGINT AS n_bytes
 FROM documents""",
     "raw_line_scan": "SELECT file_key, row_no::INTEGER AS row_no, line FROM raw_pages",
     "concat_sources": """
@@ -465,6 +471,7 @@ JOIN vocab USING (token_id)""",
     "truncate_encode": segs_out("segs"),
     "overflow_encode": segs_out("segs_overflow"),
     "sentence_encode": segs_out("segs_sentences"),
+    "user_tokenizer": segs_out("segs_own"),
     "encode_masks": f"SELECT file_key, example_id, {', '.join(text(a, a) for a in ARRAYS[1:])} FROM single",
     "single_segment": f"SELECT {EXPORT} FROM single",
     "pair_segments": "SELECT file_key, example_id, seg_a_id, seg_b_id FROM examples",

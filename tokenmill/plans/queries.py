@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions.arrays import as_text, bits
-from tokenmill.operators import (batch, index, lines, masking, metrics, scores, split,
+from tokenmill.operators import (batch, encode, index, lines, masking, metrics, scores, split,
                                  stats, vocab)
 from tokenmill.plans import corpus, evaluation, training
-from tokenmill.plans.inputs import BATCH_SIZE, LINE_LENGTH, MAX_LENGTH, MLM_PROB, N_WORDS, SEED, Inputs
+from tokenmill.plans.inputs import (BATCH_SIZE, LINE_LENGTH, MAX_LENGTH, MLM_PROB, N_WORDS, SEED,
+                                    WORD_LENGTHS, Inputs)
 from tokenmill.sources import cache, files
 from tokenmill.streaming import tokenize as stream
 
@@ -47,8 +48,14 @@ def scan_lines(t: Inputs) -> DataFrame:
 
 @query
 def utf8_quarantine(t: Inputs) -> DataFrame:
-    """The German documents as if stored in UTF-16, all others in UTF-8."""
-    content = F.when(F.col("lang") == "de", F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
+    """The German documents as if stored in UTF-16 and the Spanish ones with two bytes in
+    their middle that are no UTF-8, all others in UTF-8."""
+    utf8 = F.encode("text", "UTF-8")
+    half = F.floor(F.length("text") / 2).cast("int")
+    broken = F.concat(F.encode(F.substring("text", F.lit(1), half), "UTF-8"), F.unhex(F.lit("C328")),
+                      F.encode(F.substring("text", half + 1, F.length("text")), "UTF-8"))
+    content = (F.when(F.col("lang") == "de", F.encode("text", "UTF-16")).when(F.col("lang") == "es", broken)
+               .otherwise(utf8))
     stored = t.table("documents", "doc_id", "lang", "text").select(
         F.col("doc_id").cast("string").alias("file_key"), content.alias("content"))
     stored = stored.withColumn("n_bytes", F.length("content").cast("long"))
@@ -83,16 +90,25 @@ def pretokenized_scan(t: Inputs) -> DataFrame:
 
 @query
 def cache_roundtrip(t: Inputs) -> DataFrame:
+    """Written over an earlier cache of the labelled documents."""
     path = cache.shared_dir(t.spark, "roundtrip")
+    labelled = t.table("labels", "doc_id").select(F.col("doc_id").cast("string").alias("file_key"))
+    corpus.tokenize_and_cache(t.files.join(labelled, "file_key", "left_semi"), t.tokenizer, path,
+                              two_segments=False, max_length=MAX_LENGTH)
     return _exported(corpus.tokenize_and_cache(t.files, t.tokenizer, path, delete_existing=True,
                                                max_length=MAX_LENGTH, seed=SEED, use_overflow=True))
 
 
 @query
 def resume_antijoin(t: Inputs) -> DataFrame:
-    """The labelled documents count as tokenized already."""
-    done = t.table("labels", "doc_id").select(F.col("doc_id").cast("string").alias("file_key"))
-    return stats.corpus(cache.pending(t.files, done), t.tokenizer, MAX_LENGTH, use_overflow=True)
+    """What a second run adds to a cache that holds the labelled documents."""
+    path = cache.shared_dir(t.spark, "resumed")
+    options = dict(two_segments=False, max_length=MAX_LENGTH, use_overflow=True)
+    labelled = t.table("labels", "doc_id").select(F.col("doc_id").cast("string").alias("file_key"))
+    corpus.tokenize_and_cache(t.files.join(labelled, "file_key", "left_semi"), t.tokenizer, path, **options)
+    earlier = cache.manifest(t.spark, path).select("batch").distinct()
+    corpus.tokenize_and_cache(t.files, t.tokenizer, path, **options)
+    return cache.manifest(t.spark, path).join(earlier, "batch", "left_anti").drop("batch")
 
 
 @query
@@ -178,6 +194,11 @@ def sentence_encode(t: Inputs) -> DataFrame:
     return _segments(t.segments(n_sentences=2, use_overflow=True))
 
 
+@query
+def user_tokenizer(t: Inputs) -> DataFrame:
+    return _segments(encode.segments(t.files, WORD_LENGTHS, MAX_LENGTH, use_overflow=True))
+
+
 @query
 def encode_masks(t: Inputs) -> DataFrame:
     return t.singles().select(*KEYS, *map(_bits, MASKS), _text("token_type_ids"))

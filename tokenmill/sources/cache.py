@@ -14,6 +14,42 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return scratch.folder(spark, name)
 
 
+#: one row for each finished file, also for files without examples
+MANIFEST = T.StructType([T.StructField("file_key", T.StringType()), T.StructField("num_examples", T.LongType()),
+                         T.StructField("num_tokens", T.LongType()), T.StructField("batch", T.StringType())])
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The finished files of a cache with their counts and the batch that wrote them."""
+    if not exists(spark, f"{path}/_manifest"):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
+
+
+def add(files: DataFrame, examples: DataFrame, path: str, batch: str) -> None:
+    """Write the ``examples`` of ``files`` as a batch of the cache, then its part of the
+    manifest, which makes it count. Writing a batch again replaces it."""
+    spark, folder = files.sparkSession, f"{path}/batch={batch}"
+    examples.write.mode("overwrite").parquet(folder)
+    counts = (spark.read.schema(EXAMPLES).parquet(folder).groupBy("file_key")
+              .agg(F.count(F.lit(1)).alias("num_examples"), F.sum("n_tokens").alias("num_tokens")))
+    finished = files.select("file_key").join(counts, "file_key", "left").fillna(0)
+    finished.write.mode("overwrite").parquet(f"{path}/_manifest/batch={batch}")
+
+
+def tidy(spark: SparkSession, path: str) -> None:
+    """Remove batches that were not finished."""
+    if not exists(spark, path):
+        return
+    finished = {r.batch for r in manifest(spark, path).select("batch").distinct().collect()}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folders = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    for folder in folders:
+        name = folder.getPath().getName()
+        if name.startswith("batch=") and name.removeprefix("batch=") not in finished:
+            scratch.remove(spark, f"{path}/{name}")
+
+
 def write(examples: DataFrame, path: str, mode: str = "overwrite", by: tuple = ()) -> str:
     """``overwrite`` starts the cache anew, whether or not it existed."""
     examples.write.mode(mode).partitionBy(*by).parquet(path)
@@ -27,7 +63,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """Cached examples of any number of paths; an absent column reads as NULL."""
-    return spark.read.schema(EXAMPLES).parquet(*paths)
+    return spark.read.schema(EXAMPLES).parquet(*paths).select(*EXAMPLES.names)
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -37,5 +73,5 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def pending(files: DataFrame, done: DataFrame) -> DataFrame:
-    """Files whose key the cache does not hold yet."""
+    """Files whose key is not among the finished ones."""
     return files.join(done.select("file_key"), "file_key", "left_anti")

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def file_key() -> Column:
+    """The key of a file, the same whichever reader reads it: its location with escapes."""
+    return F.col("_metadata.file_path").alias("file_key")
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Give every core work when a scan has fewer input splits than cores.
 
@@ -30,20 +35,23 @@ def from_table(rows: DataFrame, key: Column, text="text", n_chars=None) -> DataF
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """Every file below a directory as undecoded bytes."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
-    return files.select(F.col("path").alias("file_key"), "content", F.col("length").alias("n_bytes"))
+    return files.select(file_key(), "content", F.col("length").alias("n_bytes"))
 
 
-def decode(binary_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split undecoded files into (``FILES`` of the decodable ones, quarantine).
-
-    One bad byte sequence rejects the whole file.
-    """
+def decoded(binary_files: DataFrame) -> DataFrame:
+    """(file_key, n_bytes, accepted, text) of undecoded files in one pass. One bad byte
+    sequence rejects the whole file, whose text is NULL; a byte order mark is dropped."""
     as_string = F.col("content").cast("string")
-    valid = F.is_valid_utf8(as_string)
-    good = binary_files.where(valid).select(
-        "file_key", as_string.alias("text"), F.col("n_bytes").alias("n_chars"))
-    bad = binary_files.where(~valid).select("file_key", "n_bytes")
-    return good, bad
+    text = F.when(F.is_valid_utf8(as_string), F.regexp_replace(as_string, "^\ufeff", ""))
+    return (binary_files.select("file_key", "n_bytes", text.alias("text"))
+            .select("file_key", "n_bytes", F.col("text").isNotNull().alias("accepted"), "text"))
+
+
+def decode(binary_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split undecoded files into (``FILES`` of the decodable ones, quarantine)."""
+    rows = decoded(binary_files)
+    good = rows.where("accepted").select("file_key", "text", F.col("n_bytes").alias("n_chars"))
+    return good, rows.where("not accepted").select("file_key", "n_bytes")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +63,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     left out whole.
     """
     read = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("file_key"),
+        file_key(),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("read_order"),
         F.col("value").alias("line"),

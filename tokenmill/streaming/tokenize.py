@@ -1,44 +1,53 @@
 """Structured Streaming form of the tokenized cache.
 
 A file arrives whole in one micro-batch, so pairing inside a file needs no state.
-Each micro-batch writes its own folder and leaves out files other micro-batches
-have written; a replayed micro-batch overwrites its folder, so nothing is
-doubled.
+Each micro-batch is a batch of the cache, named by the stream and its own number,
+and leaves out files that the manifest already has; a replayed micro-batch
+replaces itself, so nothing is doubled, and a stream that starts anew writes
+beside what earlier ones have written.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tokenmill.operators import segments
 from tokenmill.operators.encode import Tokenizer
-from tokenmill.sources import cache
+from tokenmill.sources import cache, files as sources
 from tokenmill.sources.files import spread
 
-
-_WRITTEN = T.StructType([T.StructField("file_key", T.StringType()),
-                         T.StructField("arrival", T.LongType())])
+_BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """A directory of text files as a stream of ``FILES``."""
-    rows = spark.readStream.format("text").option("wholetext", True).load(path)
-    return rows.select(F.col("_metadata.file_path").alias("file_key"), F.col("value").alias("text"),
-                       F.length("value").cast("long").alias("n_chars"))
+    """A directory of text files as a stream of ``FILES``; undecodable ones are left out,
+    as the batch job leaves them out."""
+    rows = spark.readStream.format("binaryFile").schema(_BINARY).load(path)
+    found = sources.decoded(rows.select(sources.file_key(), "content", F.col("length").alias("n_bytes")))
+    return found.where("accepted").select("file_key", "text", F.col("n_bytes").alias("n_chars"))
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream a checkpoint belongs to, kept beside its state."""
+    name = f"{checkpoint}/stream-name"
+    if not cache.exists(spark, name):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "name string").coalesce(1).write.parquet(name)
+    return spark.read.parquet(name).first().name
 
 
 def tokenize(files: DataFrame, tokenizer: Tokenizer, path: str, checkpoint: str,
              **options) -> StreamingQuery:
     """Append the examples of newly arrived files to the cache at ``path``;
     stops when what has arrived is done."""
+    stream = stream_id(files.sparkSession, checkpoint)
+
     def write(arrived: DataFrame, batch_no: int) -> None:
-        spark = arrived.sparkSession
-        todo = spread(arrived, "file_key")
-        if cache.exists(spark, path):
-            others = spark.read.schema(_WRITTEN).parquet(path).where(F.col("arrival") != batch_no)
-            todo = cache.pending(todo, others)
-        cache.write(segments.examples(todo, tokenizer, **options), f"{path}/arrival={batch_no}")
+        batch = f"{stream}-{batch_no}"
+        finished = cache.manifest(arrived.sparkSession, path).where(F.col("batch") != batch)
+        todo = cache.pending(spread(arrived, "file_key"), finished)
+        cache.add(todo, segments.examples(todo, tokenizer, **options), path, batch)
 
     return (files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
