@@ -111,3 +111,13 @@ def test_concat_fills_missing_columns(spark):
 def test_spread_leaves_a_wide_scan_alone(spark):
     wide = spark.range(100, numPartitions=64).withColumn("k", F.col("id"))
     assert fs.spread(wide, "id") is wide
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50])
+@pytest.mark.parametrize("bits", [0, 1, 16])
+def test_sentences_of_line_tables_equal_those_of_whole_files(files, n, bits):
+    rows = files(TEXTS | {"long": "a. b\nc.. d\n\ne\nf.g. " * 40})
+    found = sorted(map(tuple, lines.sentences_of_lines(lines.raw_lines(rows).withColumnRenamed("row_no", "line_no"),
+                                                       n, bits).collect()))
+    whole = [r for r in lines.texts(rows, n).collect() if r.file_key not in ("empty", "blank")]
+    assert found == sorted((r.file_key, r.text_no, r.text) for r in whole)

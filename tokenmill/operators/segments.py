@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions import arrays as ar
 from tokenmill.functions import draws
 from tokenmill.operators import encode
+from tokenmill.operators import lines as line_operators
 from tokenmill.operators.rows import inlined
 from tokenmill.schema import BIG_FILE_CHARS, EXAMPLES
 from tokenmill.sources import scratch
@@ -113,9 +114,12 @@ def pairs(files: DataFrame, tokenizer: encode.Tokenizer, seed: int, max_length=5
 
 
 def examples_of_lines(lines: DataFrame, tokenizer: encode.Tokenizer, seed: int = 0, two_segments=True,
-                      max_length=512, use_overflow=False,
+                      max_length=512, n_sentences=0, use_overflow=False,
                       chars_per_slice: int = BIG_FILE_CHARS) -> DataFrame:
     """Examples from (file_key, line_no, line), for files that do not fit one row."""
+    if n_sentences:
+        texts = line_operators.sentences_of_lines(lines, n_sentences)
+        lines = texts.select("file_key", F.col("text_no").alias("line_no"), F.col("text").alias("line"))
     rows = encode.text_segments(encode.line_rows(lines, chars_per_slice), tokenizer, max_length, use_overflow)
     made = joined(pairs_across_rows(rows, seed, chars_per_slice)) if two_segments else single(rows)
     return made.select(*EXAMPLES.names)

@@ -463,6 +463,7 @@ SELECT * FROM (SELECT file_key, example_id, n_tokens::INTEGER AS n_tokens, {spli
     "file_text": "SELECT file_key, text FROM joined",
     "sentence_split": "SELECT file_key, text_no::INTEGER AS text_no, text FROM sentences",
     "sentence_group": "SELECT file_key, text_no::INTEGER AS text_no, text FROM threes",
+    "sentence_group_lines": "SELECT file_key, text_no, text FROM threes",
     "build_vocab": "SELECT token, token_id::INTEGER AS token_id FROM vocab",
     "decode_tokens": """
 SELECT token_id::INTEGER AS token_id, token, n FROM (SELECT id AS token_id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM segs_overflow) GROUP BY id)

@@ -155,6 +155,12 @@ def sentence_group(t: Inputs) -> DataFrame:
     return lines.texts(t.files, 3)
 
 
+@query
+def sentence_group_lines(t: Inputs) -> DataFrame:
+    """The same from a table of lines, as for files that do not fit one row."""
+    return lines.sentences_of_lines(lines.clean_lines(t.files), 3)
+
+
 # tokenization
 
 @query
