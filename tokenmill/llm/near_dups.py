@@ -241,12 +241,12 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
         F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"),
         F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark")).where("n > 1")
         .groupBy("leader", "n", "shingles", "mark").agg(F.min("key").alias("key")))
-    members = scratch.table(members.drop("n_shingles").join(buckets.drop("mark"), "key"), "members")
+    members, members_path = scratch.placed(members.drop("n_shingles").join(buckets.drop("mark"), "key"), "members")
 
     # candidates grow with the corpus, so their ids are never broadcast
     wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = scratch.table(texts.mapInArrow(_full_sets, "rep long, hashes array<long>"), "sets")
+    sets, sets_path = scratch.placed(texts.mapInArrow(_full_sets, "rep long, hashes array<long>"), "sets")
 
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     tried = stars.join(sizes.toDF("a", "n_a", "sketch_a"), "a").join(sizes.toDF("b", "n_b", "sketch_b"), "b") \
@@ -266,7 +266,10 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
                     "side", "rep", "comp", "n_shingles", "sketch", "hashes"))
     late = (late.repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b")
             .mapInArrow(_bucket_links(percent), "a long, b long"))
-    return found.union(scratch.table(late.distinct(), "late"))
+    late = scratch.table(late.distinct(), "late")
+    for path in (members_path, sets_path):
+        scratch.remove(classes.sparkSession, path)
+    return found.union(late)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
