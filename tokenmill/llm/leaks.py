@@ -9,15 +9,16 @@ of a width of at least k that overlap by k: a band that reaches the bound is ali
 with the item, all others cannot hold a match.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tokenmill.llm.words import slices
+from tokenmill.sources import scratch
 
 #: length of the grams, and edits allowed for each character of an item
 Q, RATE = 8, 0.08
@@ -207,16 +208,19 @@ def found_in(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     return sorted((int(index.ids[i]), int(places[a]), int(places[b - 1]) + 1, edits) for i, edits, a, b in chosen)
 
 
-def _indexes(benchmark: DataFrame, q: int, rate: float, block_chars: int) -> list[Index]:
-    """The items' indexes, each over the items that end in one stretch of ``block_chars``
-    characters of the benchmark, built one after the other."""
+def _indexes(benchmark: DataFrame, q: int, rate: float, block_chars: int) -> tuple[int, Iterator[Index]]:
+    """How many blocks of about ``block_chars`` characters the items are dealt to, and the
+    blocks' indexes, of which the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    so_far = W.Window.orderBy("item_id", "text").rowsBetween(W.Window.unboundedPreceding, -1)
-    items = items.withColumn("block", F.floor(
-        F.coalesce(F.sum(F.length("text")).over(so_far), F.lit(0)) / block_chars))
-    blocks = sorted(r.block for r in items.select("block").distinct().collect())
-    return [Index.of([(r.item_id, r.text) for r in items.where(F.col("block") == block).collect()], q, rate)
-            for block in blocks]
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = -(-total // block_chars)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
+
+    def each():
+        for block in range(blocks):
+            rows = dealt.where(F.col("block") == block).orderBy("item_id", "text").collect()
+            yield Index.of([(r.item_id, r.text) for r in rows], q, rate)
+    return blocks, each()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
@@ -246,15 +250,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
 
     schema = "doc_id long, item_id long, start long, end long, edits int"
     result = texts.sparkSession.createDataFrame([], schema)
-    for index in _indexes(benchmark, q, rate, block_chars):
-        result = result.union(texts.mapInArrow(matcher(index), schema))
+    blocks, indexes = _indexes(benchmark, q, rate, block_chars)
+    for index in indexes:
+        found = texts.mapInArrow(matcher(index), schema)
+        result = result.union(found if blocks == 1 else scratch.table(found, "leaks"))
     return result
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
           block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns.
-    The texts are judged inside the scan, one filter for each block of items."""
+    The texts are judged inside the scan, in one pass for each block of items."""
     def cleaner(index: Index):
         def run(batches):
             for batch in slices(batches):
@@ -262,6 +268,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
                                              for text in batch.column("text")], pa.bool_()))
         return run
 
-    for index in _indexes(benchmark, q, rate, block_chars):
+    blocks, indexes = _indexes(benchmark, q, rate, block_chars)
+    before = None
+    for index in indexes:
         docs = docs.mapInArrow(cleaner(index), docs.schema)
+        if blocks > 1:
+            docs, path = scratch.placed(docs, "clean")
+            if before:
+                scratch.remove(docs.sparkSession, before)
+            before = path
     return docs
