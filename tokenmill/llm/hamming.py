@@ -61,7 +61,7 @@ def learned(sample: np.ndarray, bits: int, steps: int = STEPS) -> tuple[np.ndarr
     rng = np.random.default_rng(7)
     size = sample.shape[1]
     mean = sample.mean(axis=0) if len(sample) else np.zeros(size)
-    axes = np.linalg.svd(sample - mean, full_matrices=True)[2].T if 1 < len(sample) else np.eye(size)
+    axes = np.linalg.eigh((sample - mean).T @ (sample - mean))[1][:, ::-1] if 1 < len(sample) else np.eye(size)
     turned, found = (sample - mean) @ axes, []
     for _ in range(-(-bits // size)):
         rotation = np.linalg.qr(rng.standard_normal((size, size)))[0]
@@ -141,10 +141,11 @@ def links(classes: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, miss
     if not n:
         return classes.select(F.col("class").alias("a"), F.col("class").alias("b"))
     plan = Plan.of(n, cosine, miss)
-    drawn = [r.embedding for r in classes.orderBy(F.xxhash64("class"), "class").limit(sample)
-             .select("embedding").collect()]
-    size = max(set(map(len, drawn)), key=lambda s: (sum(len(d) == s for d in drawn), s))
-    vectors = np.array([d for d in drawn if len(d) == size], float)
+    drawn = (classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("embedding").toArrow()
+             .column("embedding").combine_chunks())
+    sizes, ends = drawn.value_lengths().to_numpy(), drawn.offsets.to_numpy()[1:]
+    size = max(set(sizes.tolist()), key=lambda s: ((sizes == s).sum(), s))
+    vectors = drawn.values.to_numpy()[(ends[sizes == size] - size)[:, None] + np.arange(size)]
     mean, projections = learned(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), plan.width * plan.tables)
     coded = scratch.table(classes.select("class", "label", "size", "embedding").mapInArrow(
         _codes(mean, projections, plan), "class long, label long, size int, code array<long>"), "codes")
