@@ -16,7 +16,6 @@ one row for each member and band, and no link that decides a component is left o
 """
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
