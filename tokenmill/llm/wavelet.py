@@ -8,9 +8,11 @@ the planes with rank and select and decode nothing else. The files are the rows
 Parquet table, which Spark's committer makes safe against lost tasks on any store.
 """
 
+import gc
 import itertools
 import os
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tokenmill.llm.words import slices
+from tokenmill.llm.words import SLICE_BYTES, slices
 from tokenmill.sources import scratch
 
 #: tokens of a shard file after which the next document begins a new one
@@ -187,18 +189,23 @@ class WordEncoder:
                 return self.library.encode(chunk, add_special_tokens=False).ids
             text = chunk.lower()
         else:
-            text = self.normalize(chunk)
+            # the library lower-cases letter by letter, without the rule for a final sigma
+            plain = "Σ" not in chunk and unicodedata.is_normalized("NFC", chunk)
+            text = chunk.lower() if plain else self.normalize(chunk)
             if not text.rstrip(".,;:!?\")").isalpha():
                 return self.library.encode(chunk, add_special_tokens=False).ids
         if text.isalpha():
             return self._piece(text)
+        if text[:-1].isalpha() and not text[-1].isalnum() and "'" not in text:
+            return self._piece(text[:-1]) + self._piece(text[-1])
         return [i for piece in self.PIECES.findall(text) for i in self._piece(piece)]
 
 
 def _tokenized(path: str, end: int, width: int):
     def run(batches):
         encode, memo = WordEncoder(path), {}
-        for batch in slices(batches):
+        gc.disable()  # nothing here makes cycles, and the memo is costly to search for them
+        for batch in slices(batches, most=2 * SLICE_BYTES):
             chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
             coded = chunks.flatten().dictionary_encode()
             bounds = chunks.offsets.to_numpy().astype(np.int64)
@@ -218,6 +225,7 @@ def _tokenized(path: str, end: int, width: int):
             last = np.array([end], f"<u{width}").tobytes()
             rows = [tokens[ends[a]:ends[b]].tobytes() + last for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "ids"])
+        gc.enable()
     return run
 
 
