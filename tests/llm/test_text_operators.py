@@ -267,6 +267,36 @@ def test_brown_probabilities_sum_to_one(spark):
     assert np.allclose(transitions[:, used].sum(axis=1) + transitions[:, -1], 1, atol=1e-6)
 
 
+def test_brown_clusters_words_seen_once_in_a_large_corpus(spark):
+    texts = {i: " ".join([*prose(i, 700, 50).split(), *(f"once{i * 100 + n}" for n in range(100))]) for i in range(200)}
+    corpus, counts = brown.counted(brown.blocks(documents(spark, texts)))
+    corpus.cache()
+    assert counts.tokens > 1 << 17 and counts.common == counts.distinct > brown._GROUP
+    names, after, before = {}, collections.Counter(), collections.Counter()
+    for batch in corpus.select("held", "ends", "sequence", "words", "doc_ids").toArrow().to_batches():
+        for n in range(batch.num_rows):
+            sequence, totals, number, classes = brown._classes(
+                batch, n, counts.common, np.arange(counts.common) % brown.CLASSES + 1)
+            assert (number[totals > 0] >= 0).all() and (classes[totals > 0] <= brown.CLASSES).all()
+            words = [w for i in batch.column("doc_ids")[n].as_py() for w in [*texts[i].split(), ""]]
+            assert all(names.setdefault(w, k) == k for w, k in zip(words, number[sequence].tolist(), strict=True) if k >= 0)
+            learned = [0, *number[brown._learned(batch, n, sequence)].tolist()]
+            after.update(zip(learned[1:], learned[:-1], strict=True))
+            before.update(zip(learned[1:-1], learned[2:], strict=True))
+    assert names[""] == 0 and sorted(names.values()) == list(range(counts.common))
+    table, _ = brown.neighbours(corpus)
+    found = {"after": collections.Counter(), "before": collections.Counter()}
+    for batch in table.toArrow().to_batches():
+        for n in range(batch.num_rows):
+            start = batch.column("group")[n].as_py() * brown._GROUP
+            for side, seen in found.items():
+                for word, neighbour, k in zip(*(x.tolist() for x in brown._unpacked(batch, n, side)), strict=True):
+                    seen[start + word, neighbour] += k
+    assert found == {"after": after, "before": before}
+    model = brown.fitted(corpus, counts, 2)
+    assert model.sizes.sum() == counts.tokens and set(model.of_common[1:]) <= set(range(1, 1 + brown.CLASSES))
+
+
 # Wavelet matrices
 
 def test_wavelet_queries():

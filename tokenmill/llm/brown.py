@@ -1,16 +1,17 @@
 """Language-model scoring with Brown's class-based bigrams.
 
-P(word | word before) = P(class | class before) * P(word | class). The classes of common
-words come from exchange clustering: starting from classes by rank, each round counts
-how often every word stands after and before each class, and moves half of the words to
-the class that raises the training likelihood most. A word is common if it holds at least
-one in ``SHARE`` of the training tokens, so there are no more than ``SHARE`` such words
-however large the corpus is. The others stay in classes by frequency (1, 2-3, 4-7, ...).
-Every class counts and emits all of its words, and all counts cover all training tokens.
+P(word | word before) = P(class | class before) * P(word | class). The classes come from
+exchange clustering of every word of the training texts: starting from classes by rank,
+each round counts how often every word stands after and before each class, and moves half
+of the words to the class that raises the training likelihood most. All counts cover all
+training tokens.
 
 The corpus is held as blocks of documents with a word list each, so that a word costs one
 row in a shuffle for each block it occurs in and not for each occurrence: the counts go
-back to the blocks, and all further passes are arithmetic on arrays inside a block.
+back to the blocks, and all further passes are arithmetic on arrays inside a block. What
+stands after and before each word is one table, a row for each run of ``_GROUP`` words; its
+tasks choose the words' best classes. The driver and the workers hold the class by class
+counts and one byte for each word.
 """
 
 from dataclasses import dataclass
@@ -28,28 +29,24 @@ from tokenmill.sources import scratch
 #: classes that exchange clustering fills, and its rounds
 CLASSES, ROUNDS = 64, 6
 
-#: a common word holds at least one in so many training tokens
-SHARE = 1 << 17
-
 #: text bytes of a block
 BLOCK_BYTES = 4 << 20
 
 #: additive count of the unigram baseline
 BASE = 0.1
 
-#: classes by frequency: one for each number of bits of a count
-_BITS = 48
-#: class 0 is the end of a document; then the clustered ones, those by frequency, unseen words
-_TOTAL = 1 + CLASSES + _BITS + 1
+#: class 0 is the end of a document; then the clustered ones and that of unseen words
+_TOTAL = 1 + CLASSES + 1
 _UNSEEN = _TOTAL - 1
 
-#: common words whose counts travel in one row
-_GROUP = 256
+#: words whose neighbours are in one row, and words that are ranked together
+_GROUP, _RANKED = 1 << 14, 1 << 16
+
+#: neighbours of words that a task holds before it merges equal ones
+_HELD = 4 << 20
 
-#: a looked-up word is one integer: its place in the block's list above these bits, and
-#: below them its number among the common words, or _LIMIT plus its count, which for a word
-#: that is not common is a small share of all tokens
-_VALUE_BITS, _LIMIT = 40, 2 * SHARE
+#: a looked-up word is its place in the block's list above these bits, and its number below
+_VALUE_BITS = 40
 
 
 def held_out(doc_id):
@@ -91,49 +88,59 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Counts:
-    """Training totals: tokens, distinct tokens, tokens seen once and twice, and the
-    counts of the common words by their number (0 is the end of a document)."""
+    """Training totals: tokens, distinct tokens, tokens seen once, and how many words have
+    a number (0 is the end of a document)."""
 
     tokens: int
     distinct: int
     once: int
-    twice: int
-    common: np.ndarray
+    common: int
 
 
 def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
-    """The blocks with ``words``: for each word of a block's list, in order, its number
-    among the common words or its training count in the whole corpus."""
+    """The blocks with ``words``: for each word of a block's list, in order, its number, which
+    for a word of no training text is the first free one, and its training count in the
+    whole corpus."""
     listed = cut.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
     vocabulary = scratch.table(
         listed.where("w.counts > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("total")),
         "vocabulary", "zstd")
-    tokens, distinct, once, twice = (x or 0 for x in vocabulary.agg(
-        F.sum("total"), F.count("total"), F.sum((F.col("total") == 1).cast("long")),
-        F.sum((F.col("total") == 2).cast("long"))).first())
-    often = (F.col("total") >= tokens / SHARE) | (F.col("word") == "")
-    rank = F.row_number().over(W.Window.orderBy(F.col("word") != "", F.desc("total"), "word")) - 1
-    common = scratch.table(vocabulary.where(often).withColumn("number", rank), "common")  # SHARE rows at most
-    numbered = vocabulary.join(F.broadcast(common.select("word", "number")), "word", "left")
-    value = F.coalesce(F.col("number").cast("long"), F.lit(_LIMIT) + F.coalesce("total", F.lit(0)))
-    placed = F.shiftleft(F.col("place").cast("long"), _VALUE_BITS).bitwiseOR(value)
+    tokens, distinct, once = (x or 0 for x in vocabulary.agg(
+        F.sum("total"), F.count("total"), F.sum((F.col("total") == 1).cast("long"))).first())
+    part = F.when(F.col("word") == "", 0).otherwise(F.pmod(F.xxhash64("word"), F.lit(-(-max(distinct, 1) // _RANKED))))
+    vocabulary = vocabulary.withColumn("part", part.cast("int"))
+    sizes = dict(vocabulary.groupBy("part").count().collect())  # a row for each _RANKED words
+    first, starts = 0, []
+    for number in sorted(sizes):
+        starts.append((number, first))
+        first += sizes[number]
+    starts = cut.sparkSession.createDataFrame(starts, "part int, first long")
+    rank = F.row_number().over(W.Window.partitionBy("part").orderBy(F.col("word") != "", F.desc("total"), "word")) - 1
+    numbered = (vocabulary.withColumn("rank", rank).join(F.broadcast(starts), "part")
+                .select("word", "total", (F.col("first") + F.col("rank")).alias("number")))
+    placed = F.shiftleft(F.col("place").cast("long"), _VALUE_BITS).bitwiseOR(F.coalesce("number", F.lit(distinct)))
+    word = F.struct(placed.alias("placed"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
     looked_up = (cut.select("block", F.posexplode("words").alias("place", "word")).join(numbered, "word", "left")
-                 .groupBy("block").agg(F.array_sort(F.collect_list(placed)).alias("words")))
-    totals = [r.total for r in common.orderBy("number").select("total").collect()]
-    return (cut.drop("words", "counts").join(looked_up, "block"),
-            Counts(tokens, distinct, once, twice, np.array(totals or [0], np.int64)))
+                 .groupBy("block").agg(F.array_sort(F.collect_list(word)).alias("words")))
+    return cut.drop("words", "counts").join(looked_up, "block"), Counts(tokens, distinct, once, distinct)
+
+
+def _sequence(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(batch.column("sequence")[row].as_py()), np.int32)
+
 
+def _numbers(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, total) of a block's words."""
+    words = batch.column("words")[row].values
+    return words.field("placed").to_numpy() & ((1 << _VALUE_BITS) - 1), words.field("total").to_numpy()
 
-def _classes(batch: pa.RecordBatch, row: int, counts: np.ndarray, of_common: np.ndarray) -> tuple:
-    """(sequence, totals, common numbers or -1, class) of a block, the last three by word.
-    ``counts`` are those of the common words."""
-    sequence = np.frombuffer(zstandard.decompress(batch.column("sequence")[row].as_py()), np.int32)
-    value = batch.column("words")[row].values.to_numpy() & ((1 << _VALUE_BITS) - 1)
-    common = np.where(value < _LIMIT, value, -1)
-    totals = np.where(value < _LIMIT, counts[common], value - _LIMIT)
-    by_count = CLASSES + np.frexp(totals.astype(float))[1]  # the bits of the count, from 1 on
-    classes = np.where(common >= 0, of_common[common], np.where(totals > 0, np.minimum(by_count, _UNSEEN - 1), _UNSEEN))
-    return sequence, totals, common, classes
+
+def _classes(batch: pa.RecordBatch, row: int, size: int, of_common: np.ndarray) -> tuple:
+    """(sequence, totals, numbers or -1, class) of a block, the last three by word. ``size``
+    words have a number."""
+    number, totals = _numbers(batch, row)
+    classes = np.append(of_common, np.uint8(_UNSEEN))[number]
+    return _sequence(batch, row), totals, np.where(number < size, number, -1), classes
 
 
 def _learned(batch: pa.RecordBatch, row: int, sequence: np.ndarray) -> np.ndarray:
@@ -141,57 +148,134 @@ def _learned(batch: pa.RecordBatch, row: int, sequence: np.ndarray) -> np.ndarra
     return sequence[np.repeat(~held, np.diff(batch.column("ends")[row].values.to_numpy(), prepend=0))]
 
 
-def _neighbours(counts: np.ndarray, of_common: np.ndarray):
-    """Sums over a task's blocks: (group, counts) where the counts of a group of common words
-    are two tables word by class, after and before; group -1 has class by class."""
-    size = len(of_common)
+def _rows(after: np.ndarray, before: np.ndarray):
+    """Rows of the neighbour table, one for each group, from sorted pairs (word, neighbour)
+    of 32 bits each."""
+    sides = [np.unique(pairs, return_counts=True) for pairs in (after, before)]
+    groups = np.unique(np.concatenate([pairs >> np.uint64(32) for pairs, _ in sides]) // np.uint64(_GROUP))
+    for group in groups.tolist():
+        ends = np.array([group * _GROUP << 32, (group + 1) * _GROUP << 32], np.uint64)
+        cuts = [np.searchsorted(pairs, ends) for pairs, _ in sides]
+        yield _row(group, [(pairs[a:b], counts[a:b]) for (pairs, counts), (a, b) in zip(sides, cuts, strict=True)])
+
+
+def _row(group: int, sides) -> pa.RecordBatch:
+    names, values = ["group"], [pa.array([group], pa.int64())]
+    for side, (pairs, counts) in zip(("after", "before"), sides, strict=True):
+        words = (pairs >> np.uint64(32)).astype(np.int64) - group * _GROUP
+        parts = words.astype(np.uint16), pairs.astype(np.uint32), counts.astype(np.uint64)
+        names.append(side)
+        values.append(pa.array([[zstandard.compress(x.tobytes()) for x in parts]], pa.list_(pa.binary())))
+    return pa.RecordBatch.from_arrays(values, names)
+
+
+def _unpacked(batch: pa.RecordBatch, row: int, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word in the group, neighbour, count)."""
+    parts = batch.column(side)[row].as_py()
+    return tuple(np.frombuffer(zstandard.decompress(x), kind)
+                 for x, kind in zip(parts, (np.uint16, np.uint32, np.uint64), strict=True))
 
+
+def _neighbours(batches):
+    """For each group of words, what stands after and before each in a task's blocks."""
+    after, before, held = [], [], 0
+    for batch in batches:
+        for row in range(batch.num_rows):
+            number = _numbers(batch, row)[0].astype(np.uint64)[_learned(batch, row, _sequence(batch, row))]
+            word = number << np.uint64(32)
+            after.append(word | np.concatenate([np.zeros(1, np.uint64), number])[:-1])  # documents begin after an end
+            before.append(word[:-1] | number[1:])
+            held += len(number)
+            if held >= _HELD:
+                yield from _rows(np.concatenate(after), np.concatenate(before))
+                after, before, held = [], [], 0
+    if held:
+        yield from _rows(np.concatenate(after), np.concatenate(before))
+
+
+def _merged(batches):
+    """One row for each group, from rows in order of the group."""
+    def merge(parts):
+        pairs, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        counts = np.zeros(len(pairs), np.uint64)
+        np.add.at(counts, place, np.concatenate([c for _, c in parts]))
+        return [(pairs, counts)]
+
+    group, sides = None, ([], [])
+    for batch in batches:
+        for row, number in enumerate(batch.column("group").to_pylist()):
+            if number != group:
+                if group is not None:
+                    yield _row(group, [merge(parts)[0] for parts in sides])
+                group, sides = number, ([], [])
+            for parts, side in zip(sides, ("after", "before"), strict=True):
+                words, neighbours, counts = _unpacked(batch, row, side)
+                parts.append((words.astype(np.uint64) + np.uint64(group * _GROUP) << np.uint64(32) | neighbours, counts))
+                if len(parts) > 1 and sum(len(p) for p, _ in parts[1:]) >= max(_HELD, len(parts[0][0])):
+                    parts[:] = merge(parts)
+    if group is not None:
+        yield _row(group, [merge(parts)[0] for parts in sides])
+
+
+def neighbours(corpus: DataFrame) -> tuple[DataFrame, str]:
+    """(group, after, before), with its path: for each run of words, the words before and
+    after each with counts, over all training tokens."""
+    shape = "group long, after array<binary>, before array<binary>"
+    rows = corpus.select("held", "ends", "sequence", "words").mapInArrow(_neighbours, shape)
+    merged = rows.repartition("group").sortWithinPartitions("group").mapInArrow(_merged, shape)
+    return scratch.placed(merged, "neighbours", "zstd")
+
+
+def _table(batch: pa.RecordBatch, row: int, side: str, size: int, of_common: np.ndarray) -> np.ndarray:
+    """Counts of a group's words by the class of the word before (``after``) or after."""
+    words, found, counts = _unpacked(batch, row, side)
+    place = words.astype(np.int64) * _TOTAL + of_common[found]
+    return np.bincount(place, counts, size * _TOTAL).reshape(size, _TOTAL)
+
+
+def _paired(of_common: np.ndarray):
+    """Sums over a task's groups: class pairs; and for words seen once, the classes before
+    and after."""
     def run(batches):
-        after, before = (np.zeros(size * _TOTAL, np.int64) for _ in range(2))
-        pairs = np.zeros(_TOTAL * _TOTAL, np.int64)
+        pairs, once = np.zeros((_TOTAL, _TOTAL)), np.zeros((2, _TOTAL))
         for batch in batches:
-            for row in range(batch.num_rows):
-                sequence, _, common, classes = _classes(batch, row, counts, of_common)
-                sequence = _learned(batch, row, sequence)
-                follow = classes[sequence]
-                precede = np.concatenate([[0], follow[:-1]])  # every document begins after an end
-                number = common[sequence]
-                pairs += np.bincount(precede * _TOTAL + follow, minlength=len(pairs))
-                known = number >= 0
-                after += np.bincount(number[known] * _TOTAL + precede[known], minlength=len(after))
-                known = known[:-1]
-                before += np.bincount(number[:-1][known] * _TOTAL + follow[1:][known], minlength=len(before))
-        yield _summary(-1, pairs)
-        for group in range(0, size, _GROUP):
-            part = slice(group * _TOTAL, (group + _GROUP) * _TOTAL)
-            yield _summary(group, np.concatenate([after[part], before[part]]))
+            for row, group in enumerate(batch.column("group").to_pylist()):
+                own = of_common[group * _GROUP:(group + 1) * _GROUP]
+                after, before = (_table(batch, row, side, len(own), of_common) for side in ("after", "before"))
+                pairs += after.T @ (own[:, None] == np.arange(_TOTAL))
+                alone = after.sum(axis=1) == 1
+                once += after[alone].sum(axis=0), before[alone].sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"pairs": [pairs.tobytes()], "once": [once.tobytes()]})
     return run
 
 
-def _summary(group: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"group": pa.array([group], pa.int64()), "counts": [counts.tobytes()]})
+def _pairs(table: DataFrame, of_common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class pairs, classes before and after words seen once) over all training tokens."""
+    rows = table.mapInArrow(_paired(of_common), "pairs binary, once binary").collect()  # class by class for each task
+    pairs = sum((np.frombuffer(r.pairs) for r in rows), np.zeros(_TOTAL * _TOTAL))
+    once = sum((np.frombuffer(r.once) for r in rows), np.zeros(2 * _TOTAL))
+    return pairs.reshape(_TOTAL, _TOTAL), once.reshape(2, _TOTAL)
 
 
-def _summed(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for group, counts in zip(*(batch.column(c).to_pylist() for c in ("group", "counts")), strict=True):
-            counts = np.frombuffer(counts, np.int64)
-            sums[group] = sums[group] + counts if group in sums else counts
-    for group, counts in sums.items():
-        yield _summary(group, counts)
+def _moved(of_common: np.ndarray, pairs: np.ndarray, turn: int):
+    def run(batches):
+        for batch in batches:
+            for row, group in enumerate(batch.column("group").to_pylist()):
+                start = group * _GROUP
+                own = of_common[start:start + _GROUP]
+                after, before = (_table(batch, row, side, len(own), of_common) for side in ("after", "before"))
+                best = exchanged(own, after.sum(axis=1), pairs, after, before, turn, start)
+                yield pa.RecordBatch.from_pydict({"group": pa.array([group], pa.int64()),
+                                                  "classes": [best.astype(np.uint8).tobytes()]})
+    return run
 
 
-def _statistics(corpus: DataFrame, counts: np.ndarray, of_common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class pairs, after, before) over all training tokens."""
-    shape = "group long, counts binary"
-    rows = (corpus.select("held", "ends", "sequence", "words").mapInArrow(_neighbours(counts, of_common), shape)
-            .repartition("group").mapInArrow(_summed, shape).collect())  # SHARE * classes numbers at most
-    found = {r.group: np.frombuffer(r.counts, np.int64) for r in rows}
-    pairs = found.pop(-1, np.zeros(_TOTAL * _TOTAL, np.int64)).reshape(_TOTAL, _TOTAL)
-    tables = [found[g].reshape(2, -1, _TOTAL) for g in sorted(found)]
-    both = np.concatenate(tables, axis=1) if tables else np.zeros((2, len(of_common), _TOTAL), np.int64)
-    return pairs, both[0], both[1]
+def _next(table: DataFrame, of_common: np.ndarray, pairs: np.ndarray, turn: int) -> np.ndarray:
+    rows = table.mapInArrow(_moved(of_common, pairs, turn), "group long, classes binary").collect()  # a byte a word
+    result = of_common.copy()
+    for r in rows:
+        result[r.group * _GROUP:(r.group + 1) * _GROUP] = np.frombuffer(r.classes, np.uint8)
+    return result
 
 
 def likelihood(pairs: np.ndarray) -> float:
@@ -202,13 +286,15 @@ def likelihood(pairs: np.ndarray) -> float:
     return float((pairs[full] * np.log(pairs[full] / expected[full].astype(float))).sum())
 
 
-def exchanged(of_common: np.ndarray, counts: np.ndarray, pairs, after, before, turn: int) -> np.ndarray:
-    """Each word of this turn in the class that raises the likelihood most, given all others."""
+def exchanged(of_common: np.ndarray, counts: np.ndarray, pairs, after, before, turn: int, start: int = 0) -> np.ndarray:
+    """Each word of this turn, the first having number ``start``, in the class that raises the
+    likelihood most, given all others."""
     smooth = pairs + 0.05
     sizes = np.log(smooth.sum(axis=0))
     gain = after @ np.log(smooth) + before @ np.log(smooth).T - 2 * counts[:, None] * sizes
     best = 1 + gain[:, 1:1 + CLASSES].argmax(axis=1)
-    moves = (np.arange(len(of_common)) % 2 == turn % 2) & (np.arange(len(of_common)) > 0)
+    number = start + np.arange(len(of_common))
+    moves = (number % 2 == turn % 2) & (number > 0)
     return np.where(moves, best, of_common)
 
 
@@ -221,29 +307,29 @@ class Model:
 
 
 def fitted(corpus: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
-    of_common = np.arange(len(counts.common)) % CLASSES + 1
-    of_common[0] = 0
+    of_common = (np.arange(counts.common) % CLASSES + 1).astype(np.uint8)
+    of_common[:1] = 0
+    table, path = neighbours(corpus)
     best = None
     for turn in range(rounds + 1):
-        pairs, after, before = _statistics(corpus, counts.common, of_common)
+        pairs, once = _pairs(table, of_common)
         value = likelihood(pairs)
         if best is None or value > best[0]:
-            best = value, of_common, pairs
+            best = value, of_common, pairs, once
         if turn < rounds:
-            of_common = exchanged(of_common, counts.common, pairs, after, before, turn)
-    _, of_common, pairs = best
-    return Model(counts, of_common, np.log10(_transitions(pairs, counts)), pairs.sum(axis=0))
+            of_common = _next(table, of_common, pairs, turn)
+    scratch.remove(corpus.sparkSession, path)
+    _, of_common, pairs, once = best
+    return Model(counts, of_common, np.log10(_transitions(pairs, once, counts)), pairs.sum(axis=0))
 
 
-def _transitions(pairs: np.ndarray, counts: Counts) -> np.ndarray:
+def _transitions(pairs: np.ndarray, once: np.ndarray, counts: Counts) -> np.ndarray:
     """Smoothed P(class | class before). Unseen words, which no training text can show, get
-    the counts of words seen once, and those the share that Turing's estimate leaves them. Class frequencies weigh as much as there
-    are different classes after a class."""
-    once = 1 + CLASSES
+    the neighbours of words seen once, whose share of the tokens is Turing's estimate of
+    theirs. Class frequencies weigh as much as there are different classes after a class."""
     moved = pairs.astype(float)
-    moved[:, _UNSEEN] = moved[:, once]
-    moved[:, once] *= min(1.0, (2 * counts.twice + 0.5) / (counts.once + 0.5))
-    moved[_UNSEEN] = moved[once]
+    moved[:, _UNSEEN], moved[_UNSEEN] = once
+    moved[_UNSEEN, _UNSEEN] = once[1].sum() * counts.once / max(counts.tokens, 1)
     overall = moved[:_UNSEEN].sum(axis=0)
     overall[_UNSEEN] += 0.5
     overall = overall / overall.sum()
