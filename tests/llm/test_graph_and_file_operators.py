@@ -83,6 +83,26 @@ def test_url_verdicts_spread_over_aliases(spark):
     assert urls.verdicts(web(spark).limit(0)).count() == 0
 
 
+def test_every_canonical_link_and_redirect_of_a_page_counts(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [(1, "http://a.com/x", canonical.format("http://a.com/x") + refresh.format("http://spam.net/1")),
+            (2, "http://b.com/", canonical.format("http://b.com/") + canonical.format("http://spam.net/2")),
+            (3, "http://c.com/", refresh.format("/self") + refresh.format("http://spam.net/3")),
+            (4, "http://d.com/?a=1&b=2", refresh.format("http://spam.net/4")),
+            (5, "http://e.com/", canonical.format("http://d.com/?a=1&amp;b=2")),
+            (6, "http://f.com/", refresh.format("http://d.com/?a=1&#38;b=2")),
+            (7, "http://g.com/", canonical.format("http://d.com&#x2F;?a&#61;1&AMP;b=2")),
+            (8, "http://h.com/", canonical.format("http://d.com/?a=1&amp;amp;b=2")),
+            (9, "http://i.com/", canonical.format("http://i.com/&#xe9;&#x1F600;&#xD800;&nope;&&#99999999;"))]
+    edges = {(r.a, r.b) for r in urls.aliases(web(spark, rows)).collect()}
+    assert edges == {("a.com/x", "spam.net/1"), ("b.com/", "spam.net/2"), ("c.com/", "c.com/self"),
+                     ("c.com/", "spam.net/3"), ("d.com/?a=1&b=2", "spam.net/4"), ("e.com/", "d.com/?a=1&b=2"),
+                     ("f.com/", "d.com/?a=1&b=2"), ("g.com/", "d.com/?a=1&b=2"), ("h.com/", "d.com/?a=1&amp;b=2"),
+                     ("i.com/", "i.com/\u00e9\U0001f600&")}
+    found = {r.page_id: r.verdict for r in urls.verdicts(web(spark, rows)).collect()}
+    assert found == {**dict.fromkeys(range(1, 8), "block"), 8: "allow", 9: "allow"}
+
+
 def duck(tables, sql):
     connection = duckdb.connect()
     for name, frame in tables.items():

@@ -27,6 +27,10 @@ _REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh[\s"'>/]"""
 _HREF = r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*['"]?\s*([^"'>\s]+)"""
 
+#: names of character references
+_ENTITIES = (("amp", "&"), ("AMP", "&"), ("lt", "<"), ("LT", "<"), ("gt", ">"), ("GT", ">"),
+             ("quot", '"'), ("QUOT", '"'), ("apos", "'"))
+
 
 def _lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
@@ -67,15 +71,35 @@ def _unquoted(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"""^["']|["']$""", ""))
 
 
-def named_url(html: Column) -> Column:
-    """What the first canonical link, else the first redirect tag, of a page points to; NULL
-    if there is none."""
+def _character(code: Column) -> Column:
+    """The character with a number in hexadecimal digits; NULL where there is none."""
+    value = F.conv(code, 16, 10).cast("long")
+    known = (value > 0) & (value <= 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.when(known, code), 8, "0")), "UTF-32")
+
+
+def decoded(text: Column) -> Column:
+    """``text`` with numeric character references and those of XML replaced, once."""
+    def part(piece):
+        decimal = F.conv(F.regexp_extract(piece, r"^#0*([0-9]{1,7});", 1), 10, 16)
+        digits = F.regexp_extract(piece, r"^#[xX]0*([0-9A-Fa-f]{1,6});", 1)
+        found = F.coalesce(_character(F.nullif(digits, F.lit(""))), _character(decimal))
+        for name, character in _ENTITIES:
+            found = F.when(piece.startswith(name + ";"), F.lit(character)).otherwise(found)
+        return F.coalesce(F.concat(found, F.regexp_replace(piece, r"(?s)^[^;]*;", "")), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    whole = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), part), ""))
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
+def named_urls(html: Column) -> Column:
+    """What the canonical links and the redirect tags of a page point to."""
     link = F.filter(F.regexp_extract_all(html, F.lit(_LINK), 0), lambda tag: tag.rlike(_CANONICAL))
     meta = F.filter(F.regexp_extract_all(html, F.lit(_META), 0), lambda tag: tag.rlike(_REFRESH))
-    href = _unquoted(F.regexp_extract(F.element_at(link, 1), _HREF, 1))
-    target = _unquoted(F.regexp_extract(F.element_at(meta, 1), _TARGET, 1))
-    return F.coalesce(F.nullif(F.when(F.size(link) > 0, href), F.lit("")),
-                      F.nullif(F.when(F.size(meta) > 0, target), F.lit("")))
+    href = F.transform(link, lambda tag: _unquoted(F.regexp_extract(tag, _HREF, 1)))
+    target = F.transform(meta, lambda tag: _unquoted(F.regexp_extract(tag, _TARGET, 1)))
+    return F.filter(F.transform(F.concat(href, target), lambda url: F.trim(decoded(url))), lambda url: url != "")
 
 
 def resolved(named: Column, base: Column) -> Column:
@@ -93,9 +117,9 @@ def resolved(named: Column, base: Column) -> Column:
 
 
 def aliases(pages: DataFrame) -> DataFrame:
-    """(a, b): the node of each page that names another URL, and that URL's node."""
+    """(a, b): the node of each page that names other URLs, and the node of each of those."""
     named = pages.where(F.col("html").rlike(r"(?i)canonical|refresh")) \
-        .select("url", named_url(F.col("html")).alias("named")).where("named is not null")
+        .select("url", F.explode_outer(named_urls(F.col("html"))).alias("named")).where("named is not null")
     edges = named.select(key(F.col("url")).alias("a"), key(resolved(F.col("named"), F.col("url"))).alias("b"))
     return edges.where("a is not null and b is not null and a <> b").distinct()
 
