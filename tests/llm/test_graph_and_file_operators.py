@@ -166,6 +166,25 @@ def test_embeddings_without_ids_or_rows(spark):
     assert hamming.near_duplicates(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.8, 0.9, 0.97])
+def test_embeddings_with_a_common_mean_keep_their_links(spark, common):
+    rng = np.random.default_rng(4)
+    own = rng.standard_normal((800, 64))
+    own[:, 0] = 0
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    unit = own * np.sqrt(1 - common) + np.eye(64)[0] * np.sqrt(common)
+    noise = rng.standard_normal(unit.shape)
+    noise -= (noise * unit).sum(axis=1, keepdims=True) * unit
+    near = unit * 0.983 + noise / np.linalg.norm(noise, axis=1, keepdims=True) * np.sqrt(1 - 0.983 ** 2)
+    both = np.concatenate([unit, near]).astype("f4").astype(float)
+    rows = vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(both)])
+    both /= np.linalg.norm(both, axis=1, keepdims=True)
+    linked = (both @ both.T >= hamming.COSINE).sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in hamming.near_duplicates(rows).collect()}
+    assert linked.sum() >= 1600 and all(n <= linked[i] for i, n in found.items())
+    assert sum(found.values()) >= 0.99 * linked.sum()
+
+
 def test_plan_misses_few_pairs_at_any_size():
     for n in (0, 10, 10 ** 4, 10 ** 8, 10 ** 11):
         plan = hamming.Plan.of(n)

@@ -8,7 +8,10 @@ then be close, and the cosine of the original vectors decides.
 
 Substrings have about as many bits as the number of vectors has, so a table's bucket holds
 few unrelated vectors at any size; the number of tables, and with it of rotations, follows
-from that width and the chance that a pair at the threshold is missed.
+from that width and the chance that a pair at the threshold is missed. Centring moves the
+vectors of a pair apart by an angle that is bounded by how far they are from the mean, so
+tables and distances follow from those lengths; where vectors have so much in common that
+this takes too many tables, they are coded as they are.
 """
 
 import math
@@ -32,35 +35,52 @@ SAMPLE, STEPS = 20_000, 30
 #: chance of missing a pair at the threshold, if its bits differ independently
 MISS = 1e-4
 
+#: tables at most for centred vectors
+CENTRED = 64
+
 #: deviations above the expected distance at which codes are too far apart
 SLACK = 6.0
 
 
+def _differ(cosine: float, lengths: np.ndarray) -> np.ndarray:
+    """Share of differing bits of two unit vectors at the threshold, if less their mean
+    neither is shorter than ``lengths``: the angle is widest where both are as short."""
+    return 2 * np.arcsin(np.minimum(1, math.sqrt(max(0, 1 - cosine) / 2) / np.maximum(lengths, 1e-9))) / math.pi
+
+
 @dataclass(frozen=True)
 class Plan:
-    """Bits of a substring, tables, and the largest distance of whole codes."""
+    """Bits of a substring, tables, and the largest distance of whole codes of vectors that
+    are not centred."""
 
     width: int
     tables: int
     reach: int
 
     @classmethod
-    def of(cls, vectors: int, cosine: float = COSINE, miss: float = MISS) -> "Plan":
-        differ = math.acos(cosine) / math.pi
+    def of(cls, vectors: int, cosine: float = COSINE, miss: float = MISS, lengths: np.ndarray | None = None) -> "Plan":
+        """``lengths`` are those of a sample of the vectors less their mean, if that is taken off."""
+        differ = _differ(cosine, np.ones(1) if lengths is None else lengths)
         width = min(40, max(8, math.ceil(math.log2(max(vectors, 1) + 1))))
         meet = (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
-        tables = math.ceil(math.log(miss) / math.log(1 - meet))
-        bits = width * tables
-        return cls(width, tables, math.ceil(bits * differ + SLACK * math.sqrt(bits * differ * (1 - differ))))
+        tables = math.ceil(math.log(miss) / math.log(1 - meet.max()))
+        while tables <= CENTRED and len(meet) > 1 and ((1 - meet) ** tables).mean() > miss:
+            tables += 1
+        plan = cls(width, tables, 0)
+        return cls(width, tables, int(plan.reaches(np.ones(1), cosine)[0]))
+
+    def reaches(self, lengths: np.ndarray, cosine: float) -> np.ndarray:
+        """The largest distance from codes of vectors less their mean that are no shorter."""
+        bits, differ = self.width * self.tables, _differ(cosine, lengths)
+        return np.ceil(bits * differ + SLACK * np.sqrt(bits * differ * (1 - differ))).astype(np.int32)
 
 
-def learned(sample: np.ndarray, bits: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections): the sign of each projection of a centred unit vector is a bit.
+def learned(sample: np.ndarray, mean: np.ndarray, bits: int, steps: int = STEPS) -> np.ndarray:
+    """Projections: the sign of each projection of a unit vector less ``mean`` is a bit.
     One rotation gives as many bits as the vectors have dimensions; further ones start
     from other random rotations."""
     rng = np.random.default_rng(7)
     size = sample.shape[1]
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(size)
     axes = np.linalg.eigh((sample - mean).T @ (sample - mean))[1][:, ::-1] if 1 < len(sample) else np.eye(size)
     turned, found = (sample - mean) @ axes, []
     for _ in range(-(-bits // size)):
@@ -69,7 +89,7 @@ def learned(sample: np.ndarray, bits: int, steps: int = STEPS) -> tuple[np.ndarr
             u, _, v = np.linalg.svd(turned.T @ np.sign(turned @ rotation))
             rotation = u @ v
         found.append(axes @ rotation)
-    return mean, np.concatenate(found, axis=1)[:, :bits]
+    return np.concatenate(found, axis=1)[:, :bits]
 
 
 def _fitting(vectors: np.ndarray, size: int) -> np.ndarray:
@@ -77,12 +97,12 @@ def _fitting(vectors: np.ndarray, size: int) -> np.ndarray:
     return np.pad(vectors, ((0, 0), (0, max(0, size - vectors.shape[1]))))[:, :size]
 
 
-def _codes(mean: np.ndarray, projections: np.ndarray, plan: Plan):
+def _codes(mean: np.ndarray, projections: np.ndarray, plan: Plan, cosine: float):
     weights = 1 << np.arange(plan.width, dtype=np.int64)
 
     def run(batches):
         for batch in batches:
-            parts = np.zeros((batch.num_rows, plan.tables), np.int64)
+            parts, reach = np.zeros((batch.num_rows, plan.tables), np.int64), np.zeros(batch.num_rows, np.int32)
             lists = batch.column("embedding")
             sizes = lists.value_lengths().to_numpy()
             values, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
@@ -90,13 +110,15 @@ def _codes(mean: np.ndarray, projections: np.ndarray, plan: Plan):
                 rows = np.flatnonzero(sizes == size)
                 vectors = values[(ends[rows] - size)[:, None] + np.arange(size)]
                 unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                bits = (_fitting(unit, len(mean)) - mean) @ projections > 0
+                centred = _fitting(unit, len(mean)) - mean
+                reach[rows] = plan.reaches(np.linalg.norm(centred, axis=1) if mean.any() else np.ones(len(rows)), cosine)
+                bits = centred @ projections > 0
                 parts[rows] = bits.reshape(len(rows), plan.tables, plan.width) @ weights
             code = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * plan.tables), pa.array(parts.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("class"), batch.column("label"), batch.column("size"), code],
-                ["class", "label", "size", "code"])
+                [batch.column("class"), batch.column("label"), batch.column("size"), pa.array(reach), code],
+                ["class", "label", "size", "reach", "code"])
     return run
 
 
@@ -118,20 +140,21 @@ def _close(cosine: float):
 
 def candidates(coded: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) of classes, each once, whose substrings in some table differ in at most
-    one bit and whose codes are within reach: b looks into the buckets next to its own."""
-    stored = coded.select(F.col("class").alias("a"), "label", "size", F.col("code").alias("code_a"),
+    one bit and whose codes are within reach of either: b looks into the buckets next to its own."""
+    stored = coded.select(F.col("class").alias("a"), "label", "size", F.col("reach").alias("reach_a"), F.col("code").alias("code_a"),
                           F.posexplode("code").alias("table", "key"))
     steps = F.array(*(F.lit(x).cast("long") for x in [0, *(1 << i for i in range(plan.width))]))
-    asking = (coded.select(F.col("class").alias("b"), "label", "size", F.col("code").alias("code_b"),
+    asking = (coded.select(F.col("class").alias("b"), "label", "size", F.col("reach").alias("reach_b"), F.col("code").alias("code_b"),
                            F.posexplode("code").alias("table", "own"))
               .withColumn("step", F.explode(steps))
-              .select("b", "label", "size", "code_b", "table", F.col("own").bitwiseXOR(F.col("step")).alias("key")))
+              .select("b", "label", "size", "reach_b", "code_b", "table", F.col("own").bitwiseXOR(F.col("step")).alias("key")))
     distance = [F.bit_count(F.col("code_a")[i].bitwiseXOR(F.col("code_b")[i])) for i in range(plan.tables)]
     # a pair that an earlier table has found is not found again
     first = reduce(lambda so_far, i: F.when(distance[i] <= 1, F.lit(i)).otherwise(so_far),
                    reversed(range(plan.tables)), F.lit(-1))
     return (stored.join(asking, ["label", "size", "table", "key"])
-            .where((F.col("a") < F.col("b")) & (F.col("table") == first) & (sum(distance[1:], distance[0]) <= plan.reach))
+            .where((F.col("a") < F.col("b")) & (F.col("table") == first)
+                   & (sum(distance[1:], distance[0]) <= F.greatest("reach_a", "reach_b")))
             .select("a", "b"))
 
 
@@ -140,15 +163,19 @@ def links(classes: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, miss
     n = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0]
     if not n:
         return classes.select(F.col("class").alias("a"), F.col("class").alias("b"))
-    plan = Plan.of(n, cosine, miss)
     drawn = (classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("embedding").toArrow()
              .column("embedding").combine_chunks())
     sizes, ends = drawn.value_lengths().to_numpy(), drawn.offsets.to_numpy()[1:]
     size = max(set(sizes.tolist()), key=lambda s: ((sizes == s).sum(), s))
     vectors = drawn.values.to_numpy()[(ends[sizes == size] - size)[:, None] + np.arange(size)]
-    mean, projections = learned(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), plan.width * plan.tables)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    mean = unit.mean(axis=0)
+    plan = Plan.of(n, cosine, miss, np.linalg.norm(unit - mean, axis=1))
+    if plan.tables > CENTRED:
+        mean, plan = np.zeros(size), Plan.of(n, cosine, miss)
+    projections = learned(unit, mean, plan.width * plan.tables)
     coded = scratch.table(classes.select("class", "label", "size", "embedding").mapInArrow(
-        _codes(mean, projections, plan), "class long, label long, size int, code array<long>"), "codes")
+        _codes(mean, projections, plan, cosine), "class long, label long, size int, reach int, code array<long>"), "codes")
     pairs = (candidates(coded, plan)
              .join(classes.select(F.col("class").alias("a"), F.col("embedding").alias("vector_a")), "a")
              .join(classes.select(F.col("class").alias("b"), F.col("embedding").alias("vector_b")), "b"))
