@@ -185,6 +185,17 @@ def test_embeddings_with_a_common_mean_keep_their_links(spark, common):
     assert sum(found.values()) >= 0.99 * linked.sum()
 
 
+def test_long_vectors_that_differ_in_their_beginning_are_linked(spark):
+    rng = np.random.default_rng(5)
+    rows = [v.tolist() for v in rng.standard_normal((500, 8))]
+    for _ in range(150):
+        end = rng.standard_normal(56)
+        rows += [[*(rng.standard_normal(8) * 0.1).tolist(), *end.tolist()] for _ in range(2)]
+    rows = [(i, v, 1) for i, v in enumerate(rows)]
+    found = {r.vec_id: r.n_links for r in hamming.near_duplicates(vectors(spark, rows)).collect()}
+    assert all(found[i] == 1 for i in range(500, 800))
+
+
 def test_plan_misses_few_pairs_at_any_size():
     for n in (0, 10, 10 ** 4, 10 ** 8, 10 ** 11):
         plan = hamming.Plan.of(n)

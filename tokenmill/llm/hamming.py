@@ -92,15 +92,11 @@ def learned(sample: np.ndarray, mean: np.ndarray, bits: int, steps: int = STEPS)
     return np.concatenate(found, axis=1)[:, :bits]
 
 
-def _fitting(vectors: np.ndarray, size: int) -> np.ndarray:
-    """Vectors of another length, cut or filled with zeros for coding."""
-    return np.pad(vectors, ((0, 0), (0, max(0, size - vectors.shape[1]))))[:, :size]
-
-
 def _codes(mean: np.ndarray, projections: np.ndarray, plan: Plan, cosine: float):
-    weights = 1 << np.arange(plan.width, dtype=np.int64)
+    weights, bits = 1 << np.arange(plan.width, dtype=np.int64), plan.width * plan.tables
 
     def run(batches):
+        models = {len(mean): (mean, projections)}
         for batch in batches:
             parts, reach = np.zeros((batch.num_rows, plan.tables), np.int64), np.zeros(batch.num_rows, np.int32)
             lists = batch.column("embedding")
@@ -110,10 +106,12 @@ def _codes(mean: np.ndarray, projections: np.ndarray, plan: Plan, cosine: float)
                 rows = np.flatnonzero(sizes == size)
                 vectors = values[(ends[rows] - size)[:, None] + np.arange(size)]
                 unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                centred = _fitting(unit, len(mean)) - mean
-                reach[rows] = plan.reaches(np.linalg.norm(centred, axis=1) if mean.any() else np.ones(len(rows)), cosine)
-                bits = centred @ projections > 0
-                parts[rows] = bits.reshape(len(rows), plan.tables, plan.width) @ weights
+                if size not in models:  # vectors of another length have random rotations
+                    models[size] = np.zeros(size), learned(np.zeros((0, size)), np.zeros(size), bits)
+                middle, turned = models[size]
+                centred = unit - middle
+                reach[rows] = plan.reaches(np.linalg.norm(centred, axis=1) if middle.any() else np.ones(len(rows)), cosine)
+                parts[rows] = (centred @ turned > 0).reshape(len(rows), plan.tables, plan.width) @ weights
             code = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * plan.tables), pa.array(parts.ravel()))
             yield pa.RecordBatch.from_arrays(
