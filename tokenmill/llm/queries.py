@@ -5,7 +5,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenmill.llm import brown, byte_bpe, hamming, leaks, near_dups, oracle, quality, ring, urls, warc, wavelet
+from tokenmill.llm import (brown, byte_bpe, hamming, leaks, near_dups, oracle, piecewise, quality, ring, spelling, urls,
+                           warc, wavelet, whitening)
 
 #: shards that the documents are put into
 SHARDS = 40
@@ -58,10 +59,22 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_sturm_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.followed(_read(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     queries = [op1_compression_quality, op2_redirect_equivalence, op3_itq_near_dups, op4_brown_bigrams,
                op5_bounded_ring, op6_chained_warc, op7_overlapping_bpe, op8_qgram_decontamination, op9_wavelet_shards,
-               op10_hyperminhash]
+               op10_hyperminhash, op11_sturm_whitening, op12_spelling_trie, op13_piecewise_hashes]
     return {query.__name__: query for query in queries}
 
 
