@@ -43,6 +43,12 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished queries, which otherwise stay until the
+    driver's JVM happens to collect what refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(rows: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``rows`` computed once: written, and read back with its lineage cut."""
     return placed(rows, name, codec)[0]
