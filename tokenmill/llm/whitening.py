@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.sources import scratch
@@ -35,6 +36,9 @@ _CLUSTER = 1e-3
 
 _EPS = np.finfo(float).eps
 
+_RESULT = ("vec_id long, component int, n long, deviation long, whitened double, explained double, "
+           "identity_error double")
+
 
 # eigenvectors of a symmetric matrix
 
@@ -175,23 +179,32 @@ def leading_eigenvectors(matrix: np.ndarray, count: int) -> tuple[np.ndarray, np
 
 # the distributed fit
 
-def grid(embedding: Column) -> Column:
-    """The whole numbers of a vector; NULL where it is NULL or holds a NULL, NaN or infinite
-    entry."""
-    entries = embedding.cast("array<double>")
-    bad = F.exists(entries, lambda c: F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True)))
-
-    def place(c):
-        steps = F.least(F.greatest(c * float(STEPS), F.lit(-float(FARTHEST))), F.lit(float(FARTHEST)))
-        return F.floor(steps).cast("long") + ORIGIN
-
-    return F.when(~bad, F.transform(entries, place))
+def gridded(batch: pa.RecordBatch, dims: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, lengths, entries as whole numbers, one after the other) of the vectors of a batch
+    that have entries, all of them finite; of one length only if ``dims`` is given."""
+    lists = batch.column("embedding")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    values = lists.flatten()
+    entries = pc.fill_null(values.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bad = np.bincount(owner, ~np.isfinite(entries), len(sizes)) > 0
+    kept = ~bad & (sizes > 0 if dims is None else sizes == dims)
+    steps = np.clip(entries[kept[owner]] * STEPS, -FARTHEST, FARTHEST)
+    return np.flatnonzero(kept), sizes[kept], np.floor(steps).astype(np.int64) + ORIGIN
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, x, dims) of the rows whose vector has entries that are all finite."""
-    return (embeddings.select(F.col("vec_id").cast("long"), grid(F.col("embedding")).alias("x"))
-            .where("x is not null and size(x) > 0").withColumn("dims", F.size("x")))
+    """(dims, x) of the rows whose vector has entries that are all finite, x the whole numbers
+    as little-endian 64-bit integers."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            _, sizes, x = gridded(batch)
+            content, ends = x.astype("<i8").tobytes(), 8 * np.cumsum(sizes)
+            yield pa.RecordBatch.from_pydict({
+                "dims": pa.array(sizes, pa.int32()),
+                "x": pa.array([content[e - 8 * n:e] for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+
+    return embeddings.select("embedding").mapInArrow(run, "dims int, x binary")
 
 
 @dataclass(frozen=True)
@@ -228,8 +241,7 @@ class Whitening:
 
 
 def _rows(batch: pa.RecordBatch, dims: int) -> np.ndarray:
-    values = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(batch.num_rows, dims)
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), "<i8").reshape(batch.num_rows, dims)
 
 
 def products(apart: np.ndarray) -> np.ndarray:
@@ -332,25 +344,27 @@ def identity_error(fit_list: DataFrame, model: Whitening) -> float:
     return float(np.abs(found - np.outer(means, means) - np.eye(count)).max())
 
 
-def project(rows: DataFrame, model: Whitening, error: float) -> DataFrame:
-    """(vec_id, component, n, deviation, whitened, explained, identity_error) of rows (vec_id,
-    x) of the model's length, one for each component."""
+def project(embeddings: DataFrame, model: Whitening, error: float) -> DataFrame:
+    """(vec_id, component, n, deviation, whitened, explained, identity_error) of the usable
+    rows of the model's length, one for each component."""
     count, dims = len(model.variances), len(model.centre)
+    shares = model.variances / model.trace
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            x = _rows(batch, dims)
+            rows, _, x = gridded(batch, dims)
+            x = x.reshape(len(rows), dims)
+            each = np.repeat(np.arange(len(rows)), count)
             yield pa.RecordBatch.from_pydict({
-                "vec_id": batch.column("vec_id"), "deviation": pa.array(model.deviations(x), pa.int64()),
-                "values": pa.FixedSizeListArray.from_arrays(pa.array(model.whitened(x).reshape(-1)), count)
-                .cast(pa.list_(pa.float64()))})
+                "vec_id": batch.column("vec_id").take(pa.array(rows[each])),
+                "component": pa.array(np.tile(np.arange(1, count + 1, dtype=np.int32), len(rows))),
+                "n": pa.array(np.full(len(each), model.n)),
+                "deviation": pa.array(model.deviations(x), pa.int64()).take(pa.array(each)),
+                "whitened": pa.array(model.whitened(x).reshape(-1)),
+                "explained": pa.array(np.tile(shares, len(rows))),
+                "identity_error": pa.array(np.full(len(each), error))})
 
-    shares = F.array(*[F.lit(float(v / model.trace)) for v in model.variances])
-    return (rows.select("vec_id", "x").mapInArrow(run, "vec_id long, deviation long, values array<double>")
-            .select("vec_id", "deviation", F.posexplode("values").alias("place", "whitened"))
-            .select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
-                    "deviation", "whitened", F.get(shares, F.col("place")).alias("explained"),
-                    F.lit(error).alias("identity_error")))
+    return embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, _RESULT)
 
 
 def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
@@ -364,16 +378,14 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     ``components`` has as many as its rank. A deviation beyond 64 bits is NULL; entries
     farther than ``FARTHEST`` grid steps from zero are taken as that far.
     """
-    rows = usable(embeddings)
-    fit_list, path = scratch.placed(rows.select("dims", "x").distinct(), "distinct-vectors", "zstd")
-    result = rows.sparkSession.createDataFrame(
-        [], "vec_id long, component int, n long, deviation long, whitened double, explained double, "
-            "identity_error double")
+    spark = embeddings.sparkSession
+    fit_list, path = scratch.placed(usable(embeddings).distinct(), "distinct-vectors", "zstd")
+    result = spark.createDataFrame([], _RESULT)
     lengths = sorted(r.dims for r in fit_list.select("dims").distinct().collect())  # one for each vector length
     for dims in lengths:
         space = fit_list.where(F.col("dims") == dims)
         model = fit(space, dims, components)
         if len(model.variances):
-            result = result.union(project(rows.where(F.col("dims") == dims), model, identity_error(space, model)))
-    scratch.remove(rows.sparkSession, path)
+            result = result.union(project(embeddings, model, identity_error(space, model)))
+    scratch.remove(spark, path)
     return result
