@@ -179,8 +179,8 @@ def _order(key: tuple) -> tuple:
     return (key[0] is not None, key[0] or 0, key[1])
 
 
-def in_parts(docs: DataFrame) -> DataFrame:
-    """(part, border, doc_id, tie, text): the documents, dealt to runs of consecutive ones in
+def in_parts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(part, border, doc_id, tie, text) and the number of parts: the documents, dealt to runs of consecutive ones in
     the order of doc_id, NULL first, then of a hash of the text; and after each run once more
     the document that follows it, as its border, the first one after the last run.
 
@@ -215,7 +215,7 @@ def in_parts(docs: DataFrame) -> DataFrame:
                          & (F.col("tie") == F.col("first_tie")))
                .groupBy("before", "doc_id", "tie").agg(F.first("text").alias("text"))
                .select(F.col("before").alias("part"), F.lit(True).alias("border"), "doc_id", "tie", "text"))
-    return dealt.union(borders)
+    return dealt.union(borders), len(firsts)
 
 
 def edited(text: str, following: str) -> str:
@@ -266,7 +266,9 @@ def followed(docs: DataFrame) -> DataFrame:
     doc_ids come first, and after the last row comes the first. A NULL text is empty; the
     only row of a table follows itself; no rows give no rows.
     """
-    rows = in_parts(docs).repartition("part").sortWithinPartitions("part", "border", F.asc_nulls_first("doc_id"), "tie")
+    rows, parts = in_parts(docs)
+    spread = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(spread, "part").sortWithinPartitions("part", "border", F.asc_nulls_first("doc_id"), "tie")
     return rows.select("border", "doc_id", "text").mapInArrow(
         _paired, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                  "near_edited double, near_next double")
