@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -29,6 +29,9 @@ from tokenmill.sources import scratch
 #: tokens of a shard file after which the next document begins a new one
 SHARD_TOKENS = 1 << 20
 
+#: tokens of a range of documents that one task sorts, on average at most
+PART_TOKENS = 1 << 24
+
 #: id put after each document
 END = 2
 
@@ -154,7 +157,8 @@ class WordEncoder:
 
     The library drops white space and joins nothing across it. A chunk of plain words and
     marks is cut into the pieces the library would cut it into, and each goes to its merge
-    model directly; everything else goes through the library as it is.
+    model directly; everything else, such as a chunk with one of the library's added tokens,
+    goes through the library as it is.
     """
 
     #: fixed value: what the tokenizer file's pre-tokenizer keeps
@@ -164,7 +168,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.model, self.normalize = self.library.model, self.library.normalizer.normalize_str
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
         hidden = [b for b in range(256) if b not in shown]
@@ -198,6 +202,8 @@ class WordEncoder:
             return self._piece(text)
         if text[:-1].isalpha() and not text[-1].isalnum() and "'" not in text:
             return self._piece(text[:-1]) + self._piece(text[-1])
+        if any(token in chunk or token in text for token in self.added):
+            return self.library.encode(chunk, add_special_tokens=False).ids
         return [i for piece in self.PIECES.findall(text) for i in self._piece(piece)]
 
 
@@ -205,7 +211,7 @@ def _tokenized(path: str, end: int, width: int):
     def run(batches):
         encode, memo = WordEncoder(path), {}
         gc.disable()  # nothing here makes cycles, and the memo is costly to search for them
-        for batch in slices(batches, most=2 * SLICE_BYTES):
+        for batch in slices(batches, most=6 * SLICE_BYTES):
             chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
             coded = chunks.flatten().dictionary_encode()
             bounds = chunks.offsets.to_numpy().astype(np.int64)
@@ -260,14 +266,21 @@ def _packed(shard_tokens: int, width: int):
     return run
 
 
+def parts_for(n_tokens: int, spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // PART_TOKENS))
+
+
 def shards(tokens: DataFrame, parts: int | None = None, shard_tokens: int = SHARD_TOKENS, width: int = 4) -> DataFrame:
     """The shard files of (doc_id, ids): documents in ascending doc_id order, NULL first and
     repeated rows by their ids; a document is never divided. One row (part, number,
     doc_ids, lengths, n_tokens, matrix) for each file, in the order of part and number.
 
-    The documents are dealt to ``parts`` ranges of doc_id, each sorted and cut into files.
+    The documents are dealt to ``parts`` ranges of doc_id, each sorted and cut into files; by
+    default as many as the session shuffles to, or one for each ``PART_TOKENS`` tokens.
     """
-    parts = parts or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        total = tokens.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // width
+        parts = parts_for(total, tokens.sparkSession)
     return (tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
             .select(F.spark_partition_id().alias("part"), "doc_id", "ids")
             .mapInArrow(_packed(shard_tokens, width), "part int, number int, doc_ids array<long>, lengths array<long>, "
@@ -340,7 +353,10 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Tokenize, write and read back: (doc_id, start, n_tokens, ids_crc32). Repeated rows
     are documents of their own; no documents give no rows."""
     width = 2 if WordEncoder(tokenizer).library.get_vocab_size() <= 1 << 16 else 4
-    tokens, path = scratch.placed(tokenize(docs, tokenizer, width=width), "tokens", "zstd")
-    files = write(tokens, scratch.folder(docs.sparkSession, "shards"), width=width)
+    seen = Observation("tokens")
+    made = tokenize(docs, tokenizer, width=width).observe(seen, F.sum(F.length("ids")).alias("bytes"))
+    tokens, path = scratch.placed(made, "tokens", "zstd")
+    parts = parts_for((seen.get["bytes"] or 0) // width, docs.sparkSession)
+    files = write(tokens, scratch.folder(docs.sparkSession, "shards"), parts, width=width)
     scratch.remove(docs.sparkSession, path)
     return contents(files)
