@@ -98,9 +98,9 @@ class Counts:
 
 
 def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
-    """The blocks with ``words``: for each word of a block's list, in order, its number, which
-    for a word of no training text is the first free one, and its training count in the
-    whole corpus."""
+    """The blocks with ``words``: for each word of a block's list its place and its number,
+    which for a word of no training text is the first free one, and its training count in the
+    whole corpus, in any order."""
     listed = cut.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
     vocabulary = scratch.table(
         listed.where("w.counts > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("total")),
@@ -119,9 +119,10 @@ def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
     numbered = (vocabulary.withColumn("rank", rank).join(F.broadcast(starts), "part")
                 .select("word", "total", (F.col("first") + F.col("rank")).alias("number")))
     placed = F.shiftleft(F.col("place").cast("long"), _VALUE_BITS).bitwiseOR(F.coalesce("number", F.lit(distinct)))
-    word = F.struct(placed.alias("placed"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
     looked_up = (cut.select("block", F.posexplode("words").alias("place", "word")).join(numbered, "word", "left")
-                 .groupBy("block").agg(F.array_sort(F.collect_list(word)).alias("words")))
+                 .select("block", placed.alias("placed"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+                 .groupBy("block").agg(F.struct(F.collect_list("placed").alias("placed"),
+                                                F.collect_list("total").alias("totals")).alias("words")))
     return cut.drop("words", "counts").join(looked_up, "block"), Counts(tokens, distinct, once, distinct)
 
 
@@ -131,8 +132,9 @@ def _sequence(batch: pa.RecordBatch, row: int) -> np.ndarray:
 
 def _numbers(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     """(number, total) of a block's words."""
-    words = batch.column("words")[row].values
-    return words.field("placed").to_numpy() & ((1 << _VALUE_BITS) - 1), words.field("total").to_numpy()
+    placed, totals = (batch.column("words").field(name)[row].values.to_numpy() for name in ("placed", "totals"))
+    order = np.argsort(placed)
+    return placed[order] & ((1 << _VALUE_BITS) - 1), totals[order]
 
 
 def _classes(batch: pa.RecordBatch, row: int, size: int, of_common: np.ndarray) -> tuple:
@@ -159,21 +161,32 @@ def _rows(after: np.ndarray, before: np.ndarray):
         yield _row(group, [(pairs[a:b], counts[a:b]) for (pairs, counts), (a, b) in zip(sides, cuts, strict=True)])
 
 
+def _shrunk(values: np.ndarray) -> bytes:
+    """Compressed with equal bytes of all values together."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def _grown(content: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(content), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _row(group: int, sides) -> pa.RecordBatch:
     names, values = ["group"], [pa.array([group], pa.int64())]
     for side, (pairs, counts) in zip(("after", "before"), sides, strict=True):
         words = (pairs >> np.uint64(32)).astype(np.int64) - group * _GROUP
-        parts = words.astype(np.uint16), pairs.astype(np.uint32), counts.astype(np.uint64)
+        parts = np.diff(words, prepend=0).astype(np.uint16), pairs.astype(np.uint32), counts.astype(np.uint64)
         names.append(side)
-        values.append(pa.array([[zstandard.compress(x.tobytes()) for x in parts]], pa.list_(pa.binary())))
+        values.append(pa.array([[_shrunk(x) for x in parts]], pa.list_(pa.binary())))
     return pa.RecordBatch.from_arrays(values, names)
 
 
 def _unpacked(batch: pa.RecordBatch, row: int, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word in the group, neighbour, count)."""
-    parts = batch.column(side)[row].as_py()
-    return tuple(np.frombuffer(zstandard.decompress(x), kind)
-                 for x, kind in zip(parts, (np.uint16, np.uint32, np.uint64), strict=True))
+    steps, neighbours, counts = (_grown(x, kind) for x, kind in zip(
+        batch.column(side)[row].as_py(), (np.uint16, np.uint32, np.uint64), strict=True))
+    return np.cumsum(steps, dtype=np.uint16), neighbours, counts
 
 
 def _neighbours(batches):
@@ -310,6 +323,7 @@ def fitted(corpus: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     of_common = (np.arange(counts.common) % CLASSES + 1).astype(np.uint8)
     of_common[:1] = 0
     table, path = neighbours(corpus)
+    scratch.release(corpus.sparkSession)
     best = None
     for turn in range(rounds + 1):
         pairs, once = _pairs(table, of_common)
@@ -374,6 +388,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     joined, counts = counted(cut)
     corpus = scratch.table(joined, "corpus", "zstd")
     scratch.remove(docs.sparkSession, path)
+    scratch.release(docs.sparkSession)
     model = fitted(corpus, counts, rounds)
     rows = corpus.select("doc_ids", "held", "ends", "sequence", "words").mapInArrow(
         _scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
