@@ -195,6 +195,20 @@ def test_leaks_equal_brute_force_alignment(spark):
     assert leaks.leaks(docs.limit(0), benchmark).count() == leaks.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_find_every_place_of_a_repeated_item(spark):
+    items = {1: "abcdefgh", 2: "the cat sat on", 3: "one passage of some length here"}
+    texts = {i: " ".join([item] * n) for i, (item, n) in enumerate([(x, n) for x in items.values() for n in (1, 2, 3, 7)])}
+    texts[100] = "abcdefgh, Abcdefgh? the cat  sat on the cat sat on"
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = leaks.leaks(documents(spark, texts), benchmark).collect()
+    for i, text in texts.items():
+        for j, item in items.items():
+            places = [k for k in range(len(text)) if plain(text[k:k + len(item) + 1])[:len(item)] == plain(item)
+                      and plain(text[k]) and plain(text[k])[0] == plain(item)[0]]
+            assert sorted(r.start for r in found if (r.doc_id, r.item_id) == (i, j)) == places, (i, j)
+    assert all(r.edits == 0 for r in found)
+
+
 # Byte-level BPE
 
 def test_bpe_equals_the_library_and_decodes_to_the_text(spark):
@@ -204,12 +218,16 @@ def test_bpe_equals_the_library_and_decodes_to_the_text(spark):
     texts |= {200: "a" * 500, 201: " " * 600, 202: "'" * 300 + "s" * 300, 203: "", 204: None, 205: "ab c " * 2000}
     library = byte_bpe._encoding(RANKS, PATTERN)
     for chunk, overlap in ((20, 4), (byte_bpe.CHUNK, byte_bpe.OVERLAP)):
-        coded = byte_bpe.encode(documents(spark, texts), RANKS, PATTERN, chunk, overlap)
-        for r in byte_bpe.digests(coded, RANKS, PATTERN).collect():
+        rows = byte_bpe.digests(documents(spark, texts), RANKS, PATTERN, "ids", chunk=chunk, overlap=overlap).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
             text = texts[r.doc_id] or ""
             ids = np.array(library.encode_ordinary(text), "<u4")
             assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
-            assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.ids == ids.tobytes()
+    coded = byte_bpe.encode(documents(spark, texts), RANKS, PATTERN)
+    for r in byte_bpe.decode(coded, RANKS, PATTERN).collect():
+        assert r.content.decode() == (texts[r.doc_id] or "")
     odd = documents(spark, [(1, "a"), (1, "a"), (None, "b" * 50)])
     assert byte_bpe.encode(odd, RANKS, PATTERN, 20, 4).count() == 3
     assert byte_bpe.encode(odd.limit(0), RANKS, PATTERN).count() == 0
@@ -319,12 +337,11 @@ def test_wavelet_shards_read_back(spark):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(5)
     parts = ["a", "É", "é", " ́", "'s", "'RE", "\n", " ", "\x1c", "\x85", "1", "İ", "Σ", "!!", "日本", "\t",
-             "<|endoftext|>", "ﬁ", "word "]
+             "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "ﬁ", "word "]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(60)))) for i in range(200)]
-    rows += [(None, "x"), (500, None), (501, ""), (7, rows[7][1]), (-3, "first")]
+    rows += [(None, "x"), (500, None), (501, ""), (7, rows[7][1]), (-3, "first"), (502, "hello<|endoftext|>world")]
     docs = documents(spark, rows)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     ids = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for _, t in order]

@@ -11,6 +11,7 @@ wherever one starts, so two neighbours always meet.
 
 import base64
 import functools
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -118,29 +119,61 @@ def stitched(parts: list[dict]) -> bytes:
     return b"".join(kept)
 
 
-def _stitch(batches):
-    for batch in batches:
-        ids = [stitched(parts) for parts in batch.column("parts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+#: what a task can return of a document's ids
+_KINDS = {"ids": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+_SQL = {"ids": "binary", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def _encode_whole(path: str, pattern: str):
+def _wanted(encoding: tiktoken.Encoding, ids: bytes, columns: tuple) -> Iterator:
+    """The values of ``columns`` for one document; the last digest is of the bytes that its
+    ids decode to."""
+    for name in columns:
+        if name == "ids":
+            yield ids
+        elif name == "n_tokens":
+            yield len(ids) // 4
+        elif name == "ids_sha256":
+            yield hashlib.sha256(ids).hexdigest()
+        else:
+            yield hashlib.sha256(encoding.decode_bytes(np.frombuffer(ids, "<u4").tolist())).hexdigest()
+
+
+def _rows(encoding: tiktoken.Encoding, doc_ids: pa.Array, all_ids: Iterator[bytes], columns: tuple) -> pa.RecordBatch:
+    values = list(zip(*(_wanted(encoding, ids, columns) for ids in all_ids), strict=True)) or [[]] * len(columns)
+    return pa.RecordBatch.from_arrays(
+        [doc_ids, *(pa.array(v, _KINDS[c]) for v, c in zip(values, columns, strict=True))], ["doc_id", *columns])
+
+
+def _stitch(path: str, pattern: str, columns: tuple):
     def run(batches):
-        encode = _encoding(path, pattern).encode_ordinary
+        for batch in batches:
+            yield _rows(_encoding(path, pattern), batch.column("doc_id"),
+                        (stitched(parts.as_py()) for parts in batch.column("parts")), columns)
+    return run
+
+
+def _encode_whole(path: str, pattern: str, columns: tuple):
+    def run(batches):
+        encoding = _encoding(path, pattern)
         for batch in slices(batches):
-            ids = [_packed(encode(text)) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield _rows(encoding, batch.column("doc_id"),
+                        (_packed(encoding.encode_ordinary(text.as_py())) for text in batch.column("text")), columns)
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP,
+           columns: tuple = ("ids",)) -> DataFrame:
     """(doc_id, ids) for each row of ``docs``: the ids as little-endian unsigned 32-bit
     integers in one binary value. NULL and empty texts have none; repeated rows and NULL
     doc_ids give a row each. Texts of at most ``chunk`` characters are one chunk and are
     encoded where they are read; only longer ones are shuffled, chunk by chunk.
+
+    ``columns`` are any of ids, n_tokens, ids_sha256 and decoded_sha256, all made in the
+    task that has the ids.
     """
+    shape = ", ".join(["doc_id long", *(f"{c} {_SQL[c]}" for c in columns)])
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    short = (rows.where(F.length("text") <= chunk).mapInArrow(_encode_whole(path, pattern), "doc_id long, ids binary"))
+    short = rows.where(F.length("text") <= chunk).mapInArrow(_encode_whole(path, pattern, columns), shape)
     long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
     parts = long.mapInArrow(
         _cut(chunk, overlap), "row long, doc_id long, part int, start long, head_end long, tail_start long, "
@@ -150,7 +183,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
                                        "head_ids array<long>, tail array<long>, tail_ids array<long>")
     fields = F.struct("part", "ids", "head", "head_ids", "tail", "tail_ids")
     whole = (coded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(fields)).alias("parts"))
-             .select("doc_id", "parts").mapInArrow(_stitch, "doc_id long, ids binary"))
+             .select("doc_id", "parts").mapInArrow(_stitch(path, pattern, columns), shape))
     return short.union(whole)
 
 
@@ -166,9 +199,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.schema.simpleString()[len("struct<"):-1] + ",content:binary")
 
 
-def digests(encoded: DataFrame, path: str, pattern: str, *more: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, *more: str, chunk: int = CHUNK,
+            overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded documents, and ``more`` of
-    their columns; the last digest is of the bytes that the ids decode to."""
-    return decode(encoded, path, pattern).select(
-        "doc_id", F.expr("cast(length(ids) / 4 as long)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"), *more)
+    what :func:`encode` returns; the last digest is of the bytes that the ids decode to."""
+    return encode(docs, path, pattern, chunk, overlap, ("n_tokens", "ids_sha256", "decoded_sha256", *more))

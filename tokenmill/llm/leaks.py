@@ -176,20 +176,27 @@ def _place(text: np.ndarray, wanted: np.ndarray) -> int:
     return at // 4 if at >= 0 else -1
 
 
-def _aligned(index: Index, codes: np.ndarray, item: int, band: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the best match of an item in a band, if within budget."""
+def _aligned(index: Index, codes: np.ndarray, item: int, band: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) of the matches of an item in a band that are within budget: the
+    best one, then those in what is left before and after it."""
     wanted, k, width = index.items[item], int(index.edits[item]), int(index.widths[item])
     low, high = band * width, (band + 1) * width + k - 1
-    start = max(0, low - k)
-    text = codes[start:max(start, high + len(wanted) + k + 1)]
-    whole = _place(text, wanted)
-    if whole >= 0:
-        return start + whole, start + whole + len(wanted), 0
-    edits, end = _reach(wanted, text, low - k - start, high + k - start, anchored=False)
-    if edits > k:
-        return None
-    _, back = _reach(wanted[::-1], text[:end][::-1], -k, k, anchored=True)
-    return start + end - back, start + end, edits
+    left = [(max(0, low - k), min(len(codes), high + len(wanted) + k + 1))]
+    while left:
+        start, stop = left.pop()
+        if stop - start < max(1, len(wanted) - k):
+            continue
+        text = codes[start:stop]
+        first, edits = _place(text, wanted), 0
+        end = first + len(wanted)
+        if first < 0:
+            edits, end = _reach(wanted, text, low - k - start, high + k - start, anchored=False)
+            if edits > k:
+                continue
+            first = end - _reach(wanted[::-1], text[:end][::-1], -k, k, anchored=True)[1]
+        if end > first:
+            yield start + first, start + end, edits
+            left += [(start, start + first), (start + end, stop)]
 
 
 def found_in(index: Index, text: str) -> list[tuple[int, int, int, int]]:
@@ -198,9 +205,7 @@ def found_in(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     codes, places = normalised(text)
     matches = []
     for item, band in index.bands(codes):
-        match = _aligned(index, codes, item, band)
-        if match and match[1] > match[0]:
-            matches.append((item, match[2], *match[:2]))
+        matches += [(item, edits, start, stop) for start, stop, edits in _aligned(index, codes, item, band)]
     chosen: list[tuple] = []
     for item, edits, start, stop in sorted(set(matches)):
         if not any(c[0] == item and start < c[3] and c[2] < stop for c in chosen):
@@ -260,18 +265,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
           block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns.
-    The texts are judged inside the scan, in one pass for each block of items."""
+    The texts are judged inside the scan, in one pass for each block of items; only verdicts
+    come back from Python."""
     def cleaner(index: Index):
-        def run(batches):
-            for batch in slices(batches):
-                yield batch.filter(pa.array([not found_in(index, text.as_py() or "")
-                                             for text in batch.column("text")], pa.bool_()))
-        return run
+        @F.arrow_udf("boolean")
+        def is_clean(texts: pa.Array) -> pa.Array:
+            return pa.array([not found_in(index, text.as_py() or "") for text in texts], pa.bool_())
+        return is_clean(F.col("text").cast("string"))
 
     blocks, indexes = _indexes(benchmark, q, rate, block_chars)
     before = None
     for index in indexes:
-        docs = docs.mapInArrow(cleaner(index), docs.schema)
+        docs = docs.where(cleaner(index))
         if blocks > 1:
             docs, path = scratch.placed(docs, "clean")
             if before:

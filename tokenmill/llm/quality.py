@@ -9,6 +9,7 @@ that remains after compression is the curve's third input: where a text repeats
 itself both sizes are next to nothing and their difference says little.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.llm.words import slices
+from tokenmill.sources import scratch
 
 #: labelled rows that are learned from at most: those whose key hashes lowest
 SAMPLE_ROWS = 16_000
@@ -130,9 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     sample = (known.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
               .orderBy(place, "doc_id", "quality").limit(sample_rows))
-    texts = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text <> ''")
-             .join(F.broadcast(sample), "doc_id")  # sample_rows at most
-             .withColumn("for_curve", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), 2) == 1))
+    texts = scratch.table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text <> ''")
+                          .join(F.broadcast(sample), "doc_id"), "labelled")  # sample_rows at most
+    texts = (texts.withColumn("for_curve", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), 2) == 1))
 
     def pieces(quality: int) -> list[bytes]:
         cut = (texts.where((F.col("quality") == quality) & ~F.col("for_curve")).select("text")
@@ -165,12 +167,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` predicted good, with all their columns."""
+    """The rows of ``docs`` predicted good, with all their columns. Only texts go to Python,
+    and only verdicts come back."""
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def is_good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         good, bad = _compressor(model.good), _compressor(model.bad)
-        for batch in slices(batches):
-            kept = model.probability(_features(batch.column("text"), good, bad)) >= THRESHOLD
-            yield batch.filter(pa.array(kept))
+        for texts in batches:
+            yield pa.array(model.probability(_features(texts, good, bad)) >= THRESHOLD)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(is_good(F.col("text").cast("string")))

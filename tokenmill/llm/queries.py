@@ -43,8 +43,7 @@ def op6_chained_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_overlapping_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.digests(encoded, path, public_tokenizers.PATTERN)
+    return byte_bpe.digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
