@@ -33,8 +33,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document left."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return byte_bpe.digests(encoded, path, public_tokenizers.PATTERN, "ids")
+    return byte_bpe.digests(docs, path, public_tokenizers.PATTERN, "ids")
 
 
 STAGES = [("quality classifier", quality_classifier),
