@@ -98,3 +98,45 @@ def test_metrics(spark):
     row, = metrics.epoch(losses, "loss", perplexity_of="loss").collect()
     assert (row.n_batches, row.loss) == (3, 4.0) and row.perplexity == pytest.approx(np.exp(4.0))
     assert {r.batch_id: r.perplexity for r in metrics.perplexity(losses).collect()}[0] == pytest.approx(np.exp(2.0))
+
+
+def vocabulary_blocks(spark, rows, block):
+    """Rows (example_id, pos, label, logits) cut into blocks of the vocabulary, shuffled."""
+    cut = [("f", e, p, label, first, logits[first:first + block]) for e, p, label, logits in rows
+           for first in range(0, len(logits), block)]
+    schema = "file_key string, example_id long, pos int, label int, first int, logits array<float>"
+    return spark.createDataFrame(cut[::-1], schema).repartition(3)
+
+
+def test_vocabulary_in_blocks_equals_whole_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(e, p, int(rng.integers(50)), (rng.standard_normal(50) * 4).round(1).astype(np.float32).tolist())
+            for e in range(3) for p in range(20)]
+    rows += [(9, 0, None, [0.0] * 50), (9, 1, 49, [-1e30] * 49 + [1e30]), (9, 2, 0, [700.0] * 25 + [-700.0] * 25),
+             (9, 3, 77, [1.0] * 50)]
+    results = []
+    for block in (1, 7, 50):
+        found = {(r.example_id, r.pos): r for r in scores.of_vocabulary(vocabulary_blocks(spark, rows, block), 5).collect()}
+        assert len(found) == len(rows)
+        for e, p, label, logits in rows:
+            values, r = np.array(logits, np.float32).astype(float), found[e, p]
+            total = values.max() + np.log(np.exp(values - values.max()).sum())
+            assert np.isclose(r.log_total, total, rtol=1e-12) and r.best == int(values.argmax()) and r.label == label
+            if label is None or label >= 50:
+                assert r.label_prob is None
+            else:
+                assert np.isclose(r.label_prob, np.exp(values[label] - total), rtol=1e-9, atol=1e-300)
+        results.append({k: r.drawn for k, r in found.items()})
+    assert results[0] == results[1] == results[2]
+    assert results[0][9, 1] == 49 and results[0][9, 2] < 25
+    assert scores.of_vocabulary(vocabulary_blocks(spark, rows, 7).limit(0)).count() == 0
+
+
+def test_draws_from_blocks_follow_the_softmax(spark):
+    logits = np.log(np.array([0.5, 0.25, 0.125, 0.0625, 0.0625])).astype(np.float32).tolist()
+    rows = [(e, p, 0, logits) for e in range(40) for p in range(200)]
+    drawn = [r.drawn for r in scores.of_vocabulary(vocabulary_blocks(spark, rows, 2), 3).collect()]
+    shares = np.bincount(drawn, minlength=5) / len(drawn)
+    assert np.abs(shares - np.exp(logits)).max() < 0.02
+    other = [r.drawn for r in scores.of_vocabulary(vocabulary_blocks(spark, rows, 2), 4).collect()]
+    assert drawn != other

@@ -111,3 +111,73 @@ def log_loss(scores: DataFrame, candidates: str | None = None, label: str = "lab
     index = F.nullif(F.array_position(candidates, F.col(label).cast("int")), F.lit(0).cast("long")) - 1 \
         if candidates else F.col(label)
     return scores.withColumn("loss", _over_logits(_log_loss, index.cast("int")))
+
+
+# scores of a whole vocabulary in blocks: (…keys, pos, label, first INT, logits ARRAY<FLOAT>), the
+# logits being those of the tokens from ``first`` on, so that no row holds a vocabulary
+
+#: what identifies a scored position
+POSITION = ("file_key", "example_id", "pos")
+
+_OF_BLOCK = T.StructType([
+    T.StructField("top", T.DoubleType()), T.StructField("weight", T.DoubleType()), T.StructField("best", T.IntegerType()),
+    T.StructField("reach", T.DoubleType()), T.StructField("drawn", T.IntegerType()), T.StructField("own", T.DoubleType())])
+
+
+def uniform(pick: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """A number between 0 and 1 for each (32-bit draw of a position, token), by 32-bit mixing."""
+    h = (pick.astype(np.uint64) ^ (token.astype(np.uint64) * np.uint64(0x9E3779B1))) & np.uint64(0xFFFFFFFF)
+    for factor, shift in ((0x85EBCA6B, 13), (0xC2B2AE35, 16)):
+        h = h ^ (h >> np.uint64(16))
+        h = (h * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
+        h = h ^ (h >> np.uint64(shift))
+    return (h.astype(np.float64) + 0.5) / 2.0 ** 32
+
+
+def _first_at(values: np.ndarray, tops: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The place in each row of its first value equal to the row's top."""
+    hits = np.flatnonzero(values == np.repeat(tops, sizes))
+    return hits[np.searchsorted(hits, starts)] - starts
+
+
+@F.arrow_udf(_OF_BLOCK)
+def _of_block(logits: pa.Array, first: pa.Array, label: pa.Array, pick: pa.Array) -> pa.Array:
+    starts, weights, top = _shifted_exp(logits)
+    sizes = pc.list_value_length(logits).to_numpy(False)
+    values, first = logits.flatten().to_numpy(False).astype(np.float64), first.to_numpy(False).astype(np.int64)
+    token = np.arange(len(values)) - np.repeat(starts - first, sizes)
+    perturbed = values - np.log(-np.log(uniform(np.repeat(pick.to_numpy(False), sizes), token)))
+    reach = np.maximum.reduceat(perturbed, starts) if len(starts) else perturbed
+    at = label.cast(pa.int64()).fill_null(-1).to_numpy(False) - first
+    inside = (at >= 0) & (at < sizes)
+    own = pa.array(values[np.where(inside, starts + at, 0)] if len(values) else values, mask=~inside)
+    return pa.StructArray.from_arrays(
+        [pa.array(top), pa.array(_row_sums(weights, starts)),
+         pa.array((first + _first_at(values, top, starts, sizes)).astype(np.int32)), pa.array(reach),
+         pa.array((first + _first_at(perturbed, reach, starts, sizes)).astype(np.int32)), own], _OF_BLOCK.names)
+
+
+def of_vocabulary(blocks: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """(file_key, example_id, pos, label, log_total, label_prob, best, drawn) of each position
+    from its blocks in one pass: the log of the softmax's denominator, the label's
+    probability (NULL without a scored label), the token of the highest logit (the lowest on
+    a tie), and a token drawn from the softmax.
+
+    A block's sum is relative to its own highest logit, and the sums are brought to the
+    highest of all when they meet. The draw is Gumbel's: the highest logit after each token's
+    own noise, a hash of position and token, so it needs no running sum and blocks of any cut
+    draw the same token.
+    """
+    pick = draws.draw(example_key(seed, draws.SAMPLE, epoch), F.col("pos"))
+    found = blocks.withColumn("pick", pick).select(
+        *POSITION, "label", _of_block("logits", F.col("first"), F.col("label"), "pick").alias("b"))
+    # a row for each block of a position, of six numbers each
+    merged = found.groupBy(*POSITION).agg(
+        F.max("label").alias("label"), F.collect_list(F.struct("b.top", "b.weight")).alias("parts"),
+        F.max(F.struct(F.col("b.top").alias("top"), (-F.col("b.best")).alias("less"))).alias("best"),
+        F.max(F.struct(F.col("b.reach").alias("reach"), (-F.col("b.drawn")).alias("less"))).alias("drawn"),
+        F.max("b.own").alias("own"))
+    total = F.aggregate(F.array_sort("parts"), F.lit(0.0), lambda sum_, p: sum_ + p.weight * F.exp(p.top - F.col("best.top")))
+    return (merged.withColumn("log_total", F.col("best.top") + F.log(total))
+            .select(*POSITION, "label", "log_total", F.exp(F.col("own") - F.col("log_total")).alias("label_prob"),
+                    (-F.col("best.less")).alias("best"), (-F.col("drawn.less")).alias("drawn")))

@@ -2,6 +2,8 @@
 
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from tokenmill.operators import batch, corrupt, encode, masking, segments, vocab
 from tokenmill.operators.encode import list_encoder
 from tokenmill.operators.rows import numbered
 from tokenmill.plans import evaluation
-from tokenmill.schema import IGNORE
 from tokenmill.sources import cache, files, scratch
 
 #: settings shared by the registered queries and their SQL
@@ -29,8 +30,8 @@ def _word_lengths() -> encode.Encoder:
 #: a tokenizer of a user's own: a word's length, up to 99, behind five special ids
 WORD_LENGTHS = encode.Tokenizer(_word_lengths, vocab_size=105)
 
-#: candidates per scored position
-K = 32
+#: candidates per scored position, and tokens of a block where the whole vocabulary is scored
+K, DENSE_BLOCK = 32, 1024
 
 
 class Inputs:
@@ -143,16 +144,24 @@ class Inputs:
         masked = self._masked_batches_kept if batches else self.mlm(self.cached(), rand_replace=False)
         return evaluation.corrupted(masked, self.generator_scores(masked), "cand", SEED)
 
-    def dense_scores(self) -> DataFrame:
-        """A stand-in score of every token of the vocabulary for the first labelled position of
-        each example: small noise by token, and the label's logit raised."""
+    def dense_scores(self, block: int = DENSE_BLOCK) -> DataFrame:
+        """A stand-in score of every token of the vocabulary for every labelled position, in
+        blocks of the vocabulary: small noise by token, and the label's logit raised."""
+        size = self.tokenizer.vocab_size
+
+        def logits(noise: pa.Array, label: pa.Array, first: pa.Array) -> pa.Array:
+            first = first.to_numpy()
+            counts = np.minimum(block, size - first)
+            ends = np.cumsum(counts)
+            token = np.arange(counts.sum()) - np.repeat(ends - counts - first, counts)
+            value = (np.repeat(noise.to_numpy(), counts) + token * 7919) % 60000 / 10000.0
+            value += np.where(token == np.repeat(label.to_numpy(), counts), 2.0, 0.0)
+            return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(value.astype(np.float32)))
+
         masked = self.mlm(self.cached(), rand_replace=False)
-        first = F.array_position(F.transform("labels", lambda x: x != IGNORE), True)
-        rows = (masked.select("file_key", "example_id", (first - 1).cast("int").alias("pos"), "labels")
-                .where("pos >= 0")
-                .withColumn("label", F.element_at("labels", F.col("pos") + 1).cast("int")).drop("labels"))
         noise = draws.draw(masking.example_key(SEED, draws.SCORE), F.col("pos"))
-        tokens = F.sequence(F.lit(0), F.lit(self.tokenizer.vocab_size - 1))
-        raised = F.struct(noise.alias("noise"), F.col("label"))
-        return rows.withColumn("logits", bound(raised, lambda r: F.transform(tokens, lambda c: (
-            (r.noise + c * 7919) % 60000 / 10000.0 + F.when(c == r.label, 2.0).otherwise(0.0)).cast("float"))))
+        firsts = F.sequence(F.lit(0), F.lit(size - 1), F.lit(block))
+        rows = (corrupt.positions(masked).withColumn("label", F.col("label").cast("int")).withColumn("noise", noise)
+                .select("file_key", "example_id", "pos", "label", "noise", F.explode(firsts).alias("first")))
+        made = F.arrow_udf(logits, "array<float>")
+        return rows.withColumn("logits", made("noise", "label", "first")).drop("noise")

@@ -366,21 +366,20 @@ cte("corrupted", f"""
 SELECT m.file_key, m.example_id, m.pos, CASE WHEN m.selected THEN s.token_id ELSE {MASKED} END AS d_input,
        CASE WHEN m.selected AND s.token_id <> m.id THEN 1 ELSE 0 END AS d_label
 FROM mask m LEFT JOIN sampled s USING (file_key, example_id, pos)""")
-cte("dense_rows", """
-SELECT file_key, example_id, pos, label, k, noise FROM noisy
-QUALIFY row_number() OVER (PARTITION BY file_key, example_id ORDER BY pos) = 1""")
 cte("dense_logits", """
-SELECT file_key, example_id, pos, label, k, cand,
+SELECT file_key, example_id, pos, label, cand,
        ((((noise + cand * 7919) % 60000)::DOUBLE / 10000.0::DOUBLE
          + CASE WHEN cand = label THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END)::FLOAT)::DOUBLE AS logit
-FROM dense_rows, (SELECT token_id AS cand FROM vocab)""")
-cte("dense_shifted", """
-SELECT *, exp(logit - max(logit) OVER (PARTITION BY file_key, example_id, pos)) AS e FROM dense_logits""")
-cte("dense_size", "SELECT 62 - (floor(log2(count(*)))::BIGINT + 1) AS unit_bits FROM vocab")
-cte("dense_running", """
-SELECT *, sum(w) OVER (PARTITION BY file_key, example_id, pos ORDER BY cand) AS total_here,
-       sum(w) OVER (PARTITION BY file_key, example_id, pos) AS total
-FROM (SELECT *, floor(e * pow(2.0::DOUBLE, unit_bits))::BIGINT AS w FROM dense_shifted, dense_size)""")
+FROM noisy, (SELECT token_id AS cand FROM vocab)""")
+cte("dense_mixed", """
+SELECT file_key, example_id, pos, cand, logit,
+       xor(pick::UBIGINT, (cand::UBIGINT * 2654435761::UBIGINT) & 4294967295::UBIGINT) AS h
+FROM dense_logits JOIN picks USING (file_key, example_id, pos)""")
+for number, (factor, shift) in enumerate([(2246822507, 13), (3266489909, 16)]):
+    source = f"dense_mixed{number or ''}"
+    cte(f"dense_mixed{number + 1}", f"""
+SELECT * EXCLUDE (h), xor(h, h >> {shift}) AS h FROM (
+  SELECT * EXCLUDE (h), (xor(h, h >> 16) * {factor}::UBIGINT) & 4294967295::UBIGINT AS h FROM {source})""")
 cte("d_keys", xxh64(f"(SELECT DISTINCT file_key, example_id, {row_key('file_key')} AS k FROM examples)",
                     ["k", str(draws.SCORE), "1", "example_id"], "d_key"))
 cte("d_logits", f"""
@@ -517,13 +516,12 @@ GROUP BY file_key, example_id, pos""",
     "argmax_tokens": "SELECT file_key, example_id, pos::INTEGER AS pos, token_id::INTEGER AS token_id FROM best",
     "softmax_dense": """
 SELECT file_key, example_id, pos::INTEGER AS pos,
-       floor(max(CASE WHEN cand = label THEN e END) / sum(e) * 1000000 + 0.5)::BIGINT AS prob
-FROM dense_shifted GROUP BY file_key, example_id, pos""",
-    "sample_dense": f"""
-SELECT r.file_key, r.example_id, r.pos::INTEGER AS pos, min(r.cand)::INTEGER AS token_id
-FROM dense_running r JOIN picks p USING (file_key, example_id, pos)
-WHERE r.total_here::HUGEINT > (p.pick::HUGEINT * r.total::HUGEINT) // 4294967296
-GROUP BY r.file_key, r.example_id, r.pos""",
+       floor(max(CASE WHEN cand = label THEN exp(logit) END) / sum(exp(logit)) * 1000000 + 0.5)::BIGINT AS prob
+FROM dense_logits GROUP BY file_key, example_id, pos""",
+    "sample_dense": """
+SELECT file_key, example_id, pos::INTEGER AS pos,
+       arg_max(cand, (logit - ln(-ln((h::DOUBLE + 0.5) / 4294967296.0::DOUBLE)), -cand))::INTEGER AS token_id
+FROM dense_mixed2 GROUP BY file_key, example_id, pos""",
     "argmax_dense": """
 SELECT file_key, example_id, pos::INTEGER AS pos, arg_max(cand, (logit, -cand))::INTEGER AS token_id
 FROM dense_logits GROUP BY file_key, example_id, pos""",

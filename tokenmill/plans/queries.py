@@ -108,7 +108,7 @@ def resume_antijoin(t: Inputs) -> DataFrame:
     corpus.tokenize_and_cache(t.files.join(labelled, "file_key", "left_semi"), t.tokenizer, path, **options)
     earlier = cache.manifest(t.spark, path).select("batch").distinct()
     corpus.tokenize_and_cache(t.files, t.tokenizer, path, **options)
-    return cache.manifest(t.spark, path).join(earlier, "batch", "left_anti").drop("batch")
+    return cache.manifest(t.spark, path).join(earlier, "batch", "left_anti").drop("batch", "rejected")
 
 
 @query
@@ -361,19 +361,20 @@ def argmax_tokens(t: Inputs) -> DataFrame:
 
 @query
 def softmax_dense(t: Inputs) -> DataFrame:
-    """The label's probability among the whole vocabulary, in millionths."""
-    own = F.get("probs", F.col("label"))
-    return scores.softmax(t.dense_scores()).select(*POSITION, F.floor(own * 1_000_000 + 0.5).alias("prob"))
+    """The label's probability among the whole vocabulary, in millionths, at every labelled
+    position."""
+    return scores.of_vocabulary(t.dense_scores()).select(
+        *POSITION, F.floor(F.col("label_prob") * 1_000_000 + 0.5).alias("prob"))
 
 
 @query
 def sample_dense(t: Inputs) -> DataFrame:
-    return scores.sample(t.dense_scores(), seed=SEED).select(*POSITION, "token_id")
+    return scores.of_vocabulary(t.dense_scores(), SEED).select(*POSITION, F.col("drawn").alias("token_id"))
 
 
 @query
 def argmax_dense(t: Inputs) -> DataFrame:
-    return scores.argmax(t.dense_scores()).select(*POSITION, "token_id")
+    return scores.of_vocabulary(t.dense_scores()).select(*POSITION, F.col("best").alias("token_id"))
 
 
 @query

@@ -32,10 +32,23 @@ def from_table(rows: DataFrame, key: Column, text="text", n_chars=None) -> DataF
                        size.alias("n_chars"))
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below a directory as undecoded bytes."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
-    return files.select(file_key(), "content", F.col("length").alias("n_bytes"))
+def _below(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(file_key, n_bytes, modified) of every file below a directory; none is opened."""
+    return _below(spark, path).select(file_key(), F.col("length").alias("n_bytes"),
+                                      F.col("modificationTime").alias("modified"))
+
+
+def read_binary(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """Every file below a directory as undecoded bytes, or those of the given keys: the others
+    are left out by their names, before any is opened."""
+    found = _below(spark, path)
+    if keys is not None:
+        found = found.where(F.col("_metadata.file_path").isin(keys))
+    return found.select(file_key(), "content", F.col("length").alias("n_bytes"))
 
 
 def decoded(binary_files: DataFrame) -> DataFrame:

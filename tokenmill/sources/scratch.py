@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _roots: dict[str, str] = {}
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
+    """(the file system a path is on, the path) as Hadoop's own objects."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(conf), where
@@ -28,7 +29,7 @@ def root(spark: SparkSession) -> str:
         if not shared:
             shared = posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
         _roots[app] = posixpath.join(shared, f"tables-{uuid.uuid4().hex}")
-        files, where = _hadoop(spark, _roots[app])
+        files, where = hadoop(spark, _roots[app])
         atexit.register(files.delete, where, True)
     return _roots[app]
 
@@ -39,14 +40,15 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    files, where = _hadoop(spark, path)
+    files, where = hadoop(spark, path)
     files.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished queries, which otherwise stay until the
     driver's JVM happens to collect what refers to them."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees the plans, the second the shuffles that they held
+        spark.sparkContext._jvm.System.gc()
 
 
 def table(rows: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
