@@ -211,7 +211,7 @@ def _tokenized(path: str, end: int, width: int):
     def run(batches):
         encode, memo = WordEncoder(path), {}
         gc.disable()  # nothing here makes cycles, and the memo is costly to search for them
-        for batch in slices(batches, most=6 * SLICE_BYTES):
+        for batch in slices(batches, most=8 * SLICE_BYTES):
             chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
             coded = chunks.flatten().dictionary_encode()
             bounds = chunks.offsets.to_numpy().astype(np.int64)
