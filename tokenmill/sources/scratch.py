@@ -6,12 +6,14 @@ Everything a session wrote here is removed when the driver's process ends.
 """
 
 import atexit
+import contextlib
 import posixpath
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+_passing: list[list[str]] = []
 
 
 def hadoop(spark: SparkSession, path: str):
@@ -36,7 +38,22 @@ def root(spark: SparkSession) -> str:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path, not yet written."""
-    return posixpath.join(root(spark), f"{name}-{uuid.uuid4().hex}")
+    path = posixpath.join(root(spark), f"{name}-{uuid.uuid4().hex}")
+    if _passing:
+        _passing[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Every folder made inside is removed at the end, and the shuffle files of its queries."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            remove(spark, path)
+        release(spark)
 
 
 def remove(spark: SparkSession, path: str) -> None:
