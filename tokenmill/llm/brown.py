@@ -54,6 +54,17 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def _shrunk(values: np.ndarray) -> bytes:
+    """Compressed with the first bytes of all values together, then the second ones, and so on."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def _grown(content: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(content), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _blocks(batches):
     for batch in wd.slices(batches, most=BLOCK_BYTES):
         offsets, numbers, distinct = wd.split(batch.column("text"))
@@ -70,7 +81,7 @@ def _blocks(batches):
             "doc_ids": pa.array([batch.column("doc_id")], pa.list_(pa.int64())),
             "held": pa.array([batch.column("held")], pa.list_(pa.bool_())),
             "ends": pa.array([ends], pa.list_(pa.int64())),
-            "sequence": pa.array([zstandard.compress(sequence.tobytes())], pa.binary()),
+            "sequence": pa.array([_shrunk(sequence)], pa.binary()),
             "words": pa.array([["", *distinct.to_pylist()]], pa.list_(pa.string())),
             "counts": pa.array([counts], pa.list_(pa.int64()))})
 
@@ -116,8 +127,10 @@ def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
         first += sizes[number]
     starts = cut.sparkSession.createDataFrame(starts, "part int, first long")
     rank = F.row_number().over(W.Window.partitionBy("part").orderBy(F.col("word") != "", F.desc("total"), "word")) - 1
-    numbered = (vocabulary.withColumn("rank", rank).join(F.broadcast(starts), "part")
-                .select("word", "total", (F.col("first") + F.col("rank")).alias("number")))
+    numbered = scratch.table(
+        vocabulary.withColumn("rank", rank).join(F.broadcast(starts), "part")
+        .select("word", "total", (F.col("first") + F.col("rank")).alias("number")), "numbered", "zstd")
+    scratch.release(cut.sparkSession)
     placed = F.shiftleft(F.col("place").cast("long"), _VALUE_BITS).bitwiseOR(F.coalesce("number", F.lit(distinct)))
     looked_up = (cut.select("block", F.posexplode("words").alias("place", "word")).join(numbered, "word", "left")
                  .select("block", placed.alias("placed"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
@@ -127,7 +140,7 @@ def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
 
 
 def _sequence(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(batch.column("sequence")[row].as_py()), np.int32)
+    return _grown(batch.column("sequence")[row].as_py(), np.int32)
 
 
 def _numbers(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,17 +174,6 @@ def _rows(after: np.ndarray, before: np.ndarray):
         yield _row(group, [(pairs[a:b], counts[a:b]) for (pairs, counts), (a, b) in zip(sides, cuts, strict=True)])
 
 
-def _shrunk(values: np.ndarray) -> bytes:
-    """Compressed with equal bytes of all values together."""
-    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
-
-
-def _grown(content: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(content), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
 def _row(group: int, sides) -> pa.RecordBatch:
     names, values = ["group"], [pa.array([group], pa.int64())]
     for side, (pairs, counts) in zip(("after", "before"), sides, strict=True):
@@ -384,11 +386,11 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     and one unknown word, as is ``base_score``. The end of a document has its own class and
     precedes the next document's first word.
     """
-    cut, path = scratch.placed(blocks(docs), "blocks", "zstd")
-    joined, counts = counted(cut)
-    corpus = scratch.table(joined, "corpus", "zstd")
-    scratch.remove(docs.sparkSession, path)
-    scratch.release(docs.sparkSession)
+    spark, path = docs.sparkSession, scratch.folder(docs.sparkSession, "corpus")
+    with scratch.passing(spark):
+        joined, counts = counted(scratch.table(blocks(docs), "blocks", "zstd"))
+        joined.write.option("compression", "zstd").parquet(path)
+    corpus = spark.read.schema(joined.schema).parquet(path)
     model = fitted(corpus, counts, rounds)
     rows = corpus.select("doc_ids", "held", "ends", "sequence", "words").mapInArrow(
         _scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

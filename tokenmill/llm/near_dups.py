@@ -241,6 +241,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
         F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark")).where("n > 1")
         .groupBy("leader", "n", "shingles", "mark").agg(F.min("key").alias("key")))
     members, members_path = scratch.placed(members.drop("n_shingles").join(buckets.drop("mark"), "key"), "members")
+    scratch.release(classes.sparkSession)
 
     # candidates grow with the corpus, so their ids are never broadcast
     wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
@@ -250,7 +251,9 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     tried = stars.join(sizes.toDF("a", "n_a", "sketch_a"), "a").join(sizes.toDF("b", "n_b", "sketch_b"), "b") \
         .mapInArrow(_estimated(percent), "a long, b long")
+    scratch.release(classes.sparkSession)
     found = scratch.table(_verified(tried, sets, percent), "links")
+    scratch.release(classes.sparkSession)
     settled = connected(found)
 
     placed = (members.where("n > 2").join(settled, members["rep"] == settled["node"], "left")
@@ -303,8 +306,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns kept."""
-    judged = near_duplicates(docs, percent)
-    judged = scratch.table(judged.select("doc_id", "kept"), "judged")
+    spark, path = docs.sparkSession, scratch.folder(docs.sparkSession, "judged")
+    with scratch.passing(spark):
+        near_duplicates(docs, percent).select("doc_id", "kept").write.parquet(path)
+    judged = spark.read.parquet(path)
     keep = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     repeated = keep.where("rows > 1").select("doc_id")
     once = docs.join(keep.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
