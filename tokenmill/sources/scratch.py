@@ -64,6 +64,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished queries, which otherwise stay until the
     driver's JVM happens to collect what refers to them."""
+    # the threads that hand out Spark's events hold the last query until the next one ends
+    spark.range(1).collect()
     for _ in range(2):  # the first frees the plans, the second the shuffles that they held
         spark.sparkContext._jvm.System.gc()
 
