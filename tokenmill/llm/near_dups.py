@@ -163,27 +163,72 @@ def _estimated(percent: int):
     return run
 
 
+def _by_block_pair(handle):
+    """``handle`` on the rows of each block pair; the rows come sorted by bucket and block pair,
+    which holds about twice ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles."""
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "block_a", "block_b")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                piece, mark = batch.slice(start, stop - start), tuple(keys[:, start])
+                if held and held[0] != mark:
+                    yield from handle(pa.Table.from_batches(held[1]))
+                    held = []
+                held = [mark, [*(held[1] if held else []), piece]]
+        if held:
+            yield from handle(pa.Table.from_batches(held[1]))
+    return run
+
+
+def _block_pair(rows: pa.Table):
+    """(components, sketches, sizes, places of one block, of the other) of a block pair's rows."""
+    sizes, sides = (rows.column(c).to_numpy() for c in ("n_shingles", "side"))
+    groups = np.unique(rows.column("comp").to_numpy(), return_inverse=True)[1]
+    first, second = rows.column("block_a")[0].as_py(), rows.column("block_b")[0].as_py()
+    registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    left = np.flatnonzero(sides == first)
+    return groups, registers, sizes, left, left if first == second else np.flatnonzero(sides == second)
+
+
+def _across(i: int, left, right, groups, registers, sizes, percent: int) -> np.ndarray:
+    """The places of a block pair that a class, of another component, may be linked with."""
+    j = right[right > i] if left is right else right
+    j = j[groups[j] != groups[i]]
+    return j[_hopeful(registers[j], registers[i], sizes[j], sizes[i], percent)] if len(j) else j
+
+
+def _with_hope(percent: int):
+    """The rows of a block pair that some other of them, of another component, may be linked
+    with by their sketches: only these need their sets."""
+    def hoping(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        groups, registers, sizes, left, right = _block_pair(rows)
+        wanted = np.zeros(rows.num_rows, bool)
+        for i in left:
+            j = _across(i, left, right, groups, registers, sizes, percent)
+            wanted[j] = True
+            wanted[i] |= len(j) > 0
+        yield from rows.filter(pa.array(wanted)).to_batches()
+    return _by_block_pair(hoping)
+
+
 def _bucket_links(percent: int):
-    """Links across components inside each bucket block, no more than join what the
-    block's earlier links have left apart. The rows come sorted by bucket and block
-    pair; a block pair holds about twice ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles."""
+    """Links across components inside each block pair of a bucket, no more than join what its
+    earlier links have left apart."""
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        reps, sizes, sides = (rows.column(c).to_numpy() for c in ("rep", "n_shingles", "side"))
-        groups = np.unique(rows.column("comp").to_numpy(), return_inverse=True)[1]
-        first, second = rows.column("block_a")[0].as_py(), rows.column("block_b")[0].as_py()
-        registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        groups, registers, sizes, left, right = _block_pair(rows)
+        reps = rows.column("rep").to_numpy()
         sets = rows.column("hashes").combine_chunks()
         bounds = sets.offsets.to_numpy().astype(np.int64)
         distinct, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
         bounds = bounds - bounds[0]
         marked, found = np.zeros(len(distinct), bool), []
-        left = np.flatnonzero(sides == first)
-        right = left if first == second else np.flatnonzero(sides == second)
         for i in left:
-            j = right[right > i] if first == second else right
-            j = j[groups[j] != groups[i]]
-            if len(j):
-                j = j[_hopeful(registers[j], registers[i], sizes[j], sizes[i], percent)]
+            j = _across(i, left, right, groups, registers, sizes, percent)
             if not len(j):
                 continue
             own = codes[bounds[i]:bounds[i + 1]]
@@ -196,24 +241,7 @@ def _bucket_links(percent: int):
                     found.append((reps[i], reps[x]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(side) for side in zip(*found, strict=True)], ["a", "b"])
-
-    def run(batches):
-        held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "block_a", "block_b")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist(), batch.num_rows]
-            for start, stop in zip(edges[:-1], edges[1:], strict=True):
-                piece, mark = batch.slice(start, stop - start), tuple(keys[:, start])
-                if held and held[0] != mark:
-                    yield from pairs(pa.Table.from_batches(held[1]))
-                    held = []
-                held = [mark, [*(held[1] if held else []), piece]]
-        if held:
-            yield from pairs(pa.Table.from_batches(held[1]))
-    return run
+    return _by_block_pair(pairs)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,16 +288,21 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
               .withColumn("comp", F.coalesce("component", "rep")).drop("node", "component"))
     mixed = (placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
              .where("low <> high").select("key"))
-    late = (placed.join(mixed, "key", "left_semi").join(sizes, "rep").join(sets, "rep")
+    pair = ["key", "block_a", "block_b"]
+    late = (placed.join(mixed, "key", "left_semi").join(sizes, "rep")
             .withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
             .withColumn("side", F.pmod(F.xxhash64("rep"), "blocks"))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             .select("key", F.least("side", "other").alias("block_a"), F.greatest("side", "other").alias("block_b"),
-                    "side", "rep", "comp", "n_shingles", "sketch", "hashes"))
-    late = (late.repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b")
+                    "side", "rep", "comp", "n_shingles", "sketch"))
+    late = late.repartition(*pair).sortWithinPartitions(*pair)
+    # sets are many times a sketch, so they are fetched for what the sketches leave
+    hoping, hoping_path = scratch.placed(late.mapInArrow(_with_hope(percent), late.schema), "hoping")
+    scratch.release(classes.sparkSession)
+    late = (hoping.join(sets, "rep").select(*late.columns, "hashes").repartition(*pair).sortWithinPartitions(*pair)
             .mapInArrow(_bucket_links(percent), "a long, b long"))
     late = scratch.table(late.distinct(), "late")
-    for path in (members_path, sets_path):
+    for path in (members_path, sets_path, hoping_path):
         scratch.remove(classes.sparkSession, path)
     return found.union(late)
 
@@ -285,14 +318,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Other columns of ``docs``, whatever their names, are not looked at.
     """
     docs = docs.select("doc_id", "text")
-    rows = scratch.table(sketched(docs), "sketches")
+    rows, rows_path = scratch.placed(sketched(docs), "sketches")
     known = rows.where("digest is not null and doc_id is not null")
     classes = scratch.table(
         known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                                     F.first("sketch").alias("sketch")), "classes")
     # a document without words shares its doc_id with no class; one with several rows may have several classes
-    member = rows.select("doc_id", "n_shingles", "digest").join(
-        classes.select("digest", "rep"), "digest", "left")
+    member = scratch.table(rows.select("doc_id", "n_shingles", "digest").join(
+        classes.select("digest", "rep"), "digest", "left"), "judged")
+    scratch.remove(docs.sparkSession, rows_path)  # classes have the sketches
+    known = member.where("digest is not null and doc_id is not null")
     several = known.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("doc_id")
     edges = links(classes, docs, percent)
     if not several.isEmpty():
