@@ -103,6 +103,19 @@ def test_every_canonical_link_and_redirect_of_a_page_counts(spark):
     assert found == {**dict.fromkeys(range(1, 8), "block"), 8: "allow", 9: "allow"}
 
 
+def test_only_attributes_of_the_page_itself_name_urls(spark):
+    rows = [(1, "http://a.com/", '<link rel="canonical" data-href="http://b.net/q" href="http://c.com/z">'),
+            (2, "http://d.com/", '<link data-rel="canonical" rel="stylesheet" href="http://b.net/q">'),
+            (3, "http://e.com/", '<!-- <link rel="canonical" href="http://b.net/q"> -->'),
+            (4, "http://f.com/", """<script>x = '<link rel="canonical" href="http://b.net/q">'</script>"""),
+            (5, "http://g.com/", '<!-- x --><link href="http://b.net/q"rel="canonical"><!-- y -->'),
+            (6, "http://h.com/", '<meta data-content="0;url=http://b.net/q" http-equiv=refresh content="0; url=/z">')]
+    edges = {(r.a, r.b) for r in urls.aliases(web(spark, rows)).collect()}
+    assert edges == {("a.com/", "c.com/z"), ("g.com/", "b.net/q"), ("h.com/", "h.com/z")}
+    found = {r.page_id: r.verdict for r in urls.verdicts(web(spark, rows)).collect()}
+    assert found == {**dict.fromkeys([1, 2, 3, 4, 6], "allow"), 5: "block"}
+
+
 def duck(tables, sql):
     connection = duckdb.connect()
     for name, frame in tables.items():

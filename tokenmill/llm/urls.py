@@ -20,12 +20,14 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: what is no tag of the page; attributes start after white space, a quote or a slash
+_HIDDEN = r"""(?is)<!--.*?-->|<script\b.*?</script\s*>"""
 _LINK = r"""(?is)<link\b[^>]*>"""
 _META = r"""(?is)<meta\b[^>]*>"""
-_CANONICAL = r"""(?is)\brel\s*=\s*["']?\s*([^"'>]*\s)?canonical[\s"'>/]"""
-_REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh[\s"'>/]"""
-_HREF = r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*['"]?\s*([^"'>\s]+)"""
+_CANONICAL = r"""(?is)(?<=[\s"'/])rel\s*=\s*["']?\s*([^"'>]*\s)?canonical[\s"'>/]"""
+_REFRESH = r"""(?is)(?<=[\s"'/])http-equiv\s*=\s*["']?\s*refresh[\s"'>/]"""
+_HREF = r"""(?is)(?<=[\s"'/])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_TARGET = r"""(?is)(?<=[\s"'/])content\s*=\s*["']?[^"'>]*?\burl\s*=\s*['"]?\s*([^"'>\s]+)"""
 
 #: names of character references
 _ENTITIES = (("amp", "&"), ("AMP", "&"), ("lt", "<"), ("LT", "<"), ("gt", ">"), ("GT", ">"),
@@ -94,7 +96,9 @@ def decoded(text: Column) -> Column:
 
 
 def named_urls(html: Column) -> Column:
-    """What the canonical links and the redirect tags of a page point to."""
+    """What the canonical links and the redirect tags of a page point to; those in comments
+    and scripts are none."""
+    html = F.regexp_replace(html, _HIDDEN, " ")
     link = F.filter(F.regexp_extract_all(html, F.lit(_LINK), 0), lambda tag: tag.rlike(_CANONICAL))
     meta = F.filter(F.regexp_extract_all(html, F.lit(_META), 0), lambda tag: tag.rlike(_REFRESH))
     href = F.transform(link, lambda tag: _unquoted(F.regexp_extract(tag, _HREF, 1)))
