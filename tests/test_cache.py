@@ -141,3 +141,14 @@ def test_stream_in_several_micro_batches_beside_a_batch_job(spark, tokenizer, tr
     (tree / "d.txt").write_text("mat\nmat\nmat\nmat")
     assert run() == [1, 2, 3, 4] == run()
     assert len(log.batches(spark, path)) >= 4
+
+
+@pytest.mark.parametrize("big_file_chars", [1 << 24, 1])
+def test_files_with_equal_keys_are_refused(spark, files, tokenizer, tmp_path, big_file_chars):
+    twice = files({"a": "one\ntwo"}).union(files({"a": "three\nfour"}))
+    made = segments.examples(twice, tokenizer, big_file_chars=big_file_chars)
+    with pytest.raises(ValueError, match="key a"):
+        cache.add(twice, made, str(tmp_path / "cache"), "b")
+    assert not log.batches(spark, str(tmp_path / "cache"))
+    with pytest.raises(ValueError, match="key a"):
+        corpus.tokenize_and_cache(twice, tokenizer, str(tmp_path / "cache"))

@@ -113,6 +113,37 @@ def test_padding_in_one_shuffle_gives_the_same(examples, size):
         assert rows(batch.shuffled_padded(examples, size, 9, 3, epoch)) == rows(two_steps)
 
 
+@pytest.mark.parametrize("size", [1, 7, 128, 5000])
+@pytest.mark.parametrize("bits", [1, 20])
+def test_ordered_padding_in_one_shuffle_gives_the_same(examples, monkeypatch, size, bits):
+    monkeypatch.setattr(index, "BLOCK_BITS", bits)
+
+    def rows(padded):
+        return sorted((r.batch_id, r.row_in_batch, r.file_key, r.example_id, tuple(r.ids), tuple(r.attention_mask))
+                      for r in padded.collect())
+
+    assert rows(batch.ordered_padded(examples, size, 9, 3)) == rows(batch.pad_batch(batch.ordered(examples, size, 3), 9))
+
+
+def test_ordered_padding_moves_the_rows_once(spark, examples, capsys, tmp_path):
+    def moved(rows):
+        rows.explain("formatted")
+        nodes = capsys.readouterr().out.split("\n\n")
+        return sum(1 for n in nodes if ") Exchange" in n.split("\n")[0] and "ids#" in n)
+
+    stored = cache.read(spark, cache.write(examples, str(tmp_path / "cache")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for rows too many to broadcast
+    try:
+        assert moved(batch.ordered_padded(stored, 16, 9)) == 1
+        assert moved(batch.pad_batch(batch.ordered(stored, 16), 9)) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ordered_padding_of_no_rows(examples):
+    assert batch.ordered_padded(examples.limit(0), 16, 9).count() == 0
+
+
 def test_padding_in_one_shuffle_with_few_buckets(examples, monkeypatch):
     from tokenmill.functions import draws
     monkeypatch.setattr(draws, "BUCKET_BITS", 2)
@@ -215,3 +246,11 @@ def test_overflow_examples_can_be_indexed(files, tokenizer):
     block = F.shiftright("example_id", encode.CHUNK_BITS + index.BLOCK_BITS)
     found = index.file_order(rows, block=block).sort("global_idx").collect()
     assert [r.global_idx for r in found] == list(range(4 * 3 * 3))
+
+
+def test_raw_lines_without_a_length_are_whole(spark, files, tokenizer):
+    rows = files({"a": "x " * 9000 + "\n\ny"})
+    made = training.line_loader(rows, tokenizer, None, batch_size=4, shuffle=False, mlm=False).collect()
+    cut = training.line_loader(rows, tokenizer, 16, batch_size=4, shuffle=False, mlm=False).collect()
+    assert sorted(sum(r.attention_mask) for r in made) == [2, 3, 9002] and {len(r.inputs) for r in made} == {9002}
+    assert sorted(sum(r.attention_mask) for r in cut) == [2, 3, 16]

@@ -54,6 +54,30 @@ def ordered(examples: DataFrame, batch_size: int = 128, seed: int = 0) -> DataFr
     return _numbered(index.file_order(examples, seed), batch_size)
 
 
+def ordered_padded(examples: DataFrame, batch_size: int = 128, pad_id: int = 0, seed: int = 0) -> DataFrame:
+    """:func:`ordered` then :func:`pad_batch`, moving the rows through one shuffle instead of
+    two. ``n_tokens`` must be the length of ``ids``, as it is in the cache.
+
+    The rows are grouped by run, and a batch inside one run is padded there. Only the first
+    and last batch of a run may have rows of other runs; their widths come from a pass over
+    the keys and are joined back by run, by which the rows are grouped already.
+    """
+    sizes = examples.select("file_key", "example_id", "n_tokens")
+    keys = sizes.withColumn("block", F.shiftright("example_id", index.BLOCK_BITS))
+    widths = _numbered(index.in_runs(sizes, seed), batch_size).groupBy("batch_id").agg(
+        F.max("n_tokens").alias("edge_width"))
+    ends = F.array_distinct(F.array(*(F.floor(at / batch_size) for at in (F.col("start"), F.col("start") + F.col("n") - 1))))
+    edges = (index.runs(keys, seed).select("file_key", "block", F.explode(ends).alias("batch_id")).join(widths, "batch_id")
+             .groupBy("file_key", "block").agg(F.map_from_entries(F.collect_list(F.struct("batch_id", "edge_width")))
+                                               .alias("edges")))
+    rows = _numbered(index.in_runs(examples, seed), batch_size)
+    inside = rows.withColumn("inside_width", F.max("n_tokens").over(Window.partitionBy("file_key", "block", "batch_id")))
+    wide = (inside.join(edges, ["file_key", "block"])
+            .withColumn("width", F.coalesce(F.try_element_at("edges", F.col("batch_id")), "inside_width"))
+            .drop("edges", "inside_width", "block"))
+    return _fill(wide, pad_id)
+
+
 def _fill(rows: DataFrame, pad_id: int) -> DataFrame:
     width = F.col("width")
     return rows.withColumns({

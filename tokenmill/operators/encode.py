@@ -147,8 +147,11 @@ def encoded(texts: str, tokenizer: Tokenizer) -> Column:
     return encode_texts(F.col(texts), F.size(texts))
 
 
-def windows(pieces: Column, max_length: int, use_overflow: bool, tokenizer: Tokenizer) -> Column:
-    """Framed id arrays of one text: its first window, or all of them with overflow."""
+def windows(pieces: Column, max_length: int | None, use_overflow: bool, tokenizer: Tokenizer) -> Column:
+    """Framed id arrays of one text: its first window, or all of them with overflow; without a
+    length the whole text is one."""
+    if max_length is None:
+        return F.array(ar.framed(pieces, tokenizer.cls_id, tokenizer.sep_id))
     room = max_length - 2
     if room < 1:
         raise ValueError("max_length must leave room for a piece between the specials")

@@ -33,14 +33,9 @@ def _running(column: str, partition: list[str], *order: str) -> Column:
     return F.coalesce(F.sum(column).over(before), F.lit(0))
 
 
-def file_order(examples: DataFrame, seed: int = 0, block: Column | None = None) -> DataFrame:
-    """Add ``global_idx``: files in a seeded order, the rows of a file by example_id.
-
-    ``block`` cuts a file into runs of consecutive rows (by default of 2**20
-    example numbers), so a file of any length is ranked in pieces.
-    """
-    block = F.shiftright("example_id", BLOCK_BITS) if block is None else block
-    rows = examples.withColumn("block", block)
+def runs(rows: DataFrame, seed: int) -> DataFrame:
+    """(file_key, block, start, n) of rows carrying the ``block`` of their file: where each run
+    of a file starts in the seeded order of the files, and its rows."""
     blocks = rows.groupBy("file_key", "block").agg(F.count("*").alias("n"))
     order = draws.order_draw(draws.row_key(seed, "file_key"), F.lit(draws.FILE_ORDER))
     placed = blocks.withColumn("place", order).withColumn("bucket", draws.bucket_of(F.col("place")))
@@ -54,14 +49,28 @@ def file_order(examples: DataFrame, seed: int = 0, block: Column | None = None)
     group_starts = (groups.join(F.broadcast(bucket_start), "bucket")
                     .withColumn("first", F.col("base") + _running("n", ["bucket"], "place", "file_key", "group"))
                     .select("file_key", "group", "first"))
-    starts = (placed.join(group_starts, ["file_key", "group"])
-              .withColumn("start", F.col("first") + _running("n", ["file_key", "group"], "block"))
-              .select("file_key", "block", "start"))
+    return (placed.join(group_starts, ["file_key", "group"])
+            .withColumn("start", F.col("first") + _running("n", ["file_key", "group"], "block"))
+            .select("file_key", "block", "start", "n"))
+
+
+def in_runs(examples: DataFrame, seed: int = 0, block: Column | None = None) -> DataFrame:
+    """:func:`file_order` that keeps ``block``; the rows stay grouped by file and block."""
+    block = F.shiftright("example_id", BLOCK_BITS) if block is None else block
+    rows = examples.withColumn("block", block)
     inside = Window.partitionBy("file_key", "block").orderBy("example_id")
     return (rows.withColumn("rank", F.row_number().over(inside) - 1)
-            .join(starts, ["file_key", "block"])
-            .withColumn("global_idx", F.col("start") + F.col("rank"))
-            .drop("block", "rank", "start"))
+            .join(runs(rows, seed).drop("n"), ["file_key", "block"])
+            .withColumn("global_idx", F.col("start") + F.col("rank")).drop("rank", "start"))
+
+
+def file_order(examples: DataFrame, seed: int = 0, block: Column | None = None) -> DataFrame:
+    """Add ``global_idx``: files in a seeded order, the rows of a file by example_id.
+
+    ``block`` cuts a file into runs of consecutive rows (by default of 2**20
+    example numbers), so a file of any length is ranked in pieces.
+    """
+    return in_runs(examples, seed, block).drop("block")
 
 
 def in_buckets(examples: DataFrame, seed: int, epoch: int) -> DataFrame:

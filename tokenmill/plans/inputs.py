@@ -18,9 +18,6 @@ from tokenmill.sources import cache, files, scratch
 #: settings shared by the registered queries and their SQL
 SEED, MAX_LENGTH, N_WORDS, BATCH_SIZE, MLM_PROB = 7, 64, 2000, 128, 0.15
 
-#: length of raw-line examples, which have no overflow: longer than any line
-LINE_LENGTH = 4096
-
 
 
 def _word_lengths() -> encode.Encoder:

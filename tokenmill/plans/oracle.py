@@ -8,7 +8,7 @@ the same XXH64 and MD5 hashes, spelled out in 128-bit arithmetic.
 import re
 
 from tokenmill.functions import draws
-from tokenmill.plans.inputs import BATCH_SIZE, K, LINE_LENGTH, MAX_LENGTH, N_WORDS, SEED
+from tokenmill.plans.inputs import BATCH_SIZE, K, MAX_LENGTH, N_WORDS, SEED
 
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -173,7 +173,7 @@ FROM (SELECT *, unnest(range(greatest((len(pieces) + {room - 1}) // {room}, 1)))
 cte("segs", first_window("pieces", MAX_LENGTH))
 cte("segs_512", all_windows("pieces", 512))
 cte("segs_sentences", all_windows("two_pieces", MAX_LENGTH))
-cte("segs_turns", first_window("turn_pieces", LINE_LENGTH))
+cte("segs_turns", "SELECT file_key, text_no AS seg_id, [2] || pieces || [3] AS ids FROM turn_pieces")
 cte("segs_overflow", all_windows("pieces", MAX_LENGTH))
 
 cte("own_pieces", """
@@ -496,6 +496,11 @@ SELECT batch_id, row_in_batch, file_key, example_id, seg_a_id, seg_b_id, {paddin
        n_tokens::INTEGER AS n_tokens
 FROM (SELECT e.*, b.batch_id, b.row_in_batch, max(n_tokens) OVER (PARTITION BY b.batch_id) AS width
       FROM examples e JOIN shuffled b USING (file_key, example_id))""",
+    "ordered_batches_padded": f"""
+SELECT batch_id, row_in_batch, file_key, example_id, seg_a_id, seg_b_id, {padding('width')}, n_tokens::INTEGER AS n_tokens
+FROM (SELECT *, max(n_tokens) OVER (PARTITION BY batch_id) AS width
+      FROM (SELECT e.*, global_idx // {BATCH_SIZE} AS batch_id, (global_idx % {BATCH_SIZE})::INTEGER AS row_in_batch
+            FROM examples e JOIN in_order USING (file_key, example_id)))""",
     "mlm_select": by_example("mask", selected="selected::INTEGER"),
     "mlm_labels": by_example("mask", labels=LABEL),
     "mlm_mask": by_example("mask", inputs=REPLACED, labels=LABEL),

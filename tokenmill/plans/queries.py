@@ -9,7 +9,7 @@ from tokenmill.functions.arrays import as_text, bits
 from tokenmill.operators import (batch, encode, index, lines, masking, metrics, scores, split,
                                  stats, vocab)
 from tokenmill.plans import corpus, evaluation, training
-from tokenmill.plans.inputs import (BATCH_SIZE, LINE_LENGTH, MAX_LENGTH, MLM_PROB, N_WORDS, SEED,
+from tokenmill.plans.inputs import (BATCH_SIZE, MAX_LENGTH, MLM_PROB, N_WORDS, SEED,
                                     WORD_LENGTHS, Inputs)
 from tokenmill.sources import cache, files
 from tokenmill.streaming import tokenize as stream
@@ -270,6 +270,12 @@ def ordered_batches(t: Inputs) -> DataFrame:
     return batch.ordered(t.cached().select(*KEYS), BATCH_SIZE, SEED).select(*BATCH, *KEYS)
 
 
+@query
+def ordered_batches_padded(t: Inputs) -> DataFrame:
+    padded = batch.ordered_padded(t.cached(), BATCH_SIZE, t.tokenizer.pad_id, SEED)
+    return _exported(padded, *BATCH)
+
+
 @query
 def pad_file(t: Inputs) -> DataFrame:
     return _exported(batch.pad_file(t.cached(), t.tokenizer.pad_id))
@@ -329,7 +335,7 @@ def batch_collate(t: Inputs) -> DataFrame:
 
 @query
 def line_collate(t: Inputs) -> DataFrame:
-    return _batches(training.line_loader(t.conversations, t.tokenizer, LINE_LENGTH,
+    return _batches(training.line_loader(t.conversations, t.tokenizer, None,
                                          batch_size=BATCH_SIZE, shuffle=False, mlm_prob=MLM_PROB, seed=SEED))
 
 

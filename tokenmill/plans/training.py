@@ -14,7 +14,7 @@ def loader(examples: DataFrame, tokenizer: Tokenizer, batch_size=128, shuffle=Tr
     if shuffle:
         padded = batch.shuffled_padded(examples, batch_size, tokenizer.pad_id, seed, epoch)
     else:
-        padded = batch.pad_batch(batch.ordered(examples, batch_size, seed), tokenizer.pad_id)
+        padded = batch.ordered_padded(examples, batch_size, tokenizer.pad_id, seed)
     return _collated(padded, tokenizer, mlm, mlm_prob, rand_replace, seed, epoch)
 
 
@@ -34,11 +34,12 @@ def line_examples(files: DataFrame, tokenizer: Tokenizer, max_length=512) -> Dat
         "token_type_ids", F.lit(None).cast("array<tinyint>"))
 
 
-def line_loader(files: DataFrame, tokenizer: Tokenizer, max_length=512, batch_size=128, shuffle=True, mlm=True,
+def line_loader(files: DataFrame, tokenizer: Tokenizer, max_length: int | None = 512, batch_size=128, shuffle=True, mlm=True,
                 mlm_prob=0.15, rand_replace=True, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Batches encoded straight from raw lines.
 
-    A line is one example whatever it encodes to, so the lines are numbered and dealt to
+    A line is one example whatever it encodes to, cut at ``max_length`` tokens unless that is
+    None, so the lines are numbered and dealt to
     batches as text, and each is encoded once, in its batch.
     """
     rows = lines.raw_lines(files).select("file_key", F.col("row_no").cast("long").alias("example_id"), "line")

@@ -40,10 +40,13 @@ def add(files: DataFrame, examples: DataFrame, path: str, batch: str,
     """Write the ``examples`` of ``files`` as a batch of the cache and its part of the manifest,
     then commit both as a new version. ``rejects`` finds, of the keys of files without examples,
     those that could not be decoded. A batch that is part of the cache already is left as it
-    is."""
+    is. Files with equal keys are refused, as their examples could not be told apart."""
     spark, folder = files.sparkSession, f"{path}/batch={batch}"
     if batch in log.batches(spark, path):
         return
+    shared = files.groupBy("file_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
+    if shared:
+        raise ValueError(f"several files have the key {shared[0].file_key}")
     log.begin(spark, path, batch)
     examples.write.mode("overwrite").parquet(folder)
     counts = (spark.read.schema(EXAMPLES).parquet(folder).groupBy("file_key")
