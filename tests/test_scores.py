@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenmill.operators import corrupt, metrics, scores
+from tokenmill.plans import evaluation
 
 SCHEMA = "file_key string, example_id long, pos int, logits array<float>, cand array<int>, label long"
 
@@ -140,3 +141,43 @@ def test_draws_from_blocks_follow_the_softmax(spark):
     assert np.abs(shares - np.exp(logits)).max() < 0.02
     other = [r.drawn for r in scores.of_vocabulary(vocabulary_blocks(spark, rows, 2), 4).collect()]
     assert drawn != other
+
+
+def test_statistics_of_examples(spark):
+    cand = [[[4, 7, 9], [5, 6]], [], [[1, 2, 3]], [[3, 8]]]
+    logits = [[[0.5, 2.0, 2.0], [1.0, 3.0]], [], [[0.0, 0.0, 0.0]], [[1.0, 2.0]]]
+    label = [[7, 5], [], [9], [None]]  # hit and missed, without positions, not a candidate, not counted
+    rows = spark.createDataFrame(
+        [("f", i, list(range(len(c))), c, s, y) for i, (c, s, y) in enumerate(zip(cand, logits, label, strict=True))],
+        "file_key string, example_id long, pos array<int>, cand array<array<int>>, logits array<array<float>>, "
+        "label array<int>").withColumn("draw", F.transform("pos", lambda _: F.lit(2**32 - 1)))
+    found = rows.withColumn("s", scores.of_examples("logits", "label", "cand", "draw")).sort("example_id").select("s.*").collect()
+    expected = np.log(np.exp([0.5, 2, 2]).sum()) - 2 + np.log(np.exp([1, 3]).sum()) - 1
+    assert found[0].loss == pytest.approx(expected)
+    assert [(r.n_loss, r.hits, r.n_labels) for r in found] == [(2, 1, 2), (0, 0, 0), (0, 0, 1), (0, 0, 0)]
+    assert [r.drawn for r in found] == [[9, 6], [], [3], [8]]
+    index = rows.withColumn("label", F.transform("label", lambda y: F.when(y == 7, 1).when(y == 5, 0)))
+    whole = {r.example_id: r.d for r in scores.examples_judged(index, "d", "example_id").collect()}
+    assert whole[0].loss == pytest.approx(expected) and (whole[0].hits, whole[0].n_labels) == (1, 2)
+    assert (whole[2].n_labels, whole[3].n_loss, whole[1].drawn) == (0, 0, [])
+    empty = scores.examples_judged(index.limit(0), "d", "example_id")
+    assert empty.collect() == []
+
+
+def test_corruption_in_the_row_equals_that_of_a_score_table(spark):
+    rng = np.random.default_rng(3)
+    examples = []
+    for i in range(40):
+        labels = [int(x) if x >= 0 else -100 for x in rng.integers(-9, 9, 12)]
+        at = [p for p, y in enumerate(labels) if y != -100]
+        examples.append((f"f{i % 3}", i, [4] * 12, labels, at, [labels[p] for p in at],
+                         [list(range(9))] * len(at), rng.normal(size=(len(at), 9)).tolist()))
+    rows = spark.createDataFrame(
+        examples, "file_key string, example_id long, inputs array<bigint>, labels array<bigint>, pos array<int>, "
+                  "label array<int>, cand array<array<int>>, logits array<array<float>>")
+    masked = rows.select("file_key", "example_id", "inputs", "labels")
+    table = rows.select("file_key", "example_id", F.inline(F.arrays_zip("pos", "label", "cand", "logits")))
+    by_table = evaluation.corrupted(masked, table, "cand", 5)
+    in_row = evaluation.corrupted_rows(rows, "cand", 5)
+    wanted = ["file_key", "example_id", "d_inputs", "d_labels"]
+    assert sorted(in_row.select(wanted).collect()) == sorted(by_table.select(wanted).collect())

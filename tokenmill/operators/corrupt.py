@@ -1,6 +1,6 @@
 """Replaced-token detection: inputs corrupted by sampled tokens, and their labels."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions.arrays import bound
@@ -27,6 +27,11 @@ def attach(masked: DataFrame, samples: DataFrame) -> DataFrame:
     return masked.join(per_example, list(KEYS), "left")
 
 
+def sampled(positions: str, tokens: str) -> Column:
+    """``sampled`` as :func:`attach` adds it, for samples that are in the row of their example."""
+    return F.map_from_arrays(positions, tokens)
+
+
 def corrupt(attached: DataFrame) -> DataFrame:
     """Add ``d_inputs`` (the sampled token where a label is set) and ``d_labels``
     (1 where that token differs from the original)."""

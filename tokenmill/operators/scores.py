@@ -46,11 +46,9 @@ def _softmax(logits: pa.Array, sizes: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(shares))
 
 
-@F.arrow_udf(T.IntegerType())
-def _pick(logits: pa.Array, sizes: pa.Array, draw: pa.Array) -> pa.Array:
-    starts, weights, _ = _shifted_exp(logits)
-    counts, draw = sizes.to_numpy(False), draw.to_numpy(False).astype(np.uint64)
-    picked = np.zeros(len(starts), np.int32)
+def _picked(starts: np.ndarray, weights: np.ndarray, counts: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """The index in each row that its 32-bit draw falls on."""
+    draw, picked = draw.astype(np.uint64), np.zeros(len(starts), np.int32)
     for count in np.unique(counts):  # rows of one length at a time, as a table
         rows = np.flatnonzero(counts == count)
         unit = 2.0 ** (WEIGHT_BITS - int(count).bit_length())
@@ -60,7 +58,13 @@ def _pick(logits: pa.Array, sizes: pa.Array, draw: pa.Array) -> pa.Array:
         # floor(draw * total / 2**32) of 32-bit halves, so nothing leaves 64 bits
         aim = pick * (total >> np.uint64(32)) + ((pick * (total & np.uint64(0xFFFFFFFF))) >> np.uint64(32))
         picked[rows] = (running <= aim.astype(np.int64)[:, None]).sum(axis=1)
-    return pa.array(picked, pa.int32())
+    return picked
+
+
+@F.arrow_udf(T.IntegerType())
+def _pick(logits: pa.Array, sizes: pa.Array, draw: pa.Array) -> pa.Array:
+    starts, weights, _ = _shifted_exp(logits)
+    return pa.array(_picked(starts, weights, sizes.to_numpy(False), draw.to_numpy(False)), pa.int32())
 
 
 @F.arrow_udf(T.DoubleType())
@@ -72,10 +76,14 @@ def _log_loss(logits: pa.Array, sizes: pa.Array, label_at: pa.Array) -> pa.Array
     return pc.if_else(label_at.is_valid(), pa.array(loss), None)
 
 
+def named_twice(*arrays: str | None) -> Column:
+    """An argument that names further ones of a call once more: this keeps Spark from merging the
+    expressions that made them into the call, which it cannot run when these hold nested lambdas."""
+    return F.greatest(F.lit(0), *(F.size(a) for a in arrays if a))
+
+
 def _over_logits(function, *arguments) -> Column:
-    # naming the logits twice keeps Spark from merging the expression that made
-    # them into the call, which it cannot run when that holds nested lambdas
-    return function(F.col("logits"), F.size("logits"), *arguments)
+    return function(F.col("logits"), F.size("logits"), *arguments)  # see named_twice
 
 
 def softmax(scores: DataFrame) -> DataFrame:
@@ -113,6 +121,77 @@ def log_loss(scores: DataFrame, candidates: str | None = None, label: str = "lab
     return scores.withColumn("loss", _over_logits(_log_loss, index.cast("int")))
 
 
+# scores in the row of their example: arrays with one entry for each scored position, (pos INT,
+# label INT, logits ARRAY<FLOAT>) and, where only some of the vocabulary is scored, cand ARRAY<INT>
+
+_OF_EXAMPLE = T.StructType([
+    T.StructField("loss", T.DoubleType()), T.StructField("n_loss", T.LongType()), T.StructField("hits", T.LongType()),
+    T.StructField("n_labels", T.LongType()), T.StructField("drawn", T.ArrayType(T.IntegerType()))])
+
+
+def _first_of(hits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a row has one of the places ``hits``, its first one or else 0)."""
+    after = np.append(hits, np.iinfo(np.int64).max)[np.searchsorted(hits, starts)]
+    found = after < starts + sizes
+    return found, np.where(found, after, 0)
+
+
+def _statistics(logits: pa.Array, label: pa.Array, cand: pa.Array | None, draw: pa.Array | None) -> pa.Array:
+    counts = pc.list_value_length(logits).fill_null(0).to_numpy(False)
+    rows = logits.flatten()
+    starts, weights, top = _shifted_exp(rows)
+    sizes = pc.list_value_length(rows).to_numpy(False)
+    values, labels = rows.flatten().to_numpy(False).astype(np.float64), label.flatten()
+    known = labels.is_valid().to_numpy(False)
+    wanted = np.repeat(labels.fill_null(-1).to_numpy(False), sizes)
+    token = cand.flatten().flatten().to_numpy(False) if cand is not None else np.arange(len(values)) - np.repeat(starts, sizes)
+    best = token[starts + _first_at(values, top, starts, sizes)] if len(starts) else token
+    scored, own = _first_of(np.flatnonzero(token == wanted), starts, sizes)
+    scored &= known
+    loss = np.where(scored, np.log(_row_sums(weights, starts)) + top - values[own], 0.0) if len(starts) else values
+    example = np.repeat(np.arange(len(counts)), counts)
+
+    def summed(of_position):
+        return np.bincount(example, of_position, len(counts))
+
+    hit = known & (best == labels.fill_null(-1).to_numpy(False))
+    drawn = token[starts + _picked(starts, weights, sizes, draw.flatten().to_numpy(False))] if draw is not None and len(starts) \
+        else np.zeros(0, np.int32)
+    ends = np.append(0, np.cumsum(counts if draw is not None else np.zeros_like(counts)))
+    return pa.StructArray.from_arrays(
+        [pa.array(summed(loss).astype(np.float64)), *(pa.array(summed(n).astype(np.int64)) for n in (scored, hit, known)),
+         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(drawn, pa.int32()))], _OF_EXAMPLE.names)
+
+
+def of_examples(logits: str, label: str, cand: str | None = None, draw: str | None = None) -> Column:
+    """What an epoch's metrics need of an example's scores, in one Arrow call: the sum of the
+    losses and their number, the labels that the highest logit hits and the number of labels,
+    and with ``draw``, an array of 32-bit draws, the sampled tokens in order of the positions.
+
+    A NULL label is not counted; one that is not scored has no loss and is missed. The first of
+    equal logits is the highest. An example without scored positions has zeros.
+    """
+    named, drawing = cand is not None, draw is not None
+
+    def run(logits: pa.Array, label: pa.Array, cand: pa.Array, draw: pa.Array, _: pa.Array) -> pa.Array:
+        return _statistics(logits, label, cand if named else None, draw if drawing else None)
+
+    return F.arrow_udf(run, _OF_EXAMPLE)(logits, label, cand or F.array().cast("array<array<int>>"),
+                                         draw or F.array().cast("array<bigint>"), named_twice(label, draw))
+
+
+def examples_judged(rows: DataFrame, name: str, *keep: str) -> DataFrame:
+    """The columns ``keep``, and ``name`` with the statistics of :func:`of_examples` for scores of all
+    labels (label, logits); only these columns go through Python."""
+    def run(batches):
+        for batch in batches:
+            judged = _statistics(batch.column("logits"), batch.column("label"), None, None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), judged], [*keep, name])
+
+    schema = T.StructType([rows.schema[k] for k in keep] + [T.StructField(name, _OF_EXAMPLE)])
+    return rows.select(*keep, "label", "logits").mapInArrow(run, schema)
+
+
 # scores of a whole vocabulary in blocks: (…keys, pos, label, first INT, logits ARRAY<FLOAT>), the
 # logits being those of the tokens from ``first`` on, so that no row holds a vocabulary
 

@@ -6,13 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenmill.functions import draws
 from tokenmill.functions.arrays import bound
-from tokenmill.operators import batch, corrupt, encode, masking, segments, vocab
+from tokenmill.operators import batch, corrupt, encode, masking, scores, segments, vocab
 from tokenmill.operators.encode import list_encoder
-from tokenmill.operators.rows import numbered
+from tokenmill.operators.rows import inlined, numbered
 from tokenmill.plans import evaluation
+from tokenmill.schema import IGNORE
 from tokenmill.sources import cache, files, scratch
 
 #: settings shared by the registered queries and their SQL
@@ -105,23 +107,58 @@ class Inputs:
         """The same, written once, because generator, samples and discriminator all read it."""
         return scratch.table(self.masked_batches(), "masked")
 
-    def generator_scores(self, masked: DataFrame) -> DataFrame:
-        """Stand-in for a generator's output: K candidates per labelled position,
-        the label and the commonest words, the label's logit raised."""
+    def generator_rows(self, masked: DataFrame) -> DataFrame:
+        """Stand-in for a generator's output, in the rows of the examples: K candidates per
+        labelled position, the label and the commonest words, the label's logit raised."""
         first_word = self.tokenizer.vocab_size - N_WORDS
-        commonest = F.array(*[F.lit(first_word + i) for i in range(K)])
-        label = F.col("label").cast("int")
-        others = F.slice(F.array_remove(commonest, label), 1, K - 1)
-        noise = draws.draw(masking.example_key(SEED, draws.SCORE), F.col("pos"))
 
+        def made(label: pa.Array, noise: pa.Array, _: pa.Array) -> pa.Array:
+            own = label.flatten().to_numpy(False).astype(np.int64)[:, None]
+            cand = np.tile(first_word + np.arange(K), (len(own), 1))
+            other = ~((own >= first_word) & (own < first_word + K))[:, 0]
+            cand[other, -1] = own[other, 0]
+            cand.sort(axis=1)
+            value = (noise.flatten().to_numpy(False)[:, None] + cand * 7919) % 60000 / 10000.0 + 2.0 * (cand == own)
+            ends = pa.array(np.append(0, np.cumsum(label.value_lengths().to_numpy(False))), pa.int32())
+            inner = pa.array(np.arange(len(own) + 1) * K, pa.int32())
+            return pa.StructArray.from_arrays(
+                [pa.ListArray.from_arrays(ends, pa.ListArray.from_arrays(inner, pa.array(x.ravel())))
+                 for x in (cand.astype(np.int32), value.astype(np.float32))], ["cand", "logits"])
+
+        set_at = F.transform("labels", lambda label, pos: F.when(label != IGNORE, pos))
+        key = masking.example_key(SEED, draws.SCORE)
+        rows = (masked.withColumn("pos", F.array_compact(set_at))
+                .withColumn("label", F.filter("labels", lambda label: label != IGNORE).cast("array<int>"))
+                .withColumn("noise", bound(key, lambda k: F.transform("pos", lambda p: draws.draw(k, p)))))
+        scored = F.arrow_udf(made, "cand array<array<int>>, logits array<array<float>>")(
+            "label", "noise", scores.named_twice("label", "noise"))
+        return rows.withColumn("s", scored).withColumns({"cand": F.col("s.cand"), "logits": F.col("s.logits")}).drop("s", "noise")
 
-        def logits(n):
-            return F.transform("cand", lambda c: (
-                (n + c * 7919) % 60000 / 10000.0 + F.when(c == label, 2.0).otherwise(0.0)).cast("float"))
-
-        return (corrupt.positions(masked)
-                .withColumn("cand", F.sort_array(F.concat(F.array(label), others)))
-                .withColumn("logits", bound(noise, logits)))
+    def generator_scores(self, masked: DataFrame) -> DataFrame:
+        """The same as a table of scores, a row for each position."""
+        keys = [c for c in ("batch_id", "file_key", "example_id") if c in masked.columns]
+        return inlined(self.generator_rows(masked), keys, F.arrays_zip("pos", "label", "cand", "logits"), "pos")
+
+    def discriminator_rows(self, corrupted: DataFrame) -> DataFrame:
+        """(batch_id, g, label, logits): a stand-in for a discriminator's output, in the rows of
+        the examples: two logits per position; positions that are not attended have no label."""
+        def made(batches):
+            for batch in batches:
+                noise = batch.column("noise")
+                n = noise.flatten().to_numpy(False)
+                value = np.stack([n // 65536 % 40000 / 10000.0, n % 40000 / 10000.0 - 1.0], axis=1).astype(np.float32)
+                ends = pa.array(np.append(0, np.cumsum(noise.value_lengths().to_numpy(False))), pa.int32())
+                inner = pa.array(np.arange(len(n) + 1) * 2, pa.int32())
+                logits = pa.ListArray.from_arrays(ends, pa.ListArray.from_arrays(inner, pa.array(value.ravel())))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), logits], [*kept, "logits"])
+
+        kept = ["batch_id", "g", "label"]
+        key = masking.example_key(SEED, draws.SCORE, 1)
+        label = F.zip_with("d_labels", "attention_mask", lambda label, on: F.when(on, label)).cast("array<int>")
+        noise = bound(key, lambda k: F.transform("attention_mask", lambda _, p: draws.draw(k, p)))
+        rows = corrupted.select("batch_id", "g", label.alias("label"), noise.alias("noise"))
+        schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("logits", T.ArrayType(T.ArrayType(T.FloatType())))])
+        return rows.mapInArrow(made, schema)
 
     def discriminator_scores(self, corrupted: DataFrame) -> DataFrame:
         """Stand-in for a discriminator's output: two logits per position."""
@@ -138,8 +175,8 @@ class Inputs:
 
     def corrupted(self, batches: bool = True) -> DataFrame:
         """The corrupted examples, with the number of their batch if ``batches``."""
-        masked = self._masked_batches_kept if batches else self.mlm(self.cached(), rand_replace=False)
-        return evaluation.corrupted(masked, self.generator_scores(masked), "cand", SEED)
+        masked = self.masked_batches() if batches else self.mlm(self.cached(), rand_replace=False)
+        return evaluation.corrupted_rows(self.generator_rows(masked), "cand", SEED)
 
     def dense_scores(self, block: int = DENSE_BLOCK) -> DataFrame:
         """A stand-in score of every token of the vocabulary for every labelled position, in

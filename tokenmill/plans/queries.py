@@ -452,8 +452,8 @@ def combined_loss(t: Inputs) -> DataFrame:
 
 @query
 def epoch_metrics(t: Inputs) -> DataFrame:
-    row = evaluation.epoch_metrics(evaluation.generator_metrics(_g_scores(t), "cand"),
-                                   evaluation.discriminator_metrics(_d_scores(t)))
+    judged = scores.examples_judged(t.discriminator_rows(t.corrupted()), "d", "batch_id", "g")
+    row = evaluation.epoch_of_statistics(judged)
     return _rounded(row, "loss", "g_loss", "d_loss", "g_acc", "d_acc", "perplexity")
 
 
