@@ -8,6 +8,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -318,3 +319,16 @@ def test_every_operator_is_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
+
+
+def test_no_table_of_the_search_is_broadcast(spark):
+    """Files are small next to the rows that codes explode to, so a broadcast grew past the driver."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(40, 8))
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate(np.concatenate([vectors, vectors + 1e-4]))]
+    classes = spark.createDataFrame(rows, "class long, label long, embedding array<double>").withColumn("size", F.lit(8))
+    found = hamming.links(classes)
+    assert {(r.a, r.b) for r in found.collect()} >= {(i, i + 40) for i in range(40)}
+    embeddings = classes.select(F.col("class").alias("vec_id"), "label", "embedding")
+    for frame in (found, hamming.near_duplicates(embeddings)):
+        assert "Broadcast" not in frame._jdf.queryExecution().sparkPlan().toString()

@@ -136,6 +136,13 @@ def _close(cosine: float):
     return run
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides. Spark guesses a table's size from its compressed files,
+    with one element for each array and one row for each that is exploded, so it would collect
+    tables on the driver that are many times what a broadcast may be."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def candidates(coded: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) of classes, each once, whose substrings in some table differ in at most
     one bit and whose codes are within reach of either: b looks into the buckets next to its own."""
@@ -150,7 +157,7 @@ def candidates(coded: DataFrame, plan: Plan) -> DataFrame:
     # a pair that an earlier table has found is not found again
     first = reduce(lambda so_far, i: F.when(distance[i] <= 1, F.lit(i)).otherwise(so_far),
                    reversed(range(plan.tables)), F.lit(-1))
-    return (stored.join(asking, ["label", "size", "table", "key"])
+    return (_met(stored, asking, ["label", "size", "table", "key"])
             .where((F.col("a") < F.col("b")) & (F.col("table") == first)
                    & (sum(distance[1:], distance[0]) <= F.greatest("reach_a", "reach_b")))
             .select("a", "b"))
@@ -174,9 +181,9 @@ def links(classes: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, miss
     projections = learned(unit, mean, plan.width * plan.tables)
     coded = scratch.table(classes.select("class", "label", "size", "embedding").mapInArrow(
         _codes(mean, projections, plan, cosine), "class long, label long, size int, reach int, code array<long>"), "codes")
-    pairs = (candidates(coded, plan)
-             .join(classes.select(F.col("class").alias("a"), F.col("embedding").alias("vector_a")), "a")
-             .join(classes.select(F.col("class").alias("b"), F.col("embedding").alias("vector_b")), "b"))
+    first = classes.select(F.col("class").alias("a"), F.col("embedding").alias("vector_a"))
+    second = classes.select(F.col("class").alias("b"), F.col("embedding").alias("vector_b"))
+    pairs = _met(_met(candidates(coded, plan), first, "a"), second, "b")
     return pairs.select("a", "b", "vector_a", "vector_b").mapInArrow(_close(cosine), "a long, b long")
 
 
@@ -203,16 +210,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, **options) ->
     found = scratch.table(links(classes, cosine, **options), "links")
     copies = classes.select(F.col("class").alias("b"), "copies")
     both = found.union(found.select("b", "a"))
-    degree = both.join(copies, "b").groupBy(F.col("a").alias("class")).agg(F.sum("copies").alias("others"))
-    members = (classes.join(connected(found), F.col("class") == F.col("node"), "left")
+    degree = _met(both, copies, "b").groupBy(F.col("a").alias("class")).agg(F.sum("copies").alias("others"))
+    members = (_met(classes, connected(found).withColumnRenamed("node", "class"), "class", "left")
                .select("class", "least", F.coalesce("component", "class").alias("component")))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    judged = (classes.select("class", "label", "embedding", "copies")
-              .join(members.join(least, "component").select("class", "component_id"), "class")
-              .join(degree, "class", "left")
+    named = _met(classes.select("class", "label", "embedding", "copies"),
+                 _met(members, least, "component").select("class", "component_id"), "class")
+    judged = (_met(named, degree, "class", "left")
               .select("label", "embedding", "component_id",
                       (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
-    linked = known.join(judged, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    linked = _met(known, judged, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                        F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn(
