@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF_DIR
 from tokenmill.operators import corrupt, metrics, scores
 from tokenmill.plans import evaluation
+from tokenmill.plans.inputs import Inputs
+from tokenmill.plans.queries import registered
 
 SCHEMA = "file_key string, example_id long, pos int, logits array<float>, cand array<int>, label long"
 
@@ -181,3 +184,41 @@ def test_corruption_in_the_row_equals_that_of_a_score_table(spark):
     in_row = evaluation.corrupted_rows(rows, "cand", 5)
     wanted = ["file_key", "example_id", "d_inputs", "d_labels"]
     assert sorted(in_row.select(wanted).collect()) == sorted(by_table.select(wanted).collect())
+
+
+def test_scores_that_the_task_makes_equal_those_of_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    size, tables = 50, (rng.standard_normal((7, 50)) * 4).round(1).astype(np.float32)
+    tables[6] = -1e30
+    tables[6, 49] = 1e30
+    labels = [None if i == 5 else 77 if i == 6 else int(rng.integers(size)) for i in range(60)]
+    positions = spark.createDataFrame([("f", i // 20, i % 20, y, i % 7) for i, y in enumerate(labels)],
+                                      "file_key string, example_id long, pos int, label int, kind long").repartition(3)
+    blocks = [(i // 20, i % 20, y, tables[i % 7].tolist()) for i, y in enumerate(labels)]
+    expected = {(r.example_id, r.pos): r for r in scores.of_vocabulary(vocabulary_blocks(spark, blocks, 50), 5).collect()}
+    for block, held in ((1, 1 << 17), (7, 40), (50, 1), (99, 1 << 17)):
+        monkeypatch.setattr(scores, "HELD", held)
+        made = scores.of_model(positions, lambda first, count, kind: tables[kind, first:first + count], ["kind"], size, block, 5)
+        found = made.collect()
+        assert len(found) == len(labels)
+        for r in found:
+            e = expected[r.example_id, r.pos]
+            assert (r.label, r.best, r.drawn) == (e.label, e.best, e.drawn)
+            assert r.log_total == pytest.approx(e.log_total, rel=1e-12)
+            assert r.label_prob == (None if e.label_prob is None else pytest.approx(e.label_prob, rel=1e-9))
+        drawn = scores.of_model(positions, lambda first, count, kind: tables[kind, first:first + count], ["kind"], size, block, 5,
+                                find=("drawn",))
+        assert {(r.example_id, r.pos): r.drawn for r in drawn.collect()} == {k: r.drawn for k, r in expected.items()}
+    assert scores.of_model(positions.limit(0), lambda first, count, kind: tables[kind, first:first + count], ["kind"], size, 7).collect() == []
+
+
+def test_dense_queries_score_in_the_task(spark):
+    """No logits between tasks: exploded blocks and their groups grew with vocabulary times positions."""
+    inputs = Inputs.of(spark, SF_DIR)
+    table = scores.of_vocabulary(inputs.dense_scores(300).where("example_id = 0"), 7)
+    rows = inputs.dense_found(*scores.FOUND).where("example_id = 0")
+    assert sorted(r[:4] + r[6:] for r in table.select("file_key", "example_id", "pos", "label", "log_total", "label_prob", "best", "drawn").collect()) \
+        == sorted(r[:4] + r[6:] for r in rows.collect())
+    for name in ("softmax_dense", "sample_dense", "argmax_dense"):
+        plan = registered()[name](spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan and "array<float>" not in plan, name
