@@ -28,6 +28,15 @@ def _means(rows, value, name, by, active) -> DataFrame:
     return rows.groupBy(by).agg(F.count(value).alias("n_active"), F.avg(value).alias(name))
 
 
+def of_statistics(rows: DataFrame, statistics: str, by: str = "batch_id") -> DataFrame:
+    """(by, n_losses, loss, n_labels, accuracy) from examples with the sums of
+    :func:`scores.of_examples`: the means of :func:`mean_loss` and :func:`accuracy`."""
+    sums = [F.sum(f"{statistics}.{name}").alias(name) for name in ("loss", "n_loss", "hits", "n_labels")]
+    mean = [F.try_divide(F.col(total).cast("double"), F.col(count)) for total, count in (("loss", "n_loss"), ("hits", "n_labels"))]
+    return rows.groupBy(by).agg(*sums).select(
+        by, F.col("n_loss").alias("n_losses"), mean[0].alias("loss"), "n_labels", mean[1].alias("accuracy"))
+
+
 def perplexity(losses: DataFrame, loss: str = "loss") -> DataFrame:
     return losses.withColumn("perplexity", F.exp(loss))
 
