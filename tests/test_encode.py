@@ -187,3 +187,20 @@ def test_cache_without_type_ids_reads_null(spark, files, tokenizer, tmp_path):
     typed = cache.write(made, str(tmp_path / "typed"))
     untyped = cache.write(made.drop("token_type_ids"), str(tmp_path / "untyped"))
     assert sorted(r.token_type_ids is None for r in cache.read(spark, typed, untyped).collect()) == [False, True]
+
+
+def _at_most_100_chars():
+    def encode_texts(texts):
+        if sum(map(len, texts)) > 100:
+            raise ValueError("too much text at once")
+        return [[len(t)] for t in texts]
+    return encode.list_encoder(encode_texts)
+
+
+def test_a_batch_is_encoded_in_slices(spark, monkeypatch):
+    """A task split and encoded all files of an Arrow batch at once, at many times their bytes."""
+    monkeypatch.setattr(encode, "SLICE_BYTES", 50)
+    texts = [["x" * (1 + i % 9)] * (i % 4) if i % 50 else ["y" * 60, "z"] for i in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_key int, texts array<string>").coalesce(1)
+    found = rows.select("file_key", encode.encoded("texts", encode.Tokenizer(_at_most_100_chars, 10)).alias("p")).collect()
+    assert {r.file_key: r.p for r in found} == {i: [[len(x)] for x in t] for i, t in enumerate(texts)}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions import arrays as ar
+from tokenmill.functions import arrow
 from tokenmill.functions.text import strip
 from tokenmill.operators import vocab as vc
 from tokenmill.operators.lines import texts_column
@@ -24,11 +25,14 @@ from tokenmill.schema import BIG_FILE_CHARS
 Encoder = Callable[[pa.Array], pa.ListArray]
 
 #: a task remembers the pieces of this many words
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 16
 
 #: texts handed to the tokenizer library at a time
 SLICE = 4096
 
+#: bytes of text that a task splits and encodes at a time, besides one file
+SLICE_BYTES = 1 << 20
+
 
 def list_encoder(encode_texts: Callable[[list], list]) -> Encoder:
     """An :data:`Encoder` from a function over Python lists."""
@@ -134,13 +138,19 @@ def encoded(texts: str, tokenizer: Tokenizer) -> Column:
     """ARRAY<ARRAY<INT>> of the piece ids of an ARRAY<STRING> column."""
     factory, by_chunk = tokenizer.factory, tokenizer.splits_on_space
 
+    def of_files(encode: Encoder, files: pa.ListArray, sizes: pa.Array) -> pa.ListArray:
+        flat = files.flatten()
+        return _lists(sizes.to_numpy(False), _ids_by_chunk(encode, flat) if by_chunk else encode(flat))
+
     @F.arrow_udf("array<array<int>>")
     def encode_texts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         encode = factory()
         for batch, sizes in batches:
-            flat = batch.flatten()
-            ids = _ids_by_chunk(encode, flat) if by_chunk else encode(flat)
-            yield _lists(sizes.to_numpy(False), ids)
+            # words, chunks and ids take many times the bytes of their texts
+            n_bytes = np.concatenate([[0], np.cumsum(pc.binary_length(batch.flatten()).fill_null(0).to_numpy(False))])
+            ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(False))])
+            yield pa.concat_arrays([of_files(encode, batch.slice(start, end - start), sizes.slice(start, end - start))
+                                    for start, end in arrow.cuts(np.diff(n_bytes[ends]), SLICE_BYTES)])
 
     # naming the texts twice keeps Spark from merging the expression that made
     # them into the call, which it cannot run when that holds nested lambdas
