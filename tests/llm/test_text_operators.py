@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tokenmill.llm import brown, byte_bpe, leaks, near_dups, quality, ring, wavelet
@@ -363,6 +364,33 @@ def test_wavelet_shards_read_back(spark):
     assert wavelet.round_trip(docs.limit(0), path).count() == 0
 
 
+def test_words_and_marks_go_to_the_merge_model_once_a_worker(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0xAA, 0x100)]
+    words = ["Word", "ÀÉß", "l'été", "x", "", "Σας", *letters, *("aB" + c for c in letters)]
+    marks = ["", *map(chr, range(33, 48)), "***", "<|", "!?'", "¿", "'s", "'Re,", "1", "_|>", "<|endoftext|>", "É́"]
+    texts = [f" {w}{m} {m}{w}" for w in words for m in marks] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    calls, encoder = [], wavelet.WordEncoder(path)
+
+    class Model:
+        def tokenize(self, piece, model=encoder.model):
+            calls.append(piece)
+            return model.tokenize(piece)
+
+    encoder.model = Model()
+    monkeypatch.setattr(wavelet, "WordEncoder", lambda path: encoder)
+    wavelet._kept.cache_clear()
+    for _ in range(2):  # two tasks
+        made = [ids for b in wavelet._tokenized(path, 2, 2)(iter([batch])) for ids in b.column("ids").to_pylist()]
+        assert [np.frombuffer(ids, "<u2").tolist() for ids in made] == \
+            [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    wavelet._kept.cache_clear()
+    assert calls and len(calls) == len(set(calls))
+
+
 # Ring
 
 def placed_one_by_one(keys, shards):

@@ -8,12 +8,13 @@ the planes with rank and select and decode nothing else. The files are the rows
 Parquet table, which Spark's committer makes safe against lost tasks on any store.
 """
 
+import functools
 import gc
-import itertools
 import os
 import struct
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,13 @@ PART_TOKENS = 1 << 24
 #: id put after each document
 END = 2
 
-#: chunks of text, and pieces of them, whose ids a task remembers
-MEMO = 1 << 18
+#: pieces whose ids a worker remembers, also for the tasks after; of other chunks an eighth as many
+MEMO = 1 << 19
+
+#: letters that are lower-cased one by one and marks that join one another: a chunk of letters and
+#: then marks is two pieces
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªºµ")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: bits between two stored counts
 _BLOCK = 512
@@ -153,12 +159,12 @@ class Matrix:
 
 
 class WordEncoder:
-    """Ids of a chunk of text without white space, as the library gives them.
+    """Ids of chunks of text without white space, as the library gives them.
 
     The library drops white space and joins nothing across it. A chunk of plain words and
     marks is cut into the pieces the library would cut it into, and each goes to its merge
     model directly; everything else, such as a chunk with one of the library's added tokens,
-    goes through the library as it is.
+    goes through the library as it is. Ids are kept as bytes of 32 bits each.
     """
 
     #: fixed value: what the tokenizer file's pre-tokenizer keeps
@@ -174,8 +180,9 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in shown]
         self.letters = dict(zip(shown + hidden, map(chr, [*shown, *range(256, 256 + len(hidden))]), strict=True))
         self.memo, self.before = {}, {}  # pieces seen lately, and those seen before these
+        self.odd, self.odd_before = {}, {}  # the same of chunks
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         known = self.memo.get(piece)
         if known is None:
             if len(self.memo) >= MEMO // 2:
@@ -183,55 +190,90 @@ class WordEncoder:
             known = self.before.get(piece)
             if known is None:
                 as_bytes = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.letters)
-                known = [token.id for token in self.model.tokenize(as_bytes)]
+                known = array("I", [token.id for token in self.model.tokenize(as_bytes)]).tobytes()
             self.memo[piece] = known
         return known
 
-    def __call__(self, chunk: str) -> list[int]:
+    def _whole(self, chunk: str) -> bytes:
+        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, chunk: str) -> bytes:
+        known = self.odd.get(chunk)
+        if known is None:
+            if len(self.odd) >= MEMO // 16:
+                self.odd, self.odd_before = {}, self.odd
+            known = self.odd_before.get(chunk)
+            self.odd[chunk] = known = self._chunk(chunk) if known is None else known
+        return known
+
+    def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
             if not chunk.isprintable():
-                return self.library.encode(chunk, add_special_tokens=False).ids
+                return self._whole(chunk)
             text = chunk.lower()
         else:
             # the library lower-cases letter by letter, without the rule for a final sigma
             plain = "Σ" not in chunk and unicodedata.is_normalized("NFC", chunk)
             text = chunk.lower() if plain else self.normalize(chunk)
             if not text.rstrip(".,;:!?\")").isalpha():
-                return self.library.encode(chunk, add_special_tokens=False).ids
+                return self._whole(chunk)
         if text.isalpha():
             return self._piece(text)
         if text[:-1].isalpha() and not text[-1].isalnum() and "'" not in text:
             return self._piece(text[:-1]) + self._piece(text[-1])
         if any(token in chunk or token in text for token in self.added):
-            return self.library.encode(chunk, add_special_tokens=False).ids
-        return [i for piece in self.PIECES.findall(text) for i in self._piece(piece)]
+            return self._whole(chunk)
+        return b"".join(map(self._piece, self.PIECES.findall(text)))
+
+    def all(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks run together, their number in each)."""
+        marks = pc.utf8_ltrim(chunks, characters=LETTERS)
+        n_marks, n_bytes = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (marks, chunks))
+        foreign = pc.binary_length(pc.ascii_ltrim(marks, characters=MARKS)).to_numpy(zero_copy_only=False)
+        plain = (n_marks < n_bytes) & (foreign == 0)
+        marked = plain & (n_marks > 0)
+        words = pc.utf8_lower(pc.ascii_rtrim(chunks.filter(pa.array(plain)), characters=MARKS))
+        pieces = pa.concat_arrays([words, marks.filter(pa.array(marked))]).dictionary_encode()
+        ids = [self._piece(piece) for piece in pieces.dictionary.to_pylist()]
+        number = pieces.indices.to_numpy(zero_copy_only=False)
+        # what each chunk consists of, in order: a piece and its marks, or itself
+        first = np.cumsum(1 + marked) - 1 - marked
+        parts = np.zeros(len(chunks) + int(marked.sum()), np.int64)
+        parts[first[plain]], parts[first[marked] + 1] = number[:len(words)], number[len(words):]
+        parts[first[~plain]] = len(ids) + np.arange(len(chunks) - len(words))
+        ids += [self(chunk) for chunk in chunks.filter(pa.array(~plain)).to_pylist()]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        found, ends = _gathered(np.frombuffer(b"".join(ids), np.uint32), lengths, parts)
+        return found, np.diff(ends[np.append(first, len(parts))])
+
+
+def _gathered(values: np.ndarray, lengths: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs ``picked`` of values run together, where each begins and the last ends)."""
+    starts, size = np.cumsum(lengths) - lengths, lengths[picked]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(starts[picked] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+@functools.lru_cache(1)
+def _kept(path: str, changed: int) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def _tokenized(path: str, end: int, width: int):
     def run(batches):
-        encode, memo = WordEncoder(path), {}
-        gc.disable()  # nothing here makes cycles, and the memo is costly to search for them
+        encode = _kept(path, os.stat(path).st_mtime_ns)  # a worker runs many tasks
         for batch in slices(batches, most=8 * SLICE_BYTES):
             chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
             coded = chunks.flatten().dictionary_encode()
             bounds = chunks.offsets.to_numpy().astype(np.int64)
             bounds = bounds - bounds[0]
-            distinct = coded.dictionary.to_pylist()
-            ids = [known if (known := memo.get(chunk)) is not None else encode(chunk) for chunk in distinct]
-            if len(memo) >= MEMO:
-                memo = {}  # the words of this slice stay
-            memo.update(zip(distinct, ids, strict=True))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            starts = np.cumsum(lengths) - lengths
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-            numbers = coded.indices.to_numpy(zero_copy_only=False)
-            size = lengths[numbers]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            tokens = flat[np.repeat(starts[numbers] - ends[:-1], size) + np.arange(ends[-1])].astype(f"<u{width}")
+            gc.disable()  # nothing here makes cycles, and many ids are costly to search for them
+            flat, lengths = encode.all(coded.dictionary)
+            gc.enable()
+            tokens, ends = _gathered(flat.astype(f"<u{width}"), lengths, coded.indices.to_numpy(zero_copy_only=False))
             last = np.array([end], f"<u{width}").tobytes()
             rows = [tokens[ends[a]:ends[b]].tobytes() + last for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "ids"])
-        gc.enable()
     return run
 
 
