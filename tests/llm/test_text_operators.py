@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -316,6 +317,30 @@ def test_brown_clusters_words_seen_once_in_a_large_corpus(spark):
     assert model.sizes.sum() == counts.tokens and set(model.of_common[1:]) <= set(range(1, 1 + brown.CLASSES))
 
 
+def test_brown_neighbours_of_a_task_are_whole_and_take_little_memory():
+    rng = np.random.default_rng(4)
+    sequences = [np.append(rng.integers(1, 60_000, 500_000), 0).astype(np.int32) for _ in range(10)]
+    batches = [pa.RecordBatch.from_pydict({
+        "held": [[False]], "ends": pa.array([[len(x)]], pa.list_(pa.int64())), "sequence": [brown._shrunk(x)],
+        "words": [{"placed": (np.arange(60_000) << brown._VALUE_BITS | np.arange(60_000)).tolist(), "totals": [1] * 60_000}]})
+        for x in sequences]
+    tracemalloc.start()
+    rows = list(brown._neighbours(iter(batches)))
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 250e6
+    rows.sort(key=lambda r: r.column("group")[0].as_py())
+    found = {"after": collections.Counter(), "before": collections.Counter()}
+    for row in brown._merged(iter(rows)):
+        for side in found:
+            words, others, counts = (x.astype(np.int64) for x in brown._unpacked(row, 0, side))
+            words += row.column("group")[0].as_py() * brown._GROUP
+            found[side].update(dict(zip(zip(words.tolist(), others.tolist(), strict=True), counts.tolist(), strict=True)))
+    x = [s.tolist() for s in sequences]
+    assert found["after"] == collections.Counter(pair for s in x for pair in zip(s, [0, *s[:-1]], strict=True))
+    assert found["before"] == collections.Counter(pair for s in x for pair in zip(s[:-1], s[1:], strict=True))
+
+
 # Wavelet matrices
 
 def test_wavelet_queries():

@@ -42,8 +42,9 @@ _UNSEEN = _TOTAL - 1
 #: words whose neighbours are in one row, and words that are ranked together
 _GROUP, _RANKED = 1 << 14, 1 << 16
 
-#: neighbours of words that a task holds before it merges equal ones
-_HELD = 4 << 20
+#: tokens whose neighbours a task counts at a time, and neighbours that it holds besides a
+#: group's before it merges equal ones
+_HELD, _MERGED = 1 << 21, 1 << 20
 
 #: a looked-up word is its place in the block's list above these bits, and its number below
 _VALUE_BITS = 40
@@ -113,7 +114,7 @@ def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
     which for a word of no training text is the first free one, and its training count in the
     whole corpus, in any order."""
     listed = cut.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    vocabulary = scratch.table(
+    vocabulary, path = scratch.placed(
         listed.where("w.counts > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("total")),
         "vocabulary", "zstd")
     tokens, distinct, once = (x or 0 for x in vocabulary.agg(
@@ -130,6 +131,7 @@ def counted(cut: DataFrame) -> tuple[DataFrame, Counts]:
     numbered = scratch.table(
         vocabulary.withColumn("rank", rank).join(F.broadcast(starts), "part")
         .select("word", "total", (F.col("first") + F.col("rank")).alias("number")), "numbered", "zstd")
+    scratch.remove(cut.sparkSession, path)
     scratch.release(cut.sparkSession)
     placed = F.shiftleft(F.col("place").cast("long"), _VALUE_BITS).bitwiseOR(F.coalesce("number", F.lit(distinct)))
     looked_up = (cut.select("block", F.posexplode("words").alias("place", "word")).join(numbered, "word", "left")
@@ -163,10 +165,35 @@ def _learned(batch: pa.RecordBatch, row: int, sequence: np.ndarray) -> np.ndarra
     return sequence[np.repeat(~held, np.diff(batch.column("ends")[row].values.to_numpy(), prepend=0))]
 
 
-def _rows(after: np.ndarray, before: np.ndarray):
-    """Rows of the neighbour table, one for each group, from sorted pairs (word, neighbour)
-    of 32 bits each."""
-    sides = [np.unique(pairs, return_counts=True) for pairs in (after, before)]
+def _counted(pairs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(each different pair in order, how often it occurs or the sum of its ``counts``); without
+    counts the pairs are sorted where they are."""
+    if counts is None:
+        pairs.sort()
+    else:
+        order = np.argsort(pairs)
+        pairs, counts = pairs[order], counts[order]
+    starts = np.flatnonzero(np.append(len(pairs) > 0, pairs[1:] != pairs[:-1]))
+    total = np.diff(starts, append=len(pairs)) if counts is None else np.add.reduceat(counts, starts) if len(starts) else counts
+    return pairs[starts], total
+
+
+def _paired_up(blocks: list[np.ndarray], after: bool) -> np.ndarray:
+    """A pair (word, neighbour) of 32 bits each for each token, from the words of blocks. Documents
+    begin after an end; nothing is known after a block's last token."""
+    pairs, at = np.empty(sum(len(b) if after else len(b[1:]) for b in blocks), np.uint64), 0
+    for numbers in blocks:
+        words, found = (numbers, np.append(np.uint32(0), numbers[:-1])) if after else (numbers[:-1], numbers[1:])
+        part = pairs[at:at + len(words)]
+        np.left_shift(words, np.uint64(32), out=part, dtype=np.uint64)
+        part |= found[:len(words)]
+        at += len(words)
+    return pairs
+
+
+def _rows(blocks: list[np.ndarray]):
+    """Rows of the neighbour table, one for each group, from the words of blocks in order."""
+    sides = [_counted(_paired_up(blocks, after)) for after in (True, False)]
     groups = np.unique(np.concatenate([pairs >> np.uint64(32) for pairs, _ in sides]) // np.uint64(_GROUP))
     for group in groups.tolist():
         ends = np.array([group * _GROUP << 32, (group + 1) * _GROUP << 32], np.uint64)
@@ -193,28 +220,23 @@ def _unpacked(batch: pa.RecordBatch, row: int, side: str) -> tuple[np.ndarray, n
 
 def _neighbours(batches):
     """For each group of words, what stands after and before each in a task's blocks."""
-    after, before, held = [], [], 0
+    blocks, held = [], 0
     for batch in batches:
         for row in range(batch.num_rows):
-            number = _numbers(batch, row)[0].astype(np.uint64)[_learned(batch, row, _sequence(batch, row))]
-            word = number << np.uint64(32)
-            after.append(word | np.concatenate([np.zeros(1, np.uint64), number])[:-1])  # documents begin after an end
-            before.append(word[:-1] | number[1:])
-            held += len(number)
+            numbers = _numbers(batch, row)[0].astype(np.uint32)[_learned(batch, row, _sequence(batch, row))]
+            blocks.append(numbers)
+            held += len(numbers)
             if held >= _HELD:
-                yield from _rows(np.concatenate(after), np.concatenate(before))
-                after, before, held = [], [], 0
+                yield from _rows(blocks)
+                blocks, held = [], 0
     if held:
-        yield from _rows(np.concatenate(after), np.concatenate(before))
+        yield from _rows(blocks)
 
 
 def _merged(batches):
     """One row for each group, from rows in order of the group."""
     def merge(parts):
-        pairs, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-        counts = np.zeros(len(pairs), np.uint64)
-        np.add.at(counts, place, np.concatenate([c for _, c in parts]))
-        return [(pairs, counts)]
+        return [_counted(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))]
 
     group, sides = None, ([], [])
     for batch in batches:
@@ -226,7 +248,7 @@ def _merged(batches):
             for parts, side in zip(sides, ("after", "before"), strict=True):
                 words, neighbours, counts = _unpacked(batch, row, side)
                 parts.append((words.astype(np.uint64) + np.uint64(group * _GROUP) << np.uint64(32) | neighbours, counts))
-                if len(parts) > 1 and sum(len(p) for p, _ in parts[1:]) >= max(_HELD, len(parts[0][0])):
+                if len(parts) > 1 and sum(len(p) for p, _ in parts[1:]) >= max(_MERGED, len(parts[0][0])):
                     parts[:] = merge(parts)
     if group is not None:
         yield _row(group, [merge(parts)[0] for parts in sides])

@@ -61,7 +61,7 @@ def build(ids: np.ndarray) -> bytes:
         packed[:-(-len(bits) // 8)] = np.packbits(bits)
         ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.int64)
         parts += [np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes(), packed.tobytes()]
-        order = np.concatenate([order[~bits], order[bits]])
+        order = np.concatenate([order[np.flatnonzero(~bits)], order[np.flatnonzero(bits)]])
     return b"".join(parts)
 
 
@@ -152,8 +152,8 @@ class Matrix:
             bits = np.unpackbits(self.bits[plane], count=self.size).astype(bool)
             zeros = self._zeros(plane)
             before = np.empty_like(order)
-            before[~bits] = order[:zeros]
-            before[bits] = order[zeros:] | order.dtype.type(1 << (self.planes - 1 - plane))
+            before[np.flatnonzero(~bits)] = order[:zeros]
+            before[np.flatnonzero(bits)] = order[zeros:] | order.dtype.type(1 << (self.planes - 1 - plane))
             order = before
         return order
 
