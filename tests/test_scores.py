@@ -42,6 +42,15 @@ def test_softmax_argmax_and_loss(table):
         assert np.isclose(r.loss, -np.log(p[r.cand.index(r.label)]))
 
 
+def test_probabilities_in_millionths_as_text_need_no_work_by_element(spark):
+    rows = [("a", [0.25, 0.7500004, 0.0000005, 1.0]), ("b", [1.0]), ("c", []), ("d", None)]
+    texts = (spark.createDataFrame(rows, "key string, probs array<double>").repartition(2)
+             .select("key", scores.millionths("probs").alias("probs")))
+    assert {r.key: r.probs for r in texts.collect()} == {"a": "250000,750000,1,1000000", "b": "1000000", "c": "", "d": None}
+    plan = registered()["softmax_scores"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[0]
+    assert "lambdafunction" not in plan and "array_join" not in plan
+
+
 def test_ties_go_to_the_lowest_index(spark):
     rows = spark.createDataFrame([("f", 0, 0, [1.0, 2.0, 2.0], [4, 5, 6], 4)], SCHEMA)
     assert scores.argmax(rows).collect()[0].token_id == 1

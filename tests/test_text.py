@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import WHITESPACE
-from tokenmill.operators import lines
+from tokenmill.operators import lines, vocab
 from tokenmill.sources import files as fs
 
 TEXTS = {
@@ -121,3 +121,14 @@ def test_sentences_of_line_tables_equal_those_of_whole_files(files, n, bits):
                                                        n, bits).collect()))
     whole = [r for r in lines.texts(rows, n).collect() if r.file_key not in ("empty", "blank")]
     assert found == sorted((r.file_key, r.text_no, r.text) for r in whole)
+
+
+def test_words_are_counted_and_normalized_once(spark):
+    texts = ["  a cat\tthe\r\ncat. ", "a\x0bb\x0cc The", None, "", "cat\x85the a\u3000cat", "\t"]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file_key string, text string").repartition(2)
+    assert {r.word: r.n for r in vocab.word_counts(files).collect()} == {
+        "a": 2, "cat": 3, ".": 1, "the": 2, "abc": 1, "catthe": 1}
+    built = vocab.build(files, 2).orderBy("token_id")
+    assert [r.token for r in built.collect()][-2:] == ["cat", "the"]
+    ran = built._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ran.count("+- ArrowEvalPython") == 1
