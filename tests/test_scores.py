@@ -271,3 +271,57 @@ def test_slices():
     doubled = arrow.sliced(lambda x: sizes.append(len(x)) or pc.multiply(x, 2), 4)
     assert doubled(pa.array(range(10))).to_pylist() == list(range(0, 20, 2)) and max(sizes) == 4
     assert doubled(pa.array([], pa.int64())).to_pylist() == []
+
+
+def found_in_blocks(logits, label, pick, width, find):
+    n = len(logits)
+    so_far = {"best": np.zeros(n, np.int64), "best_value": np.full(n, -np.inf, np.float32), "weight": np.zeros(n),
+              "own": np.full(n, np.nan), "drawn": np.zeros(n, np.int64), "drawn_value": np.full(n, -np.inf)}
+    room = scores._Room()
+    for first in range(0, logits.shape[1], width):
+        scores._block_met(logits[:, first:first + width], first, label, pick, so_far, set(find), room)
+    return so_far
+
+
+def logits_of_many_kinds(rng, rows, size):
+    kinds = [rng.uniform(0, 6, (rows, size)), rng.normal(0, 5, (rows, size)), rng.normal(0, 50, (rows, size)),
+             np.zeros((rows, size)), rng.integers(0, 2, (rows, size)), rng.normal(1e6, 1, (rows, size)),
+             np.full((rows, size), -1e30), rng.normal(-2030, 1, (rows, size)), rng.normal(0, 1e-6, (rows, size)),
+             np.where(rng.random((rows, size)) < 0.5, -np.inf, 1.0), np.full((rows, size), -5.0)]
+    kinds[-1][:, 17] = 40.0  # one token has all the probability
+    kinds[-2][:, 3] = 1.0
+    return np.concatenate(kinds).astype(np.float32)
+
+
+def test_bounds_draw_the_tokens_that_all_exact_values_give():
+    rng = np.random.default_rng(4)
+    logits = logits_of_many_kinds(rng, 300, 211)
+    pick, token = rng.integers(0, 2**32, len(logits)), np.arange(211)
+    exact = logits - np.log(-np.log(scores.uniform(pick[:, None], token[None, :])))
+    for width in (211, 53, 1):
+        found = found_in_blocks(logits, np.zeros(len(logits), np.int64), pick, width, ("drawn",))
+        assert np.array_equal(found["drawn"], exact.argmax(axis=1)) and np.array_equal(found["drawn_value"], exact.max(axis=1))
+
+
+def test_sums_of_exponentials_are_exact():
+    rng = np.random.default_rng(5)
+    logits = logits_of_many_kinds(rng, 100, 211)
+    values = logits.astype(np.longdouble)
+    top = values.max(axis=1)
+    expected = top + np.log(np.exp(values - top[:, None]).sum(axis=1))
+    for width in (211, 53, 1):
+        with np.errstate(invalid="ignore"):  # of blocks that are all -inf
+            found = found_in_blocks(logits, np.zeros(len(logits), np.int64), None, width, ("log_total",))
+        whole = found["best_value"].astype(np.float64) + np.log(found["weight"])
+        sure = np.isfinite(whole)
+        assert sure[np.isfinite(logits).all(axis=1)].all() and np.array_equal(found["best_value"], logits.max(axis=1))
+        np.testing.assert_allclose(whole[sure], expected[sure].astype(np.float64), rtol=1e-15, atol=2e-14)
+
+
+def test_a_draw_takes_logarithms_of_few_tokens(monkeypatch):
+    """Two logarithms of each token of the vocabulary took most of the time of a draw."""
+    rng, seen, exact = np.random.default_rng(6), [], scores._gumbel
+    monkeypatch.setattr(scores, "_gumbel", lambda logits, pick, token: seen.append(len(logits)) or exact(logits, pick, token))
+    logits = rng.uniform(0, 6, (200, 2000)).astype(np.float32)
+    found_in_blocks(logits, np.zeros(200, np.int64), rng.integers(0, 2**32, 200), 1000, ("drawn",))
+    assert sum(seen) < logits.size / 200
