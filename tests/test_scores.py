@@ -274,13 +274,12 @@ def test_slices():
 
 
 def found_in_blocks(logits, label, pick, width, find):
-    n = len(logits)
-    so_far = {"best": np.zeros(n, np.int64), "best_value": np.full(n, -np.inf, np.float32), "weight": np.zeros(n),
-              "own": np.full(n, np.nan), "drawn": np.zeros(n, np.int64), "drawn_value": np.full(n, -np.inf)}
-    room = scores._Room()
-    for first in range(0, logits.shape[1], width):
-        scores._block_met(logits[:, first:first + width], first, label, pick, so_far, set(find), room)
-    return so_far
+    firsts = np.arange(0, logits.shape[1], width)
+    blocks = scores._Blocks(lambda block, rows: logits[rows, firsts[block]:firsts[block] + width], firsts, label, pick, set(find))
+    for start in range(0, len(logits), 50):
+        for block in range(len(firsts)):
+            blocks.meet(block, slice(start, start + 50))
+    return blocks.found(7)
 
 
 def logits_of_many_kinds(rng, rows, size):
@@ -300,7 +299,7 @@ def test_bounds_draw_the_tokens_that_all_exact_values_give():
     exact = logits - np.log(-np.log(scores.uniform(pick[:, None], token[None, :])))
     for width in (211, 53, 1):
         found = found_in_blocks(logits, np.zeros(len(logits), np.int64), pick, width, ("drawn",))
-        assert np.array_equal(found["drawn"], exact.argmax(axis=1)) and np.array_equal(found["drawn_value"], exact.max(axis=1))
+        assert np.array_equal(found["drawn"], exact.argmax(axis=1))
 
 
 def test_sums_of_exponentials_are_exact():
@@ -308,14 +307,12 @@ def test_sums_of_exponentials_are_exact():
     logits = logits_of_many_kinds(rng, 100, 211)
     values = logits.astype(np.longdouble)
     top = values.max(axis=1)
-    expected = top + np.log(np.exp(values - top[:, None]).sum(axis=1))
+    total = np.exp(values - top[:, None]).sum(axis=1)
     for width in (211, 53, 1):
-        with np.errstate(invalid="ignore"):  # of blocks that are all -inf
-            found = found_in_blocks(logits, np.zeros(len(logits), np.int64), None, width, ("log_total",))
-        whole = found["best_value"].astype(np.float64) + np.log(found["weight"])
-        sure = np.isfinite(whole)
-        assert sure[np.isfinite(logits).all(axis=1)].all() and np.array_equal(found["best_value"], logits.max(axis=1))
-        np.testing.assert_allclose(whole[sure], expected[sure].astype(np.float64), rtol=1e-15, atol=2e-14)
+        found = found_in_blocks(logits, np.full(len(logits), 3), None, width, ("log_total", "label_prob", "best"))
+        assert np.array_equal(found["best"], logits.argmax(axis=1))
+        np.testing.assert_allclose(found["log_total"], (top + np.log(total)).astype(np.float64), rtol=1e-15, atol=2e-14)
+        np.testing.assert_allclose(found["label_prob"], (np.exp(values[:, 3] - top) / total).astype(np.float64), rtol=1e-14)
 
 
 def test_a_draw_takes_logarithms_of_few_tokens(monkeypatch):
