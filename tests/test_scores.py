@@ -1,5 +1,8 @@
 """Score tables, corruption and metrics against numpy."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -322,3 +325,27 @@ def test_a_draw_takes_logarithms_of_few_tokens(monkeypatch):
     logits = rng.uniform(0, 6, (200, 2000)).astype(np.float32)
     found_in_blocks(logits, np.zeros(200, np.int64), rng.integers(0, 2**32, 200), 1000, ("drawn",))
     assert sum(seen) < logits.size / 200
+
+
+def test_large_results_leave_in_slices():
+    sizes = []
+    tens = arrow.in_slices(lambda x, _: sizes.append(len(x)) or pc.multiply(x, 10), 4)
+    batches = [(pa.array(range(10)), pa.array(range(10))), (pa.array([], pa.int64()), pa.array([], pa.int64()))]
+    assert [a.to_pylist() for a in tens(iter(batches))] == [[0, 10, 20, 30], [40, 50, 60, 70], [80, 90], []] and max(sizes) == 4
+
+
+def test_the_counts_of_the_vocabulary_do_not_stay_on_disk(spark):
+    """The shuffles of all chunks were kept as long as the query ran, 0.8 times its input."""
+    folders = [Path(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def shuffled():
+        return {f.name for folder in folders for f in folder.rglob("shuffle_*.data")}
+
+    before = shuffled()
+    inputs = Inputs(spark, SF_DIR)
+    assert len(inputs.vocabulary) > 2000
+    for _ in range(20):  # Spark removes them in a thread of its own
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
